@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, sharding, token_count
-from .common import table
+from . import byte_bpe, line_dedup, ngram_join, sharding, token_count, warc
+from .common import new_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes and indexes the archives in the shared folder, then reads them back through the index."""
+    pages, folder = table(spark, sf_dir, "pages").select("page_id", "url", "html"), new_folder(spark, "warc")
+    warc.write_archives(pages, f"{folder}/archives", F.col("html"), min_bytes=0)
+    warc.build_index(spark, f"{folder}/archives", f"{folder}/index")
+    return warc.read_archives(spark, f"{folder}/archives", f"{folder}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP9_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
@@ -59,9 +67,19 @@ FROM marked GROUP BY r
 """
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY x, payload_bytes) AS last FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5))::INTEGER >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op7_byte_bpe": op7_byte_bpe, "op8_sharding": op8_sharding, "op9_line_dedup": op9_line_dedup}
+    return {"op2_token_counts": op2_token_counts, "op7_byte_bpe": op7_byte_bpe, "op8_sharding": op8_sharding, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc, "op5_ngram_join": ngram_join.op5_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op5_ngram_join": ngram_join.OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_warc": OP10_SQL}
