@@ -43,7 +43,7 @@ def prepare(docs: DataFrame, shards: int, text_col: str = "text", id_col: str =
     )
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
     groups = _salted(rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n_equal")).where("n_equal > 1"))
-    return rows.join(groups, ["g1", "g2", "salt"], "left").withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "doc_id", "g1"), F.lit(shards)).cast("int"))
+    return rows.join(groups.hint("merge"), ["g1", "g2", "salt"], "left").withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "doc_id", "g1"), F.lit(shards)).cast("int"))
 
 
 def propagate(state: DataFrame, quota: list[int]) -> tuple[DataFrame, int]:
@@ -66,7 +66,7 @@ def propagate(state: DataFrame, quota: list[int]) -> tuple[DataFrame, int]:
     if not moves:
         return state, 0
     chance = F.pmod(F.xxhash64(F.lit("share"), "doc_id", "size"), F.lit(1 << 20)) / (1 << 20)
-    moved = state.join(_salted(granted.drop("ok")), ["g1", "g2", "shard", "salt"], "left")
+    moved = state.join(_salted(granted.drop("ok")).hint("merge"), ["g1", "g2", "shard", "salt"], "left")
     moved = moved.withColumn("shard", F.when(chance < F.col("share"), F.col("to")).otherwise(F.col("shard"))).select(state.columns)
     return stored(moved, "shard-state"), moves
 
