@@ -27,55 +27,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
+from .shingles import batches_of, distinct, sequences
 
 FREQUENT, ORDER_LIMIT = 48, 1 << 20
 #: Ids that may be sent to all executors (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1 << 20
-MULTIPLIER, WORD_STORE = 0x9E3779B97F4A7C15, 1_000_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words; starts anew when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_STORE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-WORDS = WordHashes()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads them evenly (splitmix64's finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sequence(text: str | None, width: int) -> np.ndarray:
-    """Hashes of the shingles in the order of the text; words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case."""
-    words = (text or "").encode().lower().split()  # bytes: only ASCII letters and blanks count
-    w = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(w))
-    if not k:
-        return w
-    out = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(MULTIPLIER) + w[i : len(w) - k + 1 + i]
-    return mixed(out)
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct shingle hashes, ascending."""
-    return np.unique(shingle_sequence(text, width))
-
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
@@ -114,11 +74,9 @@ class NgramJoin:
 
         def run(batches):
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part, rows = batch.slice(at, 512), []
-                    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                        if (made := make(shingle_set(text, width))) is not None:
-                            rows.append((doc, *made))
+                ids = batch.column("doc_id").to_pylist()
+                for at, texts in batches_of(batch.column("text")):
+                    rows = [(doc, *made) for doc, s in zip(ids[at:], sequences(texts, width)) if (made := make(distinct(s))) is not None]
                     if rows:
                         yield pa.RecordBatch.from_arrays([_arrays(list(c)) if is_list else pa.array(c, pa.int64()) for c, is_list in zip(zip(*rows), lists)], names)
 
@@ -152,26 +110,25 @@ class NgramJoin:
     def prepare(self) -> None:
         frequent, percent = self.spark.sparkContext.broadcast(self._frequent()), self.percent
 
-        def keys(s):
-            return (len(s), *_class_key(s))
-
         def prefixes(s):
             if not len(s):
-                return None
+                return 0, 0, 0, s, s
             p, late = prefix_length(len(s), percent), _in_sorted(s, frequent.value)
             early = s[~late][:p]
             return len(s), *_class_key(s), early, s[late][: p - len(early)]
 
-        self.members = stored(self._map(self.docs, "doc_id long, n long, c1 long, c2 long", keys), "ngram-docs")
-        ahead = self._map(self.docs, "doc_id long, n long, c1 long, c2 long, rare array<long>, common array<long>", prefixes)
-        classes = ahead.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("first_doc"), F.any_value("rare").alias("rare"), F.any_value("common").alias("common"))
-        self.classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
-        groups = self.classes.select("cid", "n", F.xxhash64(F.lit(1), "rare", "common").alias("p1"), F.xxhash64(F.lit(2), "rare", "common").alias("p2"))
+        made = self._map(self.docs, "doc_id long, n long, c1 long, c2 long, rare array<long>, common array<long>", prefixes)
+        self.members = stored(made.withColumn("row", F.monotonically_increasing_id()), "ngram-docs")
+        # a class is named by one of its rows
+        self.classes = stored(self.members.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("first_doc"), F.min("row").alias("cid")), "ngram-classes")
+        copies = self.members.select("c1", "c2", "row").join(self.classes.hint("merge"), ["c1", "c2"]).where("row != cid").select("row")
+        one_each = self.members.where("n > 0").join(stored(copies, "ngram-copies"), "row", "left_anti").select(F.col("row").alias("cid"), "n", "rare", "common")
+        groups = one_each.select("cid", "n", F.xxhash64(F.lit(1), "rare", "common").alias("p1"), F.xxhash64(F.lit(2), "rare", "common").alias("p2"))
         same = groups.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size")).where("size > 1")
         #: (cid, gid) of groups with more than one class
         self.grouped = stored(groups.join(same, ["n", "p1", "p2"]).select("cid", "gid"), "ngram-groups")
-        alone = self.classes.join(self.grouped.where("cid != gid").select("cid"), "cid", "left_anti")
-        # heads: a group's representative, at the places of its prefix
+        alone = one_each.join(self.grouped.where("cid != gid").select("cid"), "cid", "left_anti")
+        # each group's representative at the places of its prefix
         self.rare = alone.select("cid", "n", F.posexplode("rare").alias("place", "token"))
         self.common = stored(alone.where(F.size("common") > 0).select("cid", "n", F.size("rare").alias("skip"), F.posexplode("common").alias("place", "token")).select("cid", "n", (F.col("place") + F.col("skip")).alias("place"), "token"), "ngram-common")
 
@@ -202,10 +159,12 @@ class NgramJoin:
         used = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "c1", "c2", "first_doc"), "cid")
         used = stored(used, "ngram-used")
         wanted = used.where("first_doc IS NOT NULL").select(F.col("first_doc").alias("doc_id")).distinct()
-        docs = self.docs.where("doc_id IS NOT NULL").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi").unionByName(self.docs.where("doc_id IS NULL"))
-        made = self._map(docs, "doc_id long, c1 long, c2 long, tokens array<long>", lambda s: (*_class_key(s), s) if len(s) else None)
-        sets = made.join(used.hint("merge"), ["c1", "c2"]).groupBy("cid").agg(F.any_value("tokens").alias("tokens"))
-        sets = stored(sets, "ngram-sets")
+        near = lambda frame: F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
+        named = self.docs.where("doc_id IS NOT NULL").join(near(wanted), "doc_id", "left_semi")
+        fields = "doc_id long, c1 long, c2 long, tokens array<long>"
+        sets = lambda frame: self._map(frame, fields, lambda s: (*_class_key(s), s) if len(s) else None).select("c1", "c2", "tokens")
+        unnamed = sets(self.docs.where("doc_id IS NULL")).groupBy("c1", "c2").agg(F.any_value("tokens").alias("tokens"))
+        sets = stored(sets(named).unionByName(unnamed).join(near(used.select("cid", "c1", "c2")), ["c1", "c2"]).select("cid", "tokens"), "ngram-sets")
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")).hint("merge"), "a").join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t")).hint("merge"), "b")
         same = F.size(F.array_intersect("s", "t"))
         return stored(both.select("a", "b", (100 * same >= self.percent * (F.size("s") + F.size("t") - same)).alias("linked")), "ngram-verified")

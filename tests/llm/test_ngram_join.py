@@ -59,7 +59,7 @@ def corpus(seed, n):
     return [*rows, rows[0], rows[1], (None, texts[0]), (None, "only here without an id"), (None, None)]
 
 
-@pytest.mark.parametrize("seed, n, width, percent, frequent", [(1, 90, 2, 60, 2), (2, 90, 3, 85, 1), (3, 120, 4, 85, 48), (4, 60, 1, 80, 3)])
+@pytest.mark.parametrize("seed, n, width, percent, frequent", [(1, 90, 2, 60, 2), (2, 90, 3, 85, 1), (3, 120, 4, 85, 48)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, n, width, percent, frequent):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     rows = corpus(seed, n)
