@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .shingles import batches_of, distinct, sequences
 
-FREQUENT, ORDER_LIMIT = 48, 1 << 20
+FREQUENT, ORDER_LIMIT = 8, 1 << 20
 #: Ids that may be sent to all executors (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1 << 20
 
@@ -148,7 +148,7 @@ class NgramJoin:
         """(a, b) of representatives: all pairs around rare shingles; pairs with a centre around frequent ones."""
         x, y = self.rare.alias("x"), self.rare.alias("y")
         rare = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & self._pass("x", "y")))
-        centre = stored(self.common.groupBy("token").agg(F.min(F.struct("n", "cid", "place")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "c.*"), "ngram-centres")
+        centre = stored(self.common.groupBy("token").agg(F.min(F.struct("place", "n", "cid")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "c.*"), "ngram-centres")
         around = self._pairs(self.common.alias("x").hint("merge").join(centre.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") != F.col("y.cid")) & self._pass("x", "y")))
         return stored(rare, "ngram-pairs"), around
 
