@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, ngram_join, sharding, token_count, warc
+from . import bm25, byte_bpe, decontaminate, line_dedup, ngram_join, sharding, token_count, toxicity, url_filter, warc
 from .common import new_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -78,7 +78,18 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op7_byte_bpe": op7_byte_bpe, "op8_sharding": op8_sharding, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc, "op5_ngram_join": ngram_join.op5_ngram_join}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_token_counts": op2_token_counts,
+        "op3_top_k": bm25.op3_top_k,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op6_url_filter": url_filter.op6_url_filter,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_sharding": op8_sharding,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,16 +40,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words of a batch of texts, the index of each text's first word (one more at the end), and where in the
-    batch's bytes the words start."""
+def word_hashes(texts: pa.Array, separators: np.ndarray = BLANK, head: int | None = None) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of a batch of texts, and the index of each text's first word (one more at the end). With head also
+    the hashes of the words' first bytes, as many as that. separators says for each byte whether it parts words."""
     texts = texts.cast(pa.large_string()).fill_null("")
     edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts) or edges[0] == edges[-1]:
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return none if head is None else (*none, none[0])
     data = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]]
     edges = edges - edges[0]
-    blank = BLANK[data]
+    blank = separators[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[edges] = True  # a text's first byte starts a word, whatever is before it
     start = ~blank & (cut[:-1] | np.concatenate([[True], blank[:-1]]))
@@ -58,7 +59,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(VALUES[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[last] - sums[first]) * down[first]), np.searchsorted(first, edges), first
+    value = lambda end: mixed((sums[end] - sums[first]) * down[first])
+    found = value(last), np.searchsorted(first, edges)
+    return found if head is None else (*found, value(np.minimum(last, first + head)))
 
 
 def polynomial(words: np.ndarray, k: int) -> np.ndarray:
@@ -71,7 +74,7 @@ def polynomial(words: np.ndarray, k: int) -> np.ndarray:
 
 def sequences(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Each text's shingles in order; fewer words than width make one shingle, none make none."""
-    words, at, _ = word_hashes(texts)
+    words, at = word_hashes(texts)
     whole = polynomial(words, width) if len(words) >= width else words[:0]
     return [whole[a : b - width + 1] if b - a >= width else polynomial(words[a:b], b - a) if b > a else words[:0] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
