@@ -130,7 +130,7 @@ class NgramJoin:
         alone = one_each.join(self.grouped.where("cid != gid").select("cid"), "cid", "left_anti")
         # each group's representative at the places of its prefix
         self.rare = alone.select("cid", "n", F.posexplode("rare").alias("place", "token"))
-        self.common = stored(alone.where(F.size("common") > 0).select("cid", "n", F.size("rare").alias("skip"), F.posexplode("common").alias("place", "token")).select("cid", "n", (F.col("place") + F.col("skip")).alias("place"), "token"), "ngram-common")
+        self.common = stored(alone.where(F.size("common") > 0).select("cid", "n", F.size("rare").alias("skip"), F.posexplode("common").alias("place", "token")).select("cid", "n", "skip", (F.col("place") + F.col("skip")).alias("place"), "token"), "ngram-common")
 
     # 2: candidates
 
@@ -145,10 +145,11 @@ class NgramJoin:
         return joined.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).where("a < b").distinct()
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """(a, b) of representatives: all pairs around rare shingles; pairs with a centre around frequent ones."""
+        """(a, b) of representatives: all pairs around rare shingles; pairs with a centre around frequent ones. The centre is the
+        one with fewest rare shingles, then of least id, so that the shingles of a group of near copies agree on few centres."""
         x, y = self.rare.alias("x"), self.rare.alias("y")
         rare = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & self._pass("x", "y")))
-        centre = stored(self.common.groupBy("token").agg(F.min(F.struct("place", "n", "cid")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "c.*"), "ngram-centres")
+        centre = stored(self.common.groupBy("token").agg(F.min(F.struct("skip", "cid", "n", "place")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "c.*"), "ngram-centres")
         around = self._pairs(self.common.alias("x").hint("merge").join(centre.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") != F.col("y.cid")) & self._pass("x", "y")))
         return stored(rare, "ngram-pairs"), around
 
