@@ -27,6 +27,9 @@ from .common import runs_of
 #: Bytes of text that are encoded at a time; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
 LOST = "�".encode()
+#: Chunks whose ids a worker keeps; beyond it the store starts anew. It only saves work.
+KEEP_CHUNKS = 500_000
+MARK = "\U0010ffff"
 
 
 def byte_characters() -> list[str]:
@@ -81,16 +84,58 @@ def _joined(ids: np.ndarray, path: str, pattern: str) -> tuple[np.ndarray, np.nd
     return data[places], sizes
 
 
+def chunks(text: str) -> list[str] | None:
+    """The text in parts that matches never cross: words with the space before them, and line ends. None if white space of
+    another kind, or more than one in a row, is in it."""
+    if MARK in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        return None
+    return text.replace(" ", MARK + " ").replace("\n", f"{MARK}\n{MARK}").split(MARK)
+
+
+class Encoder:
+    """Encodes texts by the library; words that are new to the worker go to it in one text, parted by line ends."""
+
+    def __init__(self, path: str, pattern: str):
+        self.library, self.seen = tokenizer(path, pattern), {}
+        self.line_end = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self._ids(["\n".join(["", *words, ""])])[0], np.int32)
+        ends = np.flatnonzero(ids == self.line_end[0])
+        data = ids.tobytes()  # four bytes an id: joining bytes is faster than joining lists
+        self.seen |= {w: data[4 * i + 4 : 4 * j] for w, i, j in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.seen) > KEEP_CHUNKS:
+            self.seen.clear()
+        parts, seen = [chunks(t) if len(self.line_end) == 1 else None for t in texts], self.seen
+        seen |= {"": b"", "\n": np.array(self.line_end, np.int32).tobytes()}
+        fresh = list({c for cs in parts if cs for c in cs if c not in seen})
+        for a, b in runs_of([len(c) for c in fresh], CHUNK_BYTES):
+            self._learn(fresh[a:b])
+        whole = iter(self._ids([t for t, cs in zip(texts, parts) if cs is None]))
+        return [np.array(next(whole), np.int32) if cs is None else np.frombuffer(b"".join(map(seen.__getitem__, cs)), np.int32) for cs in parts]
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
-    """array<int>: the ids of each whole text."""
+    """array<int>: the ids of each whole text. The pattern's matches may begin with one space and hold no other space that
+    stands between characters that are no white space, and a single line end is a match of its own, as in GPT-2's pattern."""
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        made, lists = tokenizer(path, pattern), []
-        values = texts.to_pylist()
+        lists, values = [], texts.to_pylist()
         for a, b in runs_of([len(t or "") for t in values], CHUNK_BYTES):
-            some = made.encode_batch_fast([t or "" for t in values[a:b]], add_special_tokens=False)
-            lists.append(pa.array([None if t is None else e.ids for t, e in zip(values[a:b], some)], pa.list_(pa.int32())))
+            some = encoder(path, pattern).encode([t or "" for t in values[a:b]])
+            ends = pa.array(np.cumsum([0, *map(len, some)]), pa.int32(), mask=np.array([*(t is None for t in values[a:b]), False]))
+            lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(some), pa.int32())))
         return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
 
     return encoded(text)
