@@ -27,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SALTS = 32
 #: About this many bytes of payload make a file, and this many lines an index block.
 FILE_BYTES, BLOCK_LINES = 32 << 20, 3000
+#: Rows that may be sent to all executors (under 100 bytes each); beyond it joins shuffle.
+SMALL_ROWS = 1 << 17
 DATE = "1970-01-01T00:00:00Z"
 NAME = "urn:rillgrid:page:"
 ARCHIVE_SCHEMA = "key string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -101,11 +105,15 @@ def members(content: bytes, window: int = 1 << 16):
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages(page_id, url, payload) with sha1, record_type and refers_to. Only ids and hashes are grouped; the pages meet the
-    groups that have more than one id under a salt."""
+    groups that have more than one id by broadcast if these are few, else under a salt."""
     named = pages.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     groups = named.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = groups.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = named.join(groups.hint("merge"), ["sha1", "bytes", "salt"], "left")
+    groups = stored(groups.drop("n"), "warc-groups")
+    if groups.count() <= SMALL_ROWS:
+        joined = named.join(F.broadcast(groups), ["sha1", "bytes"], "left")
+    else:
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = named.join(salted.hint("merge"), ["sha1", "bytes", "salt"], "left")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -196,6 +204,7 @@ def read_captures(spark: SparkSession, folder: str, found: DataFrame) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()])], ["key", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     lists = found.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))
+    lists = F.broadcast(lists) if found.count() <= SMALL_ROWS else lists.hint("merge")
     return files(spark, folder).select("path", "content").join(lists, "path").mapInArrow(ranges, ARCHIVE_SCHEMA)
 
 

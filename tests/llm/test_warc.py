@@ -38,8 +38,9 @@ def made(spark, rows, min_bytes=0):
     return f"{folder}/a", f"{folder}/i"
 
 
-@pytest.mark.parametrize("min_bytes", [0, 5])
-def test_round_trip(spark, min_bytes):
+@pytest.mark.parametrize("min_bytes, small", [(0, 1 << 17), (5, 0)])
+def test_round_trip(spark, monkeypatch, min_bytes, small):
+    monkeypatch.setattr(warc, "SMALL_ROWS", small)
     a, i = made(spark, ROWS, min_bytes)
     got = warc.read_archives(spark, a, i).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(ROWS, min_bytes)
