@@ -63,13 +63,15 @@ def fit_linear(flat: np.ndarray, begin: np.ndarray, earlier: np.ndarray, y: np.n
     model = Linear(base, np.zeros(BUCKETS), np.zeros(earlier.shape[1]))
     if ones in (0, n):
         return model
-    row = np.repeat(np.arange(n), np.diff(begin))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin))
     pos, both = np.bincount(flat[y[row] == 1], minlength=BUCKETS), np.bincount(flat, minlength=BUCKETS)
     ratio = np.log((pos / ones + shrink / n) / ((both - pos) / (n - ones) + shrink / n))
     use = (np.abs(ratio) > 0.7) & (both > 2)
     keep = use[flat]
     at, r = flat[keep], row[keep]
-    names, at = np.unique(at, return_inverse=True)
+    del row, keep
+    names = np.flatnonzero(use)
+    at = (np.cumsum(use) - 1).astype(np.int32)[at]
     scale = ratio[names]
     x = np.column_stack([earlier, np.ones(n)])
     w, v = np.full(len(names), 0.3), np.zeros(x.shape[1])
@@ -89,7 +91,7 @@ def fit_linear(flat: np.ndarray, begin: np.ndarray, earlier: np.ndarray, y: np.n
 def _rows(flat, begin, pick):
     sizes = np.diff(begin)[pick]
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    return flat[np.arange(ends[-1]) + np.repeat(begin[pick] - ends[:-1], sizes)], ends
+    return flat[np.arange(ends[-1], dtype=np.int32) + np.repeat((begin[pick] - ends[:-1]).astype(np.int32), sizes)], ends
 
 
 class Chain:
@@ -99,10 +101,9 @@ class Chain:
         self.categories, self.models, self.threshold = categories, models, threshold
 
     @classmethod
-    def fit(cls, lists: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], folds: int = FOLDS) -> Chain:
-        begin = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-        n, models, earlier = len(lists), [], np.zeros((len(lists), 0))
+    def fit(cls, flat: np.ndarray, begin: np.ndarray, labels: np.ndarray, categories: tuple[str, ...], folds: int = FOLDS) -> Chain:
+        """flat: the rows' places one after the other; begin: where each row's start, and the end."""
+        n, models, earlier = len(labels), [], np.zeros((len(labels), 0))
         fold = np.arange(n) % folds  # the rows come in the order of a hash
         for k in range(len(categories)):
             y, out = labels[:, k], np.zeros(n)
@@ -147,7 +148,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     # ids may repeat in the documents, so the bound holds after the join as well
     rows = texts.withColumn("_places", placed(F.col(text_col))).drop(text_col).orderBy("_order", id_col, *categories, "_places").limit(fit_rows).toArrow()
     values = np.column_stack([rows.column(c).to_numpy().astype(np.float64) for c in categories]) if rows.num_rows else np.zeros((0, len(categories)))
-    return Chain.fit([np.asarray(x.values) for x in rows.column("_places")], values, categories)
+    lists = rows.column("_places").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.asarray(lists.value_lengths()) if len(lists) else np.empty(0, np.int64)
+    return Chain.fit(np.asarray(lists.flatten()).astype(np.int32, copy=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), values, categories)
 
 
 def probabilities(text: Column, chain: Chain, spark: SparkSession) -> Column:
