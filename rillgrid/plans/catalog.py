@@ -140,11 +140,12 @@ def priority_order(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.round(jobs.priority(factors) + 1e-7, 4).alias("priority")).orderBy(F.desc("priority"), "c_custkey")
 
 
-@query("SELECT doc_id, source_size, target_size, CASE WHEN target_size IS NULL THEN 'missing' WHEN source_size IS NULL THEN 'extra' WHEN source_size <> target_size THEN 'differs' ELSE 'equal' END AS status FROM (SELECT doc_id, n_chars AS source_size FROM documents WHERE doc_id % 3 > 0) FULL JOIN (SELECT doc_id, n_chars + (doc_id % 7 = 0)::INT AS target_size FROM documents WHERE doc_id % 5 > 0) USING (doc_id)")
+@query("SELECT id, source_size, target_size, CASE WHEN target_size IS NULL THEN 'missing' WHEN source_size IS NULL THEN 'extra' WHEN source_size <> target_size THEN 'differs' ELSE 'equal' END AS status FROM (SELECT p_partkey AS id, p_size AS source_size FROM part) FULL JOIN (SELECT vec_id AS id, label AS target_size FROM embeddings) USING (id)")
 def manifest_diff(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "n_chars")
-    target = docs.where("doc_id % 5 > 0").withColumn("n_chars", F.col("n_chars") + (F.col("doc_id") % 7 == 0).cast("int"))
-    return lines.manifest_difference(docs.where("doc_id % 3 > 0"), target, "doc_id", "n_chars")
+    """Parts and traces as two listings of ids with sizes."""
+    source = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
+    target = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("size"))
+    return lines.manifest_difference(source, target, "id", "size")
 
 
 @query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id) + 1e-9, 6) AS demeaned FROM events")
