@@ -38,8 +38,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each whole text; decoding them gives the text's bytes again, and its digest says so."""
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
-    coded = docs.select("doc_id", "lang", "source", byte_bpe.encode(F.coalesce("text", F.lit("")), path, pattern).alias("ids"))
-    back = coded.withColumn("decoded", byte_bpe.decode(F.col("ids"), path, pattern))
+    coded = docs.select("doc_id", "lang", "source", byte_bpe.round_trip(F.coalesce("text", F.lit("")), path, pattern).alias("coded"))
+    back = coded.select("doc_id", "lang", "source", "coded.ids", "coded.decoded")
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
 

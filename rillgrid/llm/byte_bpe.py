@@ -125,18 +125,32 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def _encoded(texts: pa.Array, path: str, pattern: str) -> pa.Array:
+    lists, values = [], texts.to_pylist()
+    for a, b in runs_of([len(t or "") for t in values], CHUNK_BYTES):
+        some = encoder(path, pattern).encode([t or "" for t in values[a:b]])
+        ends = pa.array(np.cumsum([0, *map(len, some)]), pa.int32(), mask=np.array([*(t is None for t in values[a:b]), False]))
+        lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(some), pa.int32())))
+    return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
+
+
+def _decoded(lists: pa.Array, path: str, pattern: str) -> pa.Array:
+    made, ends = [], np.asarray(lists.offsets)
+    flat = np.asarray(lists.values.fill_null(-1)).astype(np.int64)
+    for a, b in runs_of(np.diff(ends).tolist(), CHUNK_BYTES):
+        data, sizes = _joined(flat[ends[a] : ends[b]], path, pattern)
+        at = np.concatenate([[0], np.cumsum(sizes)])[ends[a : b + 1] - ends[a]]
+        made.append(pa.array([data[i:j].tobytes() if ok else None for i, j, ok in zip(at[:-1], at[1:], lists[a:b].is_valid().to_pylist())], pa.binary()))
+    return pa.concat_arrays(made) if made else pa.array([], pa.binary())
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """array<int>: the ids of each whole text. The pattern's matches may begin with one space and hold no other space that
     stands between characters that are no white space, and a single line end is a match of its own, as in GPT-2's pattern."""
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        lists, values = [], texts.to_pylist()
-        for a, b in runs_of([len(t or "") for t in values], CHUNK_BYTES):
-            some = encoder(path, pattern).encode([t or "" for t in values[a:b]])
-            ends = pa.array(np.cumsum([0, *map(len, some)]), pa.int32(), mask=np.array([*(t is None for t in values[a:b]), False]))
-            lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(some), pa.int32())))
-        return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
+        return _encoded(texts, path, pattern)
 
     return encoded(text)
 
@@ -146,17 +160,22 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def decoded(lists: pa.Array) -> pa.Array:
-        made, ends = [], np.asarray(lists.offsets)
-        flat = np.asarray(lists.values.fill_null(-1)).astype(np.int64)
-        for a, b in runs_of(np.diff(ends).tolist(), CHUNK_BYTES):
-            data, sizes = _joined(flat[ends[a] : ends[b]], path, pattern)
-            at = np.concatenate([[0], np.cumsum(sizes)])[ends[a : b + 1] - ends[a]]
-            made.append(pa.array([data[i:j].tobytes() if ok else None for i, j, ok in zip(at[:-1], at[1:], lists[a:b].is_valid().to_pylist())], pa.binary()))
-        return pa.concat_arrays(made) if made else pa.array([], pa.binary())
+        return _decoded(lists, path, pattern)
 
     return decoded(ids)
 
 
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids, decoded>: encode() and decode() of its ids in one worker, so that a task needs no second one."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _encoded(texts, path, pattern)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, path, pattern)], ["ids", "decoded"])
+
+    return both(text)
+
+
 def decode_text(ids: Column, path: str, pattern: str) -> Column:
     """string: decoded bytes as text, with U+FFFD for what is no UTF-8."""
 

@@ -26,8 +26,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids again and returns digests of both."""
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.select("doc_id", byte_bpe.encode(F.coalesce("text", F.lit("")), path, pattern).alias("ids"))
-    back = coded.withColumn("decoded", byte_bpe.decode(F.col("ids"), path, pattern))
+    coded = docs.select("doc_id", byte_bpe.round_trip(F.coalesce("text", F.lit("")), path, pattern).alias("coded"))
+    back = coded.select("doc_id", "coded.ids", "coded.decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -59,6 +59,13 @@ def test_ids_equal_tiktoken_and_come_back(spark):
             assert [s.begin for s in r.spans] == begins and r.spans[-1].end == len(t)
 
 
+def test_round_trip_is_encode_then_decode(spark):
+    values = [*texts(50), None]
+    two = byte_bpe.encode(F.col("text"), RANKS, P.PATTERN)
+    coded = frame(spark, values).select(two.alias("ids"), byte_bpe.decode(two, RANKS, P.PATTERN).alias("raw"), byte_bpe.round_trip(F.col("text"), RANKS, P.PATTERN).alias("c"))
+    assert coded.where("NOT (c.ids <=> ids AND c.decoded <=> raw)").count() == 0
+
+
 def test_split_characters_and_unknown_ids(spark):
     ids = tik().encode_ordinary("a日本😀")
     assert "".join(byte_bpe.pieces(ids, RANKS, P.PATTERN)) == "a日本😀"
