@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillgrid.llm import byte_bpe, decontaminate, line_dedup, ngram_join, toxicity
-from rillgrid.llm.common import stored, table
+from rillgrid.llm.common import small_batches, stored, table
 
 MIN_LINE_DOCS, BYTE_BPE = 10, "byte_bpe_multi_50k.tiktoken"
 
@@ -37,6 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each whole text; decoding them gives the text's bytes again, and its digest says so."""
+    small_batches(spark)
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
     coded = docs.select("doc_id", "lang", "source", byte_bpe.round_trip(F.coalesce("text", F.lit("")), path, pattern).alias("coded"))
     back = coded.select("doc_id", "lang", "source", "coded.ids", "coded.decoded")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import runs_of
 
 #: Bytes of text that are encoded at a time; bounds a worker's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 LOST = "�".encode()
 #: Chunks whose ids a worker keeps; beyond it the store starts anew. It only saves work.
 KEEP_CHUNKS = 500_000

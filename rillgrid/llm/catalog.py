@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bm25, byte_bpe, decontaminate, line_dedup, ngram_join, sharding, token_count, toxicity, url_filter, warc
-from .common import new_folder, table
+from .common import new_folder, small_batches, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids again and returns digests of both."""
+    small_batches(spark)
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = docs.select("doc_id", byte_bpe.round_trip(F.coalesce("text", F.lit("")), path, pattern).alias("coded"))

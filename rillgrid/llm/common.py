@@ -13,6 +13,17 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of rows that Spark sends to a Python worker at a time; a batch of 10,000 long texts would be far more.
+ARROW_BYTES, ARROW_DEFAULT = "4m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by ARROW_BYTES, where the user has left Spark's default; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == ARROW_DEFAULT:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

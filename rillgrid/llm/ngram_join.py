@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 from .shingles import batches_of, distinct, sequences
 
 FREQUENT, ORDER_LIMIT = 8, 1 << 20
@@ -62,6 +62,7 @@ class NgramJoin:
 
     def __init__(self, docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id"):
         self.spark: SparkSession = docs.sparkSession
+        small_batches(self.spark)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.words, self.percent = words, percent
 

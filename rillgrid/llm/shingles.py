@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 MULTIPLIER = 0x9E3779B97F4A7C15
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

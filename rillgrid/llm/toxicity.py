@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .shingles import BLANK, batches_of, distinct, word_hashes
 
 BUCKETS, HEAD_BYTES, FOLDS, FIT_ROWS = 1 << 20, 5, 3, 20_000
@@ -57,6 +57,14 @@ class Linear:
         return self.bias + sums[begin[1:]] - sums[begin[:-1]] + (earlier @ self.extra if len(self.extra) else 0.0)
 
 
+def tally(places: np.ndarray) -> np.ndarray:
+    """How often each place occurs; counted in slices, since bincount copies what it counts to 64 bits."""
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(places), BUCKETS):
+        total += np.bincount(places[at : at + BUCKETS], minlength=BUCKETS)
+    return total
+
+
 def fit_linear(flat: np.ndarray, begin: np.ndarray, earlier: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float = 1e-3, shrink: float = 4.0) -> Linear:
     n, ones = len(y), int(y.sum())
     base = float(np.log((ones + 0.5) / (n - ones + 0.5))) if n else -4.0
@@ -64,7 +72,7 @@ def fit_linear(flat: np.ndarray, begin: np.ndarray, earlier: np.ndarray, y: np.n
     if ones in (0, n):
         return model
     row = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin))
-    pos, both = np.bincount(flat[y[row] == 1], minlength=BUCKETS), np.bincount(flat, minlength=BUCKETS)
+    pos, both = tally(flat[(y == 1)[row]]), tally(flat)
     ratio = np.log((pos / ones + shrink / n) / ((both - pos) / (n - ones) + shrink / n))
     use = (np.abs(ratio) > 0.7) & (both > 2)
     keep = use[flat]
@@ -89,9 +97,8 @@ def fit_linear(flat: np.ndarray, begin: np.ndarray, earlier: np.ndarray, y: np.n
 
 
 def _rows(flat, begin, pick):
-    sizes = np.diff(begin)[pick]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    return flat[np.arange(ends[-1], dtype=np.int32) + np.repeat((begin[pick] - ends[:-1]).astype(np.int32), sizes)], ends
+    ends = np.concatenate([[0], np.cumsum(np.diff(begin)[pick])])
+    return np.concatenate([flat[:0], *(flat[begin[i] : begin[i + 1]] for i in pick)]), ends
 
 
 class Chain:
@@ -137,6 +144,7 @@ class Chain:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, fit_rows: int = FIT_ROWS, text_col: str = "text", id_col: str = "doc_id") -> Chain:
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col), *categories).dropna().withColumn("_order", F.xxhash64(id_col))
     known = known.orderBy("_order", id_col, *categories).limit(fit_rows)  # at most fit_rows small rows
 
@@ -156,6 +164,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
 
 def probabilities(text: Column, chain: Chain, spark: SparkSession) -> Column:
     """array<double>: one probability a category."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(chain)
 
     @F.arrow_udf("array<double>")
