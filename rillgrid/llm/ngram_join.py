@@ -8,8 +8,8 @@ one of the first n - ceil(n * percent / 100) + 1 shingles (the prefix) of each.
 2. Groups that share a prefix shingle and pass the length and position filters are candidates. Around a rare shingle all pairs
    are taken; around a frequent one each group is first compared with one centre only.
 3. Candidates' representatives are verified on their whole sets, and links give components.
-4. What is still undecided follows exactly: pairs of members, and pairs around frequent shingles, that lie in different
-   components and were not verified. Their links join the components. Pairs within a component need no check, so a large
+4. What is still undecided follows exactly: pairs of members, also of groups around frequent shingles, that lie in
+   different components and were not verified. Their links join the components. Pairs within a component need no check, so a large
    group of near copies does not cost the square of its size, and no link between components is lost.
 
 The frequent shingles (in more than FREQUENT prefix neighbourhoods) are counted over all documents; at most ORDER_LIMIT of
@@ -172,17 +172,19 @@ class NgramJoin:
         return stored(both.select("a", "b", (100 * same >= self.percent * (F.size("s") + F.size("t") - same)).alias("linked")), "ngram-verified")
 
     def _unchecked(self, labels: DataFrame, rare: DataFrame) -> DataFrame:
-        """(a, b) of classes in different components that may link: members of candidate groups, and pairs around frequent shingles."""
+        """(a, b) of classes in different components that may link: members of candidate groups, around rare and frequent shingles."""
         named = self.classes.select("cid").join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))
-        common = stored(self.common.join(named, "cid"), "ngram-common")
-        mixed_tokens = stored(common.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("token"), "ngram-mixed")
+        group = stored(named.join(self.grouped, "cid", "left").select("cid", "label", F.coalesce("gid", "cid").alias("gid")), "ngram-labels")
+        # a representative stands for all labels of its group's members
+        span = stored(group.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2")), "ngram-spans")
+        common = stored(self.common.join(span.withColumnRenamed("gid", "cid"), "cid"), "ngram-common")
+        mixed_tokens = stored(common.groupBy("token").agg(F.min("l1").alias("t1"), F.max("l2").alias("t2")).where("t1 < t2").select("token"), "ngram-mixed")
         open_rows = common.join(mixed_tokens.hint("merge"), "token")
         x, y = open_rows.alias("x"), open_rows.alias("y")
-        around = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & self._pass("x", "y")))
+        differ = F.least("x.l1", "y.l1") < F.greatest("x.l2", "y.l2")
+        around = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & differ & self._pass("x", "y")))
         if self.grouped.isEmpty():
             return stored(around, "ngram-pairs")
-        group = stored(named.join(self.grouped, "cid", "left").select("cid", "label", F.coalesce("gid", "cid").alias("gid")), "ngram-labels")
-        span = group.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2"))
         asked = rare.unionByName(around).unionByName(self.grouped.select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
         for side in "ab":
             asked = asked.join(span.select(F.col("gid").alias(side), F.col("l1").alias(f"{side}1"), F.col("l2").alias(f"{side}2")), side)

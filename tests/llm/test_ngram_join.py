@@ -78,3 +78,14 @@ def test_one_document_of_each_component_stays(spark):
 def test_no_documents(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert ngram_join.near_duplicates(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).count() == 2
+
+
+def test_links_of_group_members_around_frequent_shingles(spark):
+    """Of each passage, two cuts share size and prefix but do not link; the whole passage links both."""
+    rows = []
+    for k in range(6):
+        words = [f"p{k}w{i}" for i in range(23)]
+        for cut in (words, words[:-2], words[2:]):
+            rows += [(len(rows) + i, " ".join(cut)) for i in range(ngram_join.FREQUENT + 1)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4, 85)
