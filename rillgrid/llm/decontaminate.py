@@ -2,12 +2,13 @@
 
 An item of L words is compared with the windows of L words of each document, as weighted sets of w-word shingles (w = 5; an
 item of fewer words is one shingle): similarity = sum of lower / sum of higher weighted counts, a shingle's weight being
-1 + ln(items / items that have it). Items at 0.8 or more are reported.
+1 + ln(items / items that have it). Items at 0.8 or more are reported. A document of fewer words than the item is one window,
+and n_words are its own.
 
 Windows get 64-bit SimHashes of their weighted shingles, and a multi-index of four 16-bit blocks finds every item whose
 fingerprint lies within RADIUS bits: by the pigeonhole principle such a fingerprint differs in at most RADIUS // 4 bits in some block,
 and every block value that near is in the index. Candidates are then verified exactly. Only windows that hold a shingle of an
-item of their size are hashed; others have similarity 0. (A window at similarity 0.8 exactly lies beyond 15 bits in about 2
+item that they are compared with are hashed; others have similarity 0. (A window at similarity 0.8 exactly lies beyond 15 bits in about 2
 of 100 cases; neighbouring windows of a longer copy give it further chances, exact copies lie at 0 bits.)
 
 Items are sent to the executors in blocks of at most ITEM_BYTES of text, each in a pass of its own, so that memory is bounded
@@ -107,19 +108,19 @@ class Items:
         return sorted(pairs)
 
     def matches(self, words: np.ndarray, by_width: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """(item id, first word, words, similarity) of one text: each item's best window, the first of equals."""
+        """(item id, first word, words, similarity) of one text: each item's best window, the first of equals; of a text
+        shorter than the item the whole text."""
         best: dict[int, tuple] = {}
         for width, (shingles, hits) in by_width.items():
             starts = defaultdict(set)
             for hit in hits.tolist():
                 for size in self.holders[int(shingles[hit])]:
                     if min(self.words, size) == width:
-                        starts[size].update(range(max(0, hit - size + width), min(hit, len(words) - size) + 1))
+                        length = min(size, len(words))
+                        starts[size].update(range(max(0, hit - length + width), min(hit, len(words) - length) + 1))
             for size, some in starts.items():
                 first = np.array(sorted(some), np.int64)
-                if not len(first):
-                    continue
-                n = size - width + 1
+                n = min(size, len(words)) - width + 1
                 for run in np.split(first, np.flatnonzero(np.diff(first) > n) + 1):
                     part = shingles[run[0] : run[-1] + n]
                     prints = fingerprints(part, self.weights(part), run - run[0], n)
@@ -127,7 +128,7 @@ class Items:
                         at = int(run[w])
                         if (how := self.similar(item, shingles[at : at + n])) >= self.similarity and (how, -at) > best.get(item, (-1.0, 0)):
                             best[item] = (how, -at)
-        return [(self.items[i][0], -at, self.items[i][1], how) for i, (how, at) in best.items()]
+        return [(self.items[i][0], -at, min(self.items[i][1], len(words)), how) for i, (how, at) in best.items()]
 
     def search(self, texts: pa.Array):
         """matches() of each text of a batch that has any, with its place in the batch."""

@@ -113,3 +113,14 @@ def test_multi_index_finds_all_fingerprints_within_the_radius():
         value = int(made.prints[i]) ^ sum(1 << b for b in flips)
         found = {item for _, item in made.candidates(30, np.array([value], np.uint64))}
         assert found == {k for k in range(40) if (int(made.prints[k]) ^ value).bit_count() <= 15}
+
+
+def test_texts_shorter_than_the_item(spark):
+    r = random.Random(4)
+    items = [(i, " ".join(f"u{r.randrange(10**6)}" for _ in range(n))) for i, n in enumerate([50, 40, 30, 6, 3, 58])]
+    cut = lambda i, a, b: " ".join(items[i][1].split()[a:b])
+    docs = [(0, cut(0, 0, 47)), (1, cut(1, 1, 40)), (2, cut(2, 1, 29)), (3, cut(0, 0, 25)), (4, cut(3, 0, 5)), (5, cut(4, 0, 2)), (6, cut(5, 0, 50).upper()), (7, cut(0, 0, 49) + "\n"), (None, cut(0, 2, 50))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((g.doc_id, g.item_id, g.first_word, g.n_words) for g in decontaminate.leaks(*frames).collect()), key=str)
+    assert got == sorted([(0, 0, 0, 47), (1, 1, 0, 39), (2, 2, 0, 28), (6, 5, 0, 50), (7, 0, 0, 49), (None, 0, 0, 48)], key=str)
+    assert sorted(d.doc_id for d in decontaminate.drop_leaking(*frames).collect() if d.doc_id is not None) == [3, 4, 5]
