@@ -11,8 +11,10 @@ and every block value that near is in the index. Candidates are then verified ex
 item that they are compared with are hashed; others have similarity 0. (A window at similarity 0.8 exactly lies beyond 15 bits in about 2
 of 100 cases; neighbouring windows of a longer copy give it further chances, exact copies lie at 0 bits.)
 
-Items are sent to the executors in blocks of at most ITEM_BYTES of text, each in a pass of its own, so that memory is bounded
-whatever the benchmark's size; documents are never shuffled.
+Items are sent to the executors in blocks of about ITEM_BYTES of text, each in a pass of its own; documents are never shuffled.
+Weights are those of the whole benchmark in every pass: with several, each gets the number of items and the counts of all
+shingles that two or more items have (the others weigh the same as unseen ones), also of those that only other blocks' items
+have, since windows hold them too. That is 16 bytes for each such shingle, not bounded by ITEM_BYTES.
 
 Cases: null, empty and blank items match nothing, as do such texts; rows without id are reported with a null id; repeated
 rows and items are reported each; empty tables give an empty result; other columns are ignored. Texts are read whole.
@@ -29,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .shingles import batches_of, polynomial, word_hashes
+from .common import stored, table
+from .shingles import batches_of, distinct, polynomial, sequences, word_hashes
 
 WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 4
 ITEM_BYTES = 4 << 20
@@ -54,7 +56,8 @@ def fingerprints(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray,
 class Items:
     """A block of benchmark items, made ready on the executors."""
 
-    def __init__(self, rows: list[tuple[int, str]], words: int, similarity: float, radius: int):
+    def __init__(self, rows: list[tuple[int, str]], words: int, similarity: float, radius: int, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """whole: of the benchmark that rows are a block of, frequencies(); without it rows are the benchmark."""
         self.words, self.similarity, self.radius = words, similarity, radius
         hashes, at = word_hashes(pa.array([t for _, t in rows], pa.string()))
         self.items, self.sizes = [], defaultdict(list)
@@ -64,10 +67,13 @@ class Items:
                 self.items.append((item, b - a, polynomial(hashes[a:b], min(words, b - a))))
         seen = Counter(s for *_, sh in self.items for s in set(sh.tolist()))
         self.known = np.array(sorted(seen), np.uint64)
-        self.weight = np.array([round(SCALE * (1 + math.log(len(self.items) / seen[s]))) for s in self.known.tolist()], np.int64)
-        self.rare = round(SCALE * (1 + math.log(max(1, len(self.items)))))
+        if whole is None:
+            shared = np.array(sorted(s for s, n in seen.items() if n > 1), np.uint64)
+            whole = len(self.items), shared, np.array([seen[s] for s in shared.tolist()], np.int64)
+        total, self.shared, have = whole
+        self.rare = round(SCALE * (1 + math.log(max(1, total))))
+        self.weight = np.array([round(SCALE * (1 + math.log(total / n))) for n in have.tolist()], np.int64)
         self.counts = [Counter(sh.tolist()) for *_, sh in self.items]
-        self.weighted = dict(zip(self.known.tolist(), self.weight.tolist()))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known % np.uint64(1 << 20)).astype(np.int64)] = True
         self.holders = defaultdict(set)  # the sizes of the items that hold a shingle
@@ -85,13 +91,17 @@ class Items:
                 self.index[size, block] = value[order], item[order]
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[place] == shingles, self.weight[place], self.rare)
+        if not len(self.shared):
+            return np.full(len(shingles), self.rare, np.int64)
+        place = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+        return np.where(self.shared[place] == shingles, self.weight[place], self.rare)
 
     def similar(self, item: int, shingles: np.ndarray) -> float:
         a, b = self.counts[item], Counter(shingles.tolist())
-        low = sum(min(n, b[s]) * self.weighted[s] for s, n in a.items())
-        high = sum(n * self.weighted[s] for s, n in a.items()) + sum(n * self.weighted.get(s, self.rare) for s, n in b.items()) - low
+        every = list(a | b)
+        weight = dict(zip(every, self.weights(np.array(every, np.uint64)).tolist()))
+        low = sum(min(n, b[s]) * weight[s] for s, n in a.items())
+        high = sum(n * weight[s] for s, n in a.items()) + sum(n * weight[s] for s, n in b.items()) - low
         return low / high
 
     def candidates(self, size: int, prints: np.ndarray):
@@ -155,11 +165,30 @@ class Items:
                 yield int(doc), row
 
 
+def frequencies(items: DataFrame, words: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of a benchmark (item, text): the items with words, the shingles that two or more of them have, ascending, and how many have each."""
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in batches_of(batch.column(0)):
+                lists = [distinct(s).view(np.int64) for s in sequences(texts, words) if len(s)]
+                if lists:
+                    ends = np.cumsum([0, *map(len, lists)])
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int64()))], ["tokens"])
+
+    made = stored(items.select("text").mapInArrow(run, "tokens array<long>"), "item-shingles")
+    counts = made.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").toArrow()
+    token, have = counts.column("token").to_numpy().view(np.uint64), counts.column("count").to_numpy()
+    order = np.argsort(token)
+    return made.count(), token[order], have[order]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): each document's best window of each item that it holds."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     passes = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / ITEM_BYTES))
+    whole = spark.sparkContext.broadcast(frequencies(items, words) if passes > 1 else None)
     found = None
     for one in range(passes):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == one).orderBy("item", "text").collect()
@@ -168,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity:
 
         def search(batches, sent=sent, made=made):
             if 0 not in made:
-                made[0] = Items(sent.value, words, similarity, radius)
+                made[0] = Items(sent.value, words, similarity, radius, whole.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for at, texts in batches_of(batch.column(1)):
@@ -183,8 +212,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity:
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without those that hold an item. Rows without an id stay."""
-    from .common import stored
-
     gone = stored(leaks(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
     return docs.join(gone, id_col, "left_anti")
 

@@ -124,3 +124,23 @@ def test_texts_shorter_than_the_item(spark):
     got = sorted(((g.doc_id, g.item_id, g.first_word, g.n_words) for g in decontaminate.leaks(*frames).collect()), key=str)
     assert got == sorted([(0, 0, 0, 47), (1, 1, 0, 39), (2, 2, 0, 28), (6, 5, 0, 50), (7, 0, 0, 49), (None, 0, 0, 48)], key=str)
     assert sorted(d.doc_id for d in decontaminate.drop_leaking(*frames).collect() if d.doc_id is not None) == [3, 4, 5]
+
+
+def test_several_passes_give_the_results_of_one(spark, monkeypatch):
+    """Items share passages across passes, and windows hold passages of other items, so that weights decide near 0.8."""
+    r = random.Random(8)
+    fresh = lambda n: [f"t{r.randrange(10**6)}" for _ in range(n)]
+    shared = [fresh(20) for _ in range(3)]
+    items = [(i, " ".join(fresh(20) + shared[i % 3])) for i in range(30)] + [(40, "")]
+    docs = []
+    for d in range(120):
+        words = items[d % 30][1].split()
+        cut = 1 + d // 30
+        words[-cut:] = shared[(d + 1) % 3][:cut] if d % 2 else fresh(cut)
+        words[:cut] = shared[(d + 2) % 3][-cut:]
+        docs.append((d, " ".join(fresh(5) + words + shared[d % 3] + fresh(5))))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(tuple(g) for g in decontaminate.leaks(*frames).collect())
+    one = found()
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", sum(len(t) for _, t in items) // 6)
+    assert one and found() == one
