@@ -66,3 +66,19 @@ def stripped(text: Column) -> Column:
 def exact_mean(x: Column, digits: int = 4) -> Column:
     """Mean of numbers of fixed decimals, by an exact sum, so that it does not depend on the order of rows."""
     return F.sum(x.cast(f"decimal(28,{digits})")).cast("double") / F.count(x)
+
+
+def elapsed(seconds: Column, limit: int) -> list[Column]:
+    """Whole minutes, the seconds left, and the seconds over a limit."""
+    return [F.floor(seconds / 60).cast("long").alias("minutes"), F.pmod(seconds, F.lit(60)).cast("long").alias("seconds"), F.greatest(seconds - limit, F.lit(0)).cast("long").alias("over")]
+
+
+def path_parts(path: Column) -> list[Column]:
+    """The folder and the name of a path; a path without a slash has the empty folder."""
+    return [F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract(path, r"([^/]*)$", 1).alias("name")]
+
+
+def percent(part: Column, whole: Column, digits: int = 1) -> Column:
+    """100 * part / whole of whole numbers, rounded half up in exact decimals; null for a whole of 0."""
+    share = (part.cast("decimal(20,0)") * 100).cast("decimal(24,0)") / F.nullif(whole, F.lit(0)).cast("decimal(12,0)")
+    return F.round(share, digits).cast("double")

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import array_spec
+from ..sources.steps import stored
 
 #: Weights of the priority factors.
 WEIGHTS = {"partition": 15000, "fairshare": 30000, "job_size": 1000, "age": 300}
 
 
+#: Partitions with their time limit in minutes, their nodes, and the most cores of a job where it is limited.
+PARTITIONS = [
+    ("debug-cpu", 15, 2, None), ("public-cpu", 5760, 32, None), ("public-gpu", 2880, 2, None), ("public-bigmem", 5760, 2, None), ("public-interactive-cpu", 480, 1, None), ("public-interactive-gpu", 240, 1, None),
+    ("public-longrun-cpu", 20160, 1, 2), ("public-short-cpu", 60, 2, None), ("shared-cpu", 720, 45, None), ("shared-gpu", 720, 9, None), ("shared-bigmem", 720, 2, None),
+]
+#: Symptoms of failed jobs, with what is behind them and what helps.
+FAILURES = [
+    ("OUT_OF_MEMORY", "asked for too little memory", "ask for more memory a core or job"), ("TIMEOUT", "ran into its time limit", "ask for more time or write checkpoints"), ("FAILED", "the script ended with an error", "read the traceback in its log"),
+    ("PENDING", "nothing free that fits", "look at its expected start or take another partition"), ("NODE_FAIL", "a machine broke down", "hand it in again"), ("FileNotFoundError", "the shared file system lagged behind", "unpack the environment on the node"),
+]
+#: The checks before a job is handed in, in order.
+CHECKLIST = ["tried_small", "log_folder", "environment", "memory_set", "time_set", "tasks_match", "outputs_writable", "inputs_exist", "headless_plots"]
+
+
 def fan_out(jobs: DataFrame, spec: str = "array_spec") -> DataFrame:
     """One row a task, with the wave it runs in at the earliest if `most` tasks run at once. Specs that do not parse drop out."""
     parsed = jobs.withColumn("_a", array_spec(F.col(spec))).where("_a IS NOT NULL AND _a.lo <= _a.hi")
@@ -24,18 +41,24 @@ def task_parameters(tasks: DataFrame, values: list[float], index: str = "task_id
     return tasks.withColumn("parameter", F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(index)))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(job_id, level): the longest chain of dependencies before each job of an acyclic graph, by rounds of joins. Each round
-    moves a frontier one edge on; the frontier keeps one row a job."""
-    folder = nodes.sparkSession
-    best = frontier = nodes.join(edges, nodes["job_id"] == edges["job_id"], "left_anti").select("job_id", F.lit(0).alias("level"))
-    for _ in range(rounds):
-        frontier = frontier.join(edges.select(F.col("depends_on"), F.col("job_id").alias("next")), F.col("depends_on") == F.col("job_id")).select(F.col("next").alias("job_id"), (F.col("level") + 1).alias("level")).distinct()
-        frontier = frontier.checkpoint() if folder.sparkContext.getCheckpointDir() else frontier
-        if frontier.isEmpty():
-            return best.groupBy("job_id").agg(F.max("level").cast("long").alias("level"))
-        best = best.unionByName(frontier)
-    raise ValueError("the graph has a cycle, or a longer chain than the number of rounds")
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(job_id, level): the longest chain of dependencies before each job of an acyclic graph. Each round moves a frontier one
+    edge on, one row a job, and stores it. A cycle is an error: then some level reaches the number of jobs."""
+    jobs_ = nodes.count()
+    start = nodes.join(edges, nodes["job_id"] == edges["job_id"], "left_anti").select("job_id", F.lit(0).alias("level"))
+    rounds = [stored(start, "job-levels")]
+    while not rounds[-1].isEmpty():
+        if len(rounds) > jobs_:
+            raise ValueError("the dependencies have a cycle")
+        onward = rounds[-1].join(edges.select("depends_on", F.col("job_id").alias("next")), F.col("depends_on") == F.col("job_id"))
+        rounds.append(stored(onward.select(F.col("next").alias("job_id"), (F.col("level") + 1).alias("level")).distinct(), "job-levels"))
+        if len(rounds) % 50 == 0:  # a long chain makes many small tables: keep each job's last level so far, and the frontier
+            so_far = reduce(DataFrame.unionByName, rounds[:-1]).groupBy("job_id").agg(F.max("level").alias("level"))
+            rounds = [stored(so_far, "job-levels", rounds[:-1]), *[rounds[-1].limit(0)] * (len(rounds) - 2), rounds[-1]]
+    out = reduce(DataFrame.unionByName, rounds).groupBy("job_id").agg(F.max("level").cast("long").alias("level"))
+    if out.count() < jobs_:
+        raise ValueError("the dependencies have a cycle")
+    return out
 
 
 def ready(jobs: DataFrame, upstream: DataFrame, key: str, state: Column) -> DataFrame:
@@ -44,6 +67,67 @@ def ready(jobs: DataFrame, upstream: DataFrame, key: str, state: Column) -> Data
     return jobs.join(done, key).withColumn("ready", F.col("all_done"))
 
 
+def partition_violations(jobs: DataFrame) -> DataFrame:
+    """jobs(partition, minutes, nodes, cores) with the limits that they break; a job of an unknown partition drops out. The
+    partitions are a fixed small table."""
+    limits = jobs.sparkSession.createDataFrame(PARTITIONS, "partition string, most_minutes int, most_nodes int, most_cores int")
+    met = jobs.join(F.broadcast(limits), "partition")
+    broken = [F.when(F.col(c) > F.col(f"most_{c}"), name) for c, name in (("minutes", "time"), ("nodes", "nodes"), ("cores", "cores"))]
+    return met.withColumn("violations", F.filter(F.array(*broken), lambda x: x.isNotNull()))
+
+
+def after_corresponding(waiting: DataFrame, tasks: DataFrame) -> DataFrame:
+    """waiting(job_id, task_id, depends_on) with the flag whether the task of the same number there is done."""
+    before = tasks.select(F.col("job_id").alias("depends_on"), "task_id", "state")
+    return waiting.join(before, ["depends_on", "task_id"], "left").withColumn("ready", F.coalesce(F.col("state") == "COMPLETED", F.lit(False)))
+
+
+def ready_by_kind(waiting: DataFrame, tasks: DataFrame) -> DataFrame:
+    """waiting(kind, depends_on) with ready: afterok needs all tasks done, afterany all ended, afternotok all ended and one
+    failed; a singleton needs that nothing of its name runs. An unknown job makes only a singleton ready."""
+    ended = tasks.groupBy(F.col("job_id").alias("depends_on")).agg(
+        F.bool_and(F.col("state") == "COMPLETED").alias("ok"), F.bool_or(F.col("state") == "FAILED").alias("bad"), F.bool_and(F.col("state") != "RUNNING").alias("over")
+    )
+    kind, over = F.col("kind"), F.coalesce("over", F.lit(False))
+    flag = F.when(kind == "afterok", over & F.col("ok")).when(kind == "afterany", over).when(kind == "afternotok", over & F.col("bad")).otherwise(F.coalesce("over", F.lit(True)))
+    return waiting.join(ended, "depends_on", "left").withColumn("ready", F.coalesce(flag, F.lit(False)))
+
+
+def useful_tasks(files: Column, hours: Column, hours_a_chunk: Column) -> list[Column]:
+    """The most tasks that the steps can use: one a file, one a time chunk, one a pair."""
+    return [files.alias("files"), F.ceil(hours / hours_a_chunk).cast("long").alias("chunks"), F.floor(files * (files - 1) / 2).cast("long").alias("pairs")]
+
+
+def extrapolated(runs: DataFrame, by: list[str], files: str, used: str, to: float) -> DataFrame:
+    """The expected use at `to` files, by a line over the logarithm of the number of files (2 for 10 and 3 for 1000 is such a line)."""
+    x = F.ln(F.col(files).cast("double"))
+    line = runs.withColumn("_x", x).groupBy(*by).agg(F.regr_slope(F.col(used), F.col("_x")).alias("slope"), F.regr_intercept(F.col(used), F.col("_x")).alias("start"))
+    return line.select(*by, (F.col("start") + F.col("slope") * F.ln(F.lit(float(to)))).alias("estimate"))
+
+
+def fits_gap(minutes: Column, cores: Column, gap: Column, free: Column) -> Column:
+    """Whether a job is short and small enough to run before those ahead of it."""
+    return (minutes <= gap) & (cores <= free)
+
+
+def failure_classes(seen: DataFrame) -> DataFrame:
+    """seen(symptom) with cause and fix; null where nothing is known."""
+    known = seen.sparkSession.createDataFrame(FAILURES, "symptom string, cause string, fix string")
+    return seen.join(F.broadcast(known), "symptom", "left").select(*seen.columns, "cause", "fix")
+
+
+def lifecycle(value: Column, bounds: list[float]) -> list[Column]:
+    """The stage that data of a value are in (1 to 5), its place, and whether it lies on scratch and goes once the next one is there."""
+    stage = reduce(lambda s, b: s + F.when(value >= b, 1).otherwise(0), bounds, F.lit(1))
+    places = F.array(*[F.lit(p) for p in ("raw", "clean", "correlated", "results", "archive")])
+    return [stage.alias("stage"), F.get(places, stage - 1).alias("place"), (stage < 4).alias("scratch")]
+
+
+def config_text(settings: dict[str, Column]) -> Column:
+    """One line `NAME value` a setting."""
+    return F.concat(*[F.concat(F.lit(f"{name} "), value.cast("string"), F.lit("\n")) for name, value in settings.items()])
+
+
 def priority(factors: dict[str, Column], weights: dict[str, int] = WEIGHTS) -> Column:
     """Weighted sum of factors in 0..1."""
     return sum((weights[name] * value for name, value in factors.items()), F.lit(0.0))

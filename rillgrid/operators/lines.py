@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +45,57 @@ def collapse_adjacent(df: DataFrame, value: str, order: str, *group: str) -> Dat
 
 
 def fields(value: Column, *places: int) -> list[Column]:
-    """White-space separated fields by 1-based place."""
-    parts = F.split(F.trim(value), r"\s+")
+    """White-space separated fields by 1-based place; a text of blanks has one empty field."""
+    parts = F.split(F.regexp_replace(value, r"^\s+|\s+$", ""), r"\s+")
     return [F.get(parts, F.lit(p - 1)).alias(f"f{p}") for p in places]
 
 
+def split_fields(value: Column, sep: str, n: int) -> list[Column]:
+    """n fields f1, f2, ... by a delimiter; the last one takes what is left, with its delimiters. Missing ones are null."""
+    parts = F.split(value, re.escape(sep), n)
+    return [F.get(parts, F.lit(i)).alias(f"f{i + 1}") for i in range(n)]
+
+
+def last(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The last n rows in an order without ties."""
+    return df.orderBy(F.desc(order)).limit(n)
+
+
+def usage(files: DataFrame, by: str, size: str) -> DataFrame:
+    """How many files a group has, and their bytes together."""
+    return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum(size).cast("long").alias("bytes"))
+
+
+def search(df: DataFrame, keys: list[str], text: str, pattern: str, end: str = "\n") -> DataFrame:
+    """(keys, line, value): the lines of all texts that match, by 1-based place."""
+    places = df.select(*keys, F.posexplode(F.split(text, re.escape(end), -1)).alias("line", "value"))
+    return places.where(F.col("value").rlike(pattern)).select(*keys, (F.col("line") + 1).alias("line"), "value")
+
+
+def above(value: Column, limit: float) -> Column:
+    """Strictly above the limit; false for what is no number."""
+    return F.coalesce(value.try_cast("double") > limit, F.lit(False))
+
+
+def rows_of_tasks(tasks: DataFrame, rows: DataFrame, task: str, row: str) -> DataFrame:
+    """Each task with the row of its number; null beyond the rows."""
+    return tasks.join(rows, tasks[task] == rows[row], "left").drop(rows[row])
+
+
+def check_counts(expected: DataFrame, found: DataFrame, key: str, count: str) -> DataFrame:
+    """Expected and found numbers a key; complete from the expected number on."""
+    n = found.groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+    met = expected.join(n, key, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return met.withColumn("status", F.when(F.col("found") >= F.col(count), "complete").otherwise("incomplete"))
+
+
+def copy_plan(source: DataFrame, target: DataFrame, key: str, time: str) -> DataFrame:
+    """What a copy would do that does not touch what is as new at the target: new, newer or keep."""
+    s, t = source.select(key, F.col(time).alias("source_time")), target.select(key, F.col(time).alias("target_time"))
+    action = F.when(F.col("target_time").isNull(), "new").when(F.col("source_time") > F.col("target_time"), "newer").otherwise("keep")
+    return s.join(t, key, "left").withColumn("action", action)
+
+
 def numeric_order(value: Column) -> Column:
     """Sort key that counts what is no number as 0."""
     return F.coalesce(value.try_cast("double"), F.lit(0.0))

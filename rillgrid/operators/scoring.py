@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parse import stripped
+from ..functions.parse import percent, stripped
+from .lines import row_index
 
 #: The least percentage of each band.
 BANDS = [(100, "perfect"), (85, "excellent"), (70, "good"), (50, "fair")]
@@ -21,9 +22,18 @@ def grade(responses: DataFrame, bank: DataFrame) -> DataFrame:
     return joined.select("student", "q", F.coalesce(F.when(F.col("kind") == "fill", fill).otherwise(letter), F.lit(False)).alias("correct"), "category")
 
 
-def running_score(answers: DataFrame, who: str, order: str, correct: Column) -> DataFrame:
-    w = Window.partitionBy(who).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return answers.withColumn("score", F.sum(correct.cast("int")).over(w).cast("long")).withColumn("total", F.count(F.lit(1)).over(w))
+def running_score(answers: DataFrame, who: str, order: str, correct: Column, bins: int = 64) -> DataFrame:
+    """score and total up to each answer in its student's order. Answers are numbered over all students, cut into ranges of the
+    numbers, summed within a range and student, and shifted by the sums of the ranges before, so that no window holds a student."""
+    rows = row_index(answers.withColumn("_ok", correct.cast("int")), order, name="_at")
+    size = F.lit(max(1, -(-answers.count() // bins)))
+    rows = rows.withColumn("_bin", F.floor((F.col("_at") - 1) / size))
+    sums = rows.groupBy(who, "_bin").agg(F.sum("_ok").alias("s"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(who).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows a student
+    before = sums.select(who, "_bin", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("_s"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy(who, "_bin").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(before, [who, "_bin"]).withColumn("score", (F.coalesce(F.sum("_ok").over(inside), F.lit(0)) + F.col("_s")).cast("long"))
+    return out.withColumn("total", F.count(F.lit(1)).over(inside) + F.col("_n")).drop("_ok", "_at", "_bin", "_s", "_n")
 
 
 def band(pct: Column) -> Column:
@@ -36,8 +46,7 @@ def band(pct: Column) -> Column:
 def summary(answers: DataFrame, by: str, correct: Column) -> DataFrame:
     right, total = F.sum(correct.cast("int")), F.count(F.lit(1))
     out = answers.groupBy(by).agg(right.cast("long").alias("correct"), total.alias("total"))
-    pct = F.round(100.0 * F.col("correct") / F.nullif(F.col("total"), F.lit(0)) + 1e-9, 1)
-    return out.withColumn("pct", pct).withColumn("band", band(F.col("pct")))
+    return out.withColumn("pct", percent(F.col("correct"), F.col("total"))).withColumn("band", band(F.col("pct")))
 
 
 def result_document(answers: DataFrame, who: str) -> DataFrame:
@@ -45,12 +54,13 @@ def result_document(answers: DataFrame, who: str) -> DataFrame:
     categories = answers.groupBy(who, "category").agg(F.sum(F.col("correct").cast("int")).cast("long").alias("correct"), F.count(F.lit(1)).alias("total"))
     maps = categories.groupBy(who).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.struct("correct", "total"))))).alias("categories"))
     lists = answers.groupBy(who).agg(F.sum(F.col("correct").cast("int")).cast("long").alias("score"), F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.struct("q", "correct", "category"))).alias("answers"))
-    return lists.join(maps, who).withColumn("percentage", F.round(100.0 * F.col("score") / F.col("total"), 1))
+    return lists.join(maps, who).withColumn("percentage", percent(F.col("score"), F.col("total")))
 
 
 def leaderboard(rows: DataFrame, *ties: str) -> DataFrame:
-    """Rows with a name, best percentage first, then the shorter time; duplicates stay."""
-    return rows.where(F.col("name").isNotNull() & (F.col("name").cast("string") != "")).orderBy(F.desc("pct"), F.asc("time"), *ties)
+    """Rows with a name, best percentage first, then the shorter time; duplicates stay. Null, empty and the number 0 are no names."""
+    name = F.col("name") != "" if dict(rows.dtypes)["name"] == "string" else F.col("name") != 0
+    return rows.where(F.coalesce(name, F.lit(False))).orderBy(F.desc("pct"), F.asc("time"), *ties)
 
 
 def report_line(name: Column, correct: Column, total: Column, width: int = 20) -> Column:

@@ -6,6 +6,7 @@ the part of a window that exists, and zero weights give null; an event is a samp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -13,23 +14,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parse import exact_mean
+from ..sources.steps import stored
+
 
 def _rows(channel: str, order: str, n: int | None = None):
     w = Window.partitionBy(channel).orderBy(order)
     return w if n is None else w.rowsBetween(-n, n)
 
 
+def _with(df: DataFrame, channel: str, **sums: Column) -> DataFrame:
+    """df with sums over each channel, by a partial aggregate and a join, so that no window holds a channel."""
+    return df.join(df.groupBy(channel).agg(*[c.alias(name) for name, c in sums.items()]), channel)
+
+
 def demean(df: DataFrame, channel: str, x: str) -> DataFrame:
-    return df.withColumn("demeaned", F.col(x) - F.avg(x).over(Window.partitionBy(channel)))
+    return _with(df, channel, _mean=F.avg(x)).withColumn("demeaned", F.col(x) - F.col("_mean")).drop("_mean")
 
 
 def detrend(df: DataFrame, channel: str, order: str, x: str) -> DataFrame:
     """Without the least-squares line over the sample number."""
     df = df.withColumn("n", F.row_number().over(_rows(channel, order)).cast("double"))
-    w = Window.partitionBy(channel)
-    slope = F.try_divide(F.covar_pop("n", x).over(w), F.var_pop("n").over(w))
-    line = F.avg(x).over(w) + F.coalesce(slope, F.lit(0.0)) * (F.col("n") - F.avg("n").over(w))
-    return df.withColumn("detrended", F.col(x) - line)
+    slope = F.try_divide(F.covar_pop("n", x), F.var_pop("n"))
+    df = _with(df, channel, _slope=F.coalesce(slope, F.lit(0.0)), _mean=F.avg(x), _middle=F.avg("n"))
+    return df.withColumn("detrended", F.col(x) - (F.col("_mean") + F.col("_slope") * (F.col("n") - F.col("_middle")))).drop("_slope", "_mean", "_middle")
 
 
 def one_bit(x: Column) -> Column:
@@ -37,13 +45,13 @@ def one_bit(x: Column) -> Column:
 
 
 def clip_rms(df: DataFrame, channel: str, x: str) -> DataFrame:
-    rms = F.sqrt(F.avg(F.col(x) * F.col(x)).over(Window.partitionBy(channel)))
-    return df.withColumn("rms", rms).withColumn("clipped", F.greatest(-F.col("rms"), F.least(F.col("rms"), F.col(x))))
+    df = _with(df, channel, rms=F.sqrt(F.avg(F.col(x) * F.col(x))))
+    return df.withColumn("clipped", F.greatest(-F.col("rms"), F.least(F.col("rms"), F.col(x))))
 
 
 def remove_events(df: DataFrame, channel: str, x: str, k: float) -> DataFrame:
-    rms = F.sqrt(F.avg(F.col(x) * F.col(x)).over(Window.partitionBy(channel)))
-    return df.withColumn("quiet", F.when(F.abs(x) > k * rms, 0.0).otherwise(F.col(x)))
+    df = _with(df, channel, _rms=F.sqrt(F.avg(F.col(x) * F.col(x))))
+    return df.withColumn("quiet", F.when(F.abs(x) > k * F.col("_rms"), 0.0).otherwise(F.col(x))).drop("_rms")
 
 
 def running_absolute_mean(df: DataFrame, channel: str, order: str, x: str, half: int) -> DataFrame:
@@ -86,13 +94,22 @@ def pick_max(df: DataFrame, by: list[str], key: str, amplitude: Column) -> DataF
 
 
 def over_arrays(make: Callable[..., np.ndarray]):
-    """A column function that applies make to the arrays of each row, in Arrow batches; null arrays give null."""
+    """A column function that applies make to arrays, in Arrow batches: arrays of equal lengths are the rows of matrices, one for
+    each argument, and make works on their last axis. Null arrays give null."""
 
     def column(*columns: Column) -> Column:
         @F.arrow_udf("array<double>")
         def run(*arrays: pa.Array) -> pa.Array:
-            rows = zip(*[a.to_pylist() for a in arrays])
-            return pa.array([None if any(v is None for v in row) else make(*[np.asarray(v, float) for v in row]) for row in rows], pa.list_(pa.float64()))
+            sizes = np.column_stack([np.asarray(a.value_lengths().fill_null(-1)) for a in arrays])
+            out: list = [None] * len(sizes)
+            for shape in np.unique(sizes, axis=0) if len(sizes) else []:
+                rows = np.flatnonzero((sizes == shape).all(axis=1))
+                if (shape < 0).any():
+                    continue
+                made = make(*[np.asarray(a.take(pa.array(rows)).flatten(), float).reshape(len(rows), n) for a, n in zip(arrays, shape)])
+                for row, values in zip(rows.tolist(), made):
+                    out[row] = values
+            return pa.array(out, pa.list_(pa.float64()))
 
         return run(*columns)
 
@@ -102,65 +119,101 @@ def over_arrays(make: Callable[..., np.ndarray]):
 def _whiten(x: np.ndarray, half: int = 2) -> np.ndarray:
     s = np.fft.rfft(x)
     size = np.abs(s)
-    smooth = np.convolve(np.pad(size, half, mode="edge"), np.ones(2 * half + 1) / (2 * half + 1), "valid")
-    return np.fft.irfft(np.divide(s, smooth, out=np.zeros_like(s), where=smooth > 1e-12), len(x))
+    edge = np.pad(size, [(0, 0), (half, half)], mode="edge")
+    smooth = np.lib.stride_tricks.sliding_window_view(edge, 2 * half + 1, axis=1).mean(axis=2)
+    return np.fft.irfft(np.divide(s, smooth, out=np.zeros_like(s), where=smooth > 1e-12), x.shape[1])
 
 
 def _cross(x: np.ndarray, y: np.ndarray, weigh=lambda a, b: 1.0) -> np.ndarray:
-    n = len(x) + len(y) - 1
+    n = x.shape[1] + y.shape[1] - 1
     a, b = np.fft.rfft(x, n), np.fft.rfft(y, n)
-    return np.roll(np.fft.irfft(np.conj(a) * b * weigh(a, b), n), len(x) - 1)
+    return np.roll(np.fft.irfft(np.conj(a) * b * weigh(a, b), n), x.shape[1] - 1, axis=1)
 
 
 def _inverse(size: np.ndarray) -> np.ndarray:
-    """1 / size above a water level of a millionth of the largest."""
-    return np.divide(1.0, size, out=np.zeros_like(size), where=size > 1e-6 * max(size.max(), 1e-300))
+    """1 / size above a water level of a millionth of the largest of its row."""
+    least = 1e-6 * np.maximum(size.max(axis=1, keepdims=True), 1e-300)
+    return np.divide(1.0, size, out=np.zeros_like(size), where=size > least)
 
 
 def _analytic(x: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(x))
+    n = x.shape[1]
+    h = np.zeros(n)
     h[0] = 1
-    h[1 : (len(x) + 1) // 2] = 2
-    if len(x) % 2 == 0:
-        h[len(x) // 2] = 1
+    h[1 : (n + 1) // 2] = 2
+    if n % 2 == 0:
+        h[n // 2] = 1
     return np.fft.ifft(np.fft.fft(x) * h)
 
 
-def _gaussian(centre: float, alpha: float):
-    def run(x: np.ndarray) -> np.ndarray:
-        f = np.fft.rfftfreq(len(x))
-        return np.fft.irfft(np.fft.rfft(x) * np.exp(-alpha * ((f - centre) / centre) ** 2), len(x))
+def _phases(x: np.ndarray) -> np.ndarray:
+    return np.exp(1j * np.angle(_analytic(x)))
+
+
+def _phase_cross(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The real part of sum of conj(e^(i phase of x[n])) * e^(i phase of y[n + lag])."""
+    u, v = _phases(x), _phases(y)
+    return _cross(u.real, v.real) + _cross(u.imag, v.imag)
 
-    return run
+
+def _masked(mask: Callable[[np.ndarray], np.ndarray]):
+    """Keeps a share of each frequency (in cycles a sample)."""
+    return lambda x: np.fft.irfft(np.fft.rfft(x) * mask(np.fft.rfftfreq(x.shape[1])), x.shape[1])
 
 
 whiten = over_arrays(_whiten)
 cross_correlation = over_arrays(_cross)
 coherency = over_arrays(lambda x, y: _cross(x, y, lambda a, b: _inverse(np.abs(a) * np.abs(b))))
 deconvolution = over_arrays(lambda x, y: _cross(x, y, lambda a, b: _inverse(np.abs(a) ** 2)))
-phase_correlation = over_arrays(lambda x, y: _cross(np.real(np.exp(1j * np.angle(_analytic(x)))), np.real(np.exp(1j * np.angle(_analytic(y))))))
+phase_correlation = over_arrays(_phase_cross)
 envelope = over_arrays(lambda x: np.abs(_analytic(x)))
+amplitudes = over_arrays(lambda x: np.abs(np.fft.rfft(x)))
+power = over_arrays(lambda x: np.abs(np.fft.rfft(x)) ** 2 / x.shape[1])
+
+
+def _pick_lag(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    c = _cross(x, y)
+    at = np.argmax(np.round(c, 9), axis=1)
+    return np.column_stack([at - (x.shape[1] - 1), c[np.arange(len(c)), at]])
+
+
+#: array [lag, value] of the largest cross-correlation, the least lag of equals.
+pick_lag = over_arrays(_pick_lag)
 
 
 def gaussian_filter(centre: float, alpha: float):
     """Narrow band around a centre in cycles a sample."""
-    return over_arrays(_gaussian(centre, alpha))
+    return over_arrays(_masked(lambda f: np.exp(-alpha * ((f - centre) / centre) ** 2)))
+
+
+def bandpass(low: float, high: float):
+    """Only the frequencies from low to high, in cycles a sample."""
+    return over_arrays(_masked(lambda f: ((f >= low) & (f <= high)).astype(float)))
 
 
 def stretch(reference: np.ndarray, eps: float) -> np.ndarray:
-    """reference(t * (1 - eps)) around the middle sample, by linear interpolation."""
-    t = np.arange(len(reference)) - (len(reference) - 1) / 2
-    return np.interp(t * (1 - eps), t, reference)
+    """reference(t * (1 - eps)) around the middle sample, by linear interpolation on the last axis."""
+    n = reference.shape[-1]
+    t = (np.arange(n) - (n - 1) / 2) * (1 - eps) + (n - 1) / 2
+    low = np.clip(np.floor(t).astype(int), 0, n - 2 if n > 1 else 0)
+    share = np.clip(t - low, 0, 1)
+    return reference[..., low] * (1 - share) + reference[..., np.minimum(low + 1, n - 1)] * share
 
 
 def stretching(most: float = 0.05, steps: int = 101):
-    """array [dv/v, correlation]: the best stretch of the reference; dv/v is minus the best eps."""
+    """array [dv/v, correlation]: the best stretch of the reference, the first of equals; dv/v is minus the best eps."""
 
     def run(reference: np.ndarray, current: np.ndarray) -> np.ndarray:
         grid = np.linspace(-most, most, steps)
-        norm = lambda v: np.sqrt((v**2).sum()) or 1.0
-        c = [(s := stretch(reference, e)) @ current / (norm(s) * norm(current)) for e in grid]
-        return np.array([-grid[int(np.argmax(c))], max(c)])
+        norm = lambda v: np.sqrt((v**2).sum(axis=1))
+        own, best = norm(current), np.full((len(current), 2), -np.inf)
+        for e in grid:
+            s = stretch(reference, e)
+            size = norm(s) * own
+            c = np.divide((s * current).sum(axis=1), size, out=np.zeros(len(size)), where=size > 0)
+            better = c > best[:, 1]
+            best[better] = np.column_stack([np.full(better.sum(), -e), c[better]])
+        return best
 
     return over_arrays(run)
 
@@ -168,16 +221,11 @@ def stretching(most: float = 0.05, steps: int = 101):
 def phase_weighted_stack(ccs: DataFrame, by: list[str], data: str, power: float = 2.0) -> DataFrame:
     """Linear stack times the coherence of phases, in two sums: each array adds its samples and its phases' unit vectors."""
 
-    @F.arrow_udf("array<double>")
-    def parts(arrays: pa.Array) -> pa.Array:
-        out = []
-        for v in arrays.to_pylist():
-            z = _analytic(np.asarray(v, float))
-            u = np.exp(1j * np.angle(z))
-            out.append(np.concatenate([np.asarray(v, float), u.real, u.imag]))
-        return pa.array(out, pa.list_(pa.float64()))
+    def parts(x: np.ndarray) -> np.ndarray:
+        u = _phases(x)
+        return np.concatenate([x, u.real, u.imag], axis=1)
 
-    terms = ccs.where(F.col(data).isNotNull()).select(*by, F.posexplode(parts(F.col(data))).alias("i", "v"), (F.size(data)).alias("n"))
+    terms = ccs.where(F.col(data).isNotNull()).select(*by, F.posexplode(over_arrays(parts)(F.col(data))).alias("i", "v"), (F.size(data)).alias("n"))
     means = terms.withColumn("part", F.floor(F.col("i") / F.col("n")).cast("int")).withColumn("sample", F.pmod("i", "n")).groupBy(*by, "sample").agg(*[F.avg(F.when(F.col("part") == p, F.col("v"))).alias(name) for p, name in enumerate(("mean", "re", "im"))])
     return means.select(*by, "sample", (F.col("mean") * F.pow(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), F.lit(power))).alias("pws"))
 
@@ -205,3 +253,183 @@ def normal_matrix(incidence: DataFrame) -> DataFrame:
     """(i, j, g): the entries of G'G with i <= j, by a self-join on the ray."""
     a, b = incidence.select("ray_id", F.col("cell_id").alias("i"), F.col("length").alias("p")), incidence.select("ray_id", F.col("cell_id").alias("j"), F.col("length").alias("q"))
     return a.join(b, "ray_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("g"))
+
+
+# windows, selection and quality
+
+
+def samples(traces: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """(keys, n, x): one row a sample, n from 0."""
+    return traces.select(*keys, F.posexplode(data).alias("n", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+def cumulative_stack(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """samples() rows with the mean of the windows so far: w, how many they are, and stack."""
+    w = Window.partitionBy(*by, "n").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("w", F.count(F.lit(1)).over(w)).withColumn("stack", F.avg("x").over(w))
+
+
+def snr(rows: DataFrame, by: list[str], x: str, signal: int, noise: int) -> DataFrame:
+    """The largest absolute value of the samples below `signal` over the root mean square of those from `noise` on; null without noise."""
+    top, rest = F.max(F.when(F.col("n") < signal, F.abs(x))), F.sqrt(F.avg(F.when(F.col("n") >= noise, F.col(x) * F.col(x))))
+    return rows.groupBy(*by).agg((top / F.nullif(rest, F.lit(0.0))).alias("snr"))
+
+
+def growth(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """The power p of y ~ x^p: the slope of the logarithms."""
+    return df.where((F.col(x) > 0) & (F.col(y) > 0)).groupBy(*by).agg(F.regr_slope(F.ln(y), F.ln(F.col(x).cast("double"))).alias("power"))
+
+
+def selected(distance: Column, velocity: Column, period: Column, snr: Column, spread: Column, least_snr: float = 10.0, most_spread: float = 0.1) -> Column:
+    """Far enough, clear enough, and the same in all seasons (km/s)."""
+    return wavelength_ok(distance, velocity, period) & (snr > least_snr) & (spread <= most_spread)
+
+
+def seasonal_spread(df: DataFrame, by: list[str], season: Column, v: str) -> DataFrame:
+    """How far the seasons' mean velocities lie apart."""
+    seasons = df.groupBy(*by, season.alias("_season")).agg(F.avg(v).alias("_v"))
+    return seasons.groupBy(*by).agg((F.max("_v") - F.min("_v")).alias("spread"))
+
+
+def events_above(daily: DataFrame, by: str, day: str, x: str, half: int, k: float) -> DataFrame:
+    """daily rows with the background (mean of the days around, up to half before and after), the residual, and whether it is
+    beyond k standard deviations of the group's residuals."""
+    days = F.unix_date(day)
+    out = daily.withColumn("background", F.avg(x).over(Window.partitionBy(by).orderBy(days).rangeBetween(-half, half)))
+    out = out.withColumn("residual", F.col(x) - F.col("background"))
+    return out.withColumn("event", F.abs("residual") > k * F.stddev_samp("residual").over(Window.partitionBy(by)))
+
+
+def without_outliers(df: DataFrame, by: list[str], x: str, k: float = 2.0, rounds: int = 3) -> DataFrame:
+    """Positive values, less those that lie beyond k standard deviations in log space, in a fixed number of rounds."""
+    v = F.ln(F.col(x))
+    df = df.where(F.col(x) > 0)
+    for _ in range(rounds):
+        of = df.groupBy(*by).agg(F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_sigma"))
+        df = df.join(of, by).where(F.abs(v - F.col("_mean")) <= k * F.coalesce("_sigma", F.lit(0.0)) + 1e-12).drop("_mean", "_sigma")
+    return df
+
+
+def clear_peak(f0: Column, amplitude: Column, record_s: Column, window_s: Column) -> Column:
+    """Long enough a record and window for the frequency, and a peak above 2."""
+    return (record_s > 200 / f0) & (window_s > 10 / f0) & (amplitude > 2)
+
+
+def thickness(vs: Column, f0: Column) -> Column:
+    return vs / (4 * F.nullif(f0, F.lit(0.0)))
+
+
+def velocity(distance: Column, time: Column) -> Column:
+    return distance / F.nullif(time, F.lit(0.0))
+
+
+def near_axis(azimuth: Column, least: float) -> Column:
+    """Whether a source (its azimuth in radians) lies near the line through two stations, on either side."""
+    return F.abs(F.cos(azimuth)) > least
+
+
+def horizontal_over_vertical(spectra: DataFrame) -> DataFrame:
+    """(station, k, hv) of spectra(station, c, a) with c = 0 (vertical), 1 and 2 (horizontal): the root of the mean square of
+    the horizontal ones over the vertical one. Stations without all three components drop out."""
+    side = lambda c, name: spectra.where(F.col("c") == c).select("station", F.posexplode("a").alias("k", name))
+    met = side(0, "z").join(side(1, "north"), ["station", "k"]).join(side(2, "east"), ["station", "k"])
+    return met.select("station", "k", (F.sqrt((F.col("north") ** 2 + F.col("east") ** 2) / 2) / F.nullif("z", F.lit(0.0))).alias("hv"))
+
+
+def correlated_again(ccs: DataFrame) -> DataFrame:
+    """(a, shared, b, c3) of ccs(a, b, lag, c): correlations a-shared and shared-b, multiplied and summed over lags."""
+    left = ccs.select("a", F.col("b").alias("shared"), "lag", F.col("c").alias("c1"))
+    right = ccs.select(F.col("a").alias("shared"), "b", "lag", F.col("c").alias("c2"))
+    return left.join(right, ["shared", "lag"]).groupBy("a", "shared", "b").agg(F.sum(F.col("c1") * F.col("c2")).alias("c3"))
+
+
+def gather(pairs: DataFrame, group: str) -> DataFrame:
+    """Of pairs(a, b): each station as a source, how many receivers it has, and the first and last of them."""
+    both = pairs.select(group, F.col("a").alias("source"), F.col("b").alias("r")).unionByName(pairs.select(group, F.col("b").alias("source"), F.col("a").alias("r")))
+    return both.groupBy(group, "source").agg(F.count(F.lit(1)).alias("receivers"), F.min("r").alias("first"), F.max("r").alias("last"))
+
+
+def ray_quality(incidence: DataFrame) -> DataFrame:
+    """Rays a cell, whether they are more than two, and the whole's number of rays for each cell."""
+    cells = incidence.distinct().groupBy("cell_id").agg(F.count(F.lit(1)).alias("rays"))
+    ratio = incidence.agg((F.countDistinct("ray_id") / F.countDistinct("cell_id")).alias("ratio"))
+    return cells.withColumn("enough", F.col("rays") > 2).crossJoin(F.broadcast(ratio))  # one row
+
+
+def bessel_j0(x: Column, steps: int = 128) -> Column:
+    """J0(x) = mean of cos(x sin(theta)) over half a turn, by the midpoint rule (exact to rounding for |x| well below steps)."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0.0), lambda s, i: s + F.cos(x * F.sin(math.pi * (i + 0.5) / steps))) / steps
+
+
+def cumulative_integral(df: DataFrame, by: str, order: str, x: str, y: str) -> DataFrame:
+    """The trapezoid sum of y over x up to each row of its group."""
+    w = Window.partitionBy(by).orderBy(order)
+    area = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
+    return df.withColumn("_area", F.coalesce(area, F.lit(0.0))).withColumn("integral", F.sum("_area").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_area")
+
+
+def water_level(df: DataFrame, channel: str, x: str, rounds: int = 2, level: float = 2.0) -> DataFrame:
+    """Samples beyond `level` times the root mean square are brought down by that ratio, in a fixed number of rounds."""
+    df = df.withColumn("levelled", F.col(x).cast("double"))
+    for _ in range(rounds):
+        of = df.groupBy(channel).agg((level * F.sqrt(F.avg(F.col("levelled") * F.col("levelled")))).alias("_most"))
+        df = df.join(of, channel).withColumn("levelled", F.when(F.abs("levelled") > F.col("_most"), F.col("levelled") * F.col("_most") / F.abs("levelled")).otherwise(F.col("levelled"))).drop("_most")
+    return df
+
+
+def decimated(rows: DataFrame, keys: list[str], factor: int) -> DataFrame:
+    """samples() rows by bins of `factor`, each with its mean (a plain anti-alias filter)."""
+    return rows.groupBy(*keys, F.floor(F.col("n") / factor).cast("int").alias("bin")).agg(F.avg("x").alias("x"))
+
+
+def merged(segments: DataFrame, channel: str, start: Column, x: str, gap_s: float) -> DataFrame:
+    """A channel's samples as runs without a gap of more than gap_s: (channel, run, samples, first, last, mean)."""
+    w = Window.partitionBy(channel).orderBy("_t")
+    timed = segments.withColumn("_t", start)
+    cut = timed.withColumn("_new", F.when(F.col("_t") - F.lag("_t").over(w) <= gap_s, 0).otherwise(1)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy(channel, "run").agg(F.count(F.lit(1)).alias("samples"), F.min("_t").alias("first"), F.max("_t").alias("last"), exact_mean(F.col(x)).alias("mean"))
+
+
+def robust_stack(rows: DataFrame, by: list[str], x: str, rounds: int = 3) -> DataFrame:
+    """Mean by groups that starts at the median and, in a fixed number of rounds, weighs each value by the inverse of its distance."""
+    centre = rows.groupBy(*by).agg(F.median(x).alias("stack"))
+    for _ in range(rounds):
+        weight = 1 / F.greatest(F.abs(F.col(x) - F.col("stack")), F.lit(1e-6))
+        centre = rows.join(centre, by).groupBy(*by).agg((F.sum(weight * F.col(x)) / F.sum(weight)).alias("stack"))
+    return centre
+
+
+def transfer_residuals(values: DataFrame, pair: str, window: str, t: str, g: str) -> DataFrame:
+    """(window, f, e2): for each window the factor f of best fit t = f * g over its pairs, and the mean square of what is left."""
+    fit = values.groupBy(window).agg((F.sum(F.col(t) * F.col(g)) / F.nullif(F.sum(F.col(g) * F.col(g)), F.lit(0.0))).alias("f"))
+    return values.join(fit, window).groupBy(window).agg(F.first("f").alias("f"), F.avg((F.col(t) - F.col("f") * F.col(g)) ** 2).alias("e2"))
+
+
+def ray_cells(rays: DataFrame, size: float, steps: int) -> DataFrame:
+    """(ray_id, ix, iy, length) of rays(ray_id, x0, y0, x1, y1): each ray as `steps` equal parts, in the cells of their middles."""
+    part = (F.col("i") + 0.5) / steps
+    at = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * part) / size).cast("long")
+    length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2) / steps
+    parts = rays.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    return parts.select("ray_id", at("x0", "x1").alias("ix"), at("y0", "y1").alias("iy"), length.alias("_l")).groupBy("ray_id", "ix", "iy").agg(F.sum("_l").alias("length"))
+
+
+def damped_steps(incidence: DataFrame, times: DataFrame, damping: float, smoothing: float, rounds: int) -> DataFrame:
+    """(cell_id, slowness) of travel times t = G s, from G'G + damping + smoothing * L'L with L the difference to the next cell id:
+    a fixed number of Jacobi rounds, each a join with the matrix of normal_matrix()."""
+    g = normal_matrix(incidence)
+    full = g.select("i", "j", "g").unionByName(g.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "g"))
+    cells = incidence.select(F.col("cell_id").alias("i")).distinct()
+    next_ = cells.join(cells.select((F.col("i") - 1).alias("i")), "i", "left_semi").select("i", (F.col("i") + 1).alias("j"))
+    rough = next_.select("i", F.col("i").alias("j")).unionByName(next_.select(F.col("j").alias("i"), "j")).withColumn("g", F.lit(float(smoothing)))
+    rough = rough.unionByName(next_.withColumn("g", F.lit(-float(smoothing)))).unionByName(next_.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(-float(smoothing)).alias("g")))
+    whole = full.unionByName(rough).unionByName(cells.select("i", F.col("i").alias("j"), F.lit(float(damping)).alias("g"))).groupBy("i", "j").agg(F.sum("g").alias("g"))
+    matrix = stored(whole, "normal-matrix")
+    right = stored(incidence.join(times, "ray_id").groupBy(F.col("cell_id").alias("i")).agg(F.sum(F.col("length") * F.col("t")).alias("b")), "normal-right")
+    scale = matrix.groupBy("i").agg(F.sum(F.abs("g")).alias("d"))  # the sum of a row bounds it, so that rounds cannot grow
+    x = right.join(scale, "i").select("i", (F.col("b") / F.col("d")).alias("x"))
+    for _ in range(rounds):
+        x = stored(x, "normal-solution")
+        product = matrix.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("g") * F.col("x")).alias("ax"))
+        x = x.join(product, "i").join(right, "i").join(scale, "i").select("i", (F.col("x") + (F.col("b") - F.col("ax")) / F.col("d")).alias("x"))
+    return x.select(F.col("i").alias("cell_id"), F.col("x").alias("slowness"))

@@ -14,24 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..operators import jobs, lines, scoring, signal
 from ..streaming import follow
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import batch, records, traces  # noqa: F401
+from .registry import QUERIES, SQL, query, read
 
 @query("SELECT s_suppkey, s_name || ' nation=' || CAST(s_nationkey AS VARCHAR) AS label, s_acctbal FROM supplier WHERE s_acctbal > 4620.0")
 def station_filter_sort(spark, d):
@@ -72,11 +56,11 @@ def batch_coverage_legacy(spark, d):
     return lines.in_batches(rows, "row", 100, legacy=True).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT vec_id, CAST(([1.5, 2.0, 2.5, 3.0, 3.5])[label + 1] AS DOUBLE) AS parameter, round(CAST(([1.5, 2.0, 2.5, 3.0, 3.5])[label + 1] AS DOUBLE) / 3 + 1e-9, 1) AS depth FROM embeddings")
+@query("SELECT vec_id, CAST(([1.5, 2.0, 2.5, 3.0, 3.5])[label + 1] AS DOUBLE) AS parameter, round(CAST(([1.5, 2.0, 2.5, 3.0, 3.5])[label + 1] AS DOUBLE) / 3, 1) AS depth FROM embeddings")
 def param_positional_join(spark, d):
     """A list's element by 0-based index; beyond the list null. Depth is a third of a wavelength of one second."""
     out = jobs.task_parameters(read(spark, d, "embeddings").select("vec_id", "label"), [1.5, 2.0, 2.5, 3.0, 3.5], "label")
-    return out.select("vec_id", "parameter", F.round(F.col("parameter") / 3 + 1e-9, 1).alias("depth"))
+    return out.select("vec_id", "parameter", F.round(F.col("parameter") / 3, 1).alias("depth"))
 
 
 @query("SELECT doc_id, lang, CAST(sum(quality) OVER w AS BIGINT) AS score, count(*) OVER w AS total FROM labels JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
@@ -88,19 +72,19 @@ def running_score(spark, d):
 BAND = "CASE WHEN pct >= 100 THEN 'perfect' WHEN pct >= 85 THEN 'excellent' WHEN pct >= 70 THEN 'good' WHEN pct >= 50 THEN 'fair' ELSE 'poor' END"
 
 
-@query(f"SELECT *, {BAND} AS band FROM (SELECT source, CAST(sum(quality) AS BIGINT) AS correct, count(*) AS total, round(100.0 * sum(quality) / count(*) + 1e-9, 1) AS pct FROM labels JOIN documents USING (doc_id) GROUP BY source)")
+@query(f"SELECT *, {BAND} AS band FROM (SELECT source, CAST(sum(quality) AS BIGINT) AS correct, count(*) AS total, CAST((2000 * sum(quality) + count(*)) // (2 * count(*)) AS DOUBLE) / 10 AS pct FROM labels JOIN documents USING (doc_id) GROUP BY source)")
 def category_scores(spark, d):
     answers = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return scoring.summary(answers, "source", F.col("quality") == 1).orderBy("source")
 
 
-@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS name, o_totalprice AS pct, o_orderdate AS time FROM orders ORDER BY pct DESC, time, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey, o_custkey AS name, o_totalprice AS pct, o_orderdate AS time FROM orders WHERE o_custkey <> 0")
 def leaderboard(spark, d):
-    rows = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("name"), F.col("o_totalprice").alias("pct"), F.col("o_orderdate").alias("time"))
-    return scoring.leaderboard(rows, "o_orderkey").limit(50)
+    rows = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("name"), F.col("o_totalprice").alias("pct"), F.col("o_orderdate").alias("time"))
+    return scoring.leaderboard(rows, "o_orderkey")
 
 
-@query("SELECT source, CAST(sum(quality) AS BIGINT) AS score, count(*) AS total, round(100.0 * sum(quality) / count(*), 1) AS percentage FROM labels JOIN documents USING (doc_id) GROUP BY source")
+@query("SELECT source, CAST(sum(quality) AS BIGINT) AS score, count(*) AS total, CAST((2000 * sum(quality) + count(*)) // (2 * count(*)) AS DOUBLE) / 10 AS percentage FROM labels JOIN documents USING (doc_id) GROUP BY source")
 def result_document(spark, d):
     """The nested documents' totals; tests look at the nested parts."""
     answers = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
@@ -127,17 +111,17 @@ def corr_task_ready(spark, d):
     return jobs.ready(read(spark, d, "orders").select("o_orderkey"), tasks, "o_orderkey", F.col("l_linestatus") == "F").select("o_orderkey", "ready", "n_tasks")
 
 
-@query("SELECT l_orderkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS mean_quantity, round(100.0 * CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) / (count(*) * 0.1) + 1e-9, 4) AS efficiency FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS mean_quantity, round(100.0 * CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) / (count(*) * 0.1), 4) AS efficiency FROM lineitem GROUP BY l_orderkey")
 def cpu_efficiency(spark, d):
     used = F.sum(F.col("l_discount").cast("decimal(18,4)")).cast("double")
     out = read(spark, d, "lineitem").groupBy("l_orderkey").agg(parse.exact_mean(F.col("l_quantity")).alias("mean_quantity"), used.alias("used"), F.count(F.lit(1)).alias("n"))
-    return out.select("l_orderkey", "mean_quantity", F.round(jobs.efficiency(F.col("used"), F.col("n"), F.lit(0.1)) + 1e-9, 4).alias("efficiency"))
+    return out.select("l_orderkey", "mean_quantity", F.round(jobs.efficiency(F.col("used"), F.col("n"), F.lit(0.1)), 4).alias("efficiency"))
 
 
-@query("SELECT c_custkey, round(30000 * (c_acctbal + 1000) / 11000 + 300 * (c_nationkey / 25.0) + 15000 * CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.25 END + 1e-7, 4) AS priority FROM customer")
+@query("SELECT c_custkey, round(30000 * (c_acctbal + 1000) / 11000 + 300 * (c_nationkey / 25.0) + 15000 * CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.25 END, 4) AS priority FROM customer")
 def priority_order(spark, d):
     factors = {"fairshare": (F.col("c_acctbal") + 1000) / 11000, "age": F.col("c_nationkey") / 25.0, "partition": F.when(F.col("c_mktsegment") == "BUILDING", 1.0).otherwise(0.25)}
-    return read(spark, d, "customer").select("c_custkey", F.round(jobs.priority(factors) + 1e-7, 4).alias("priority")).orderBy(F.desc("priority"), "c_custkey")
+    return read(spark, d, "customer").select("c_custkey", F.round(jobs.priority(factors), 4).alias("priority")).orderBy(F.desc("priority"), "c_custkey")
 
 
 @query("SELECT id, source_size, target_size, CASE WHEN target_size IS NULL THEN 'missing' WHEN source_size IS NULL THEN 'extra' WHEN source_size <> target_size THEN 'differs' ELSE 'equal' END AS status FROM (SELECT p_partkey AS id, p_size AS source_size FROM part) FULL JOIN (SELECT vec_id AS id, label AS target_size FROM embeddings) USING (id)")
@@ -148,24 +132,24 @@ def manifest_diff(spark, d):
     return lines.manifest_difference(source, target, "id", "size")
 
 
-@query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id) + 1e-9, 6) AS demeaned FROM events")
+@query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 8) AS demeaned FROM events")
 def demean(spark, d):
-    return signal.demean(read(spark, d, "events"), "user_id", "value").select("event_id", F.round(F.col("demeaned") + 1e-9, 6).alias("demeaned"))
+    return signal.demean(read(spark, d, "events"), "user_id", "value").select("event_id", F.round(F.col("demeaned"), 8).alias("demeaned"))
 
 
-@query("SELECT event_id, round(value - (avg(value) OVER w + coalesce(regr_slope(value, n) OVER w, 0) * (n - avg(n) OVER w)) + 1e-8, 5) AS detrended FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS DOUBLE) AS n FROM events) WINDOW w AS (PARTITION BY user_id)")
+@query("SELECT event_id, round(value - (avg(value) OVER w + coalesce(regr_slope(value, n) OVER w, 0) * (n - avg(n) OVER w)), 5) AS detrended FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS DOUBLE) AS n FROM events) WINDOW w AS (PARTITION BY user_id)")
 def detrend(spark, d):
-    return signal.detrend(read(spark, d, "events"), "user_id", "event_id", "value").select("event_id", F.round(F.col("detrended") + 1e-8, 5).alias("detrended"))
+    return signal.detrend(read(spark, d, "events"), "user_id", "event_id", "value").select("event_id", F.round(F.col("detrended"), 5).alias("detrended"))
 
 
-@query("SELECT event_id, CAST(sign(value - 50) AS DOUBLE) AS bit, round(greatest(-r, least(r, value)) + 1e-9, 6) AS clipped FROM (SELECT *, sqrt(avg(value * value) OVER (PARTITION BY user_id)) AS r FROM events)")
+@query("SELECT event_id, CAST(sign(value - 50) AS DOUBLE) AS bit, round(greatest(-r, least(r, value)), 6) AS clipped FROM (SELECT *, sqrt(avg(value * value) OVER (PARTITION BY user_id)) AS r FROM events)")
 def one_bit_and_clip(spark, d):
-    return signal.clip_rms(read(spark, d, "events"), "user_id", "value").select("event_id", signal.one_bit(F.col("value") - 50).alias("bit"), F.round(F.col("clipped") + 1e-9, 6).alias("clipped"))
+    return signal.clip_rms(read(spark, d, "events"), "user_id", "value").select("event_id", signal.one_bit(F.col("value") - 50).alias("bit"), F.round(F.col("clipped"), 6).alias("clipped"))
 
 
-@query("SELECT event_id, round(value / nullif(avg(abs(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) + 1e-9, 6) AS normalised FROM events")
+@query("SELECT event_id, round(value / nullif(avg(abs(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0), 6) AS normalised FROM events")
 def ram_norm(spark, d):
-    return signal.running_absolute_mean(read(spark, d, "events"), "user_id", "event_id", "value", 2).select("event_id", F.round(F.col("normalised") + 1e-9, 6).alias("normalised"))
+    return signal.running_absolute_mean(read(spark, d, "events"), "user_id", "event_id", "value", 2).select("event_id", F.round(F.col("normalised"), 6).alias("normalised"))
 
 
 @query("SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(28,4))) AS total FROM events GROUP BY 1, 2")
@@ -174,17 +158,17 @@ def segment_windows(spark, d):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.col("total").cast("decimal(38,4)"))
 
 
-@query("SELECT day, event_type, round(avg(m) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 4 DAY PRECEDING AND CURRENT ROW) + 1e-9, 6) AS moving FROM (SELECT date_trunc('day', ts)::DATE AS day, event_type, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) / count(*) AS m FROM events GROUP BY 1, 2)")
+@query("SELECT day, event_type, round(avg(m) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 4 DAY PRECEDING AND CURRENT ROW), 6) AS moving FROM (SELECT date_trunc('day', ts)::DATE AS day, event_type, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) / count(*) AS m FROM events GROUP BY 1, 2)")
 def moving_stack(spark, d):
     daily = read(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(parse.exact_mean(F.col("value")).alias("m"))
     w = Window.partitionBy("event_type").orderBy(F.unix_date("day")).rangeBetween(-4, 0)
-    return daily.select("day", "event_type", F.round(F.avg("m").over(w) + 1e-9, 6).alias("moving"))
+    return daily.select("day", "event_type", F.round(F.avg("m").over(w), 6).alias("moving"))
 
 
-@query("SELECT event_type, round(exp(avg(ln(value))) + 1e-9, 6) AS median, round(stddev_samp(ln(value)) + 1e-9, 6) AS sigma_ln, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type")
+@query("SELECT event_type, round(exp(avg(ln(value))), 6) AS median, round(stddev_samp(ln(value)), 6) AS sigma_ln, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type")
 def lognormal_stats(spark, d):
     out = signal.lognormal(read(spark, d, "events"), ["event_type"], "value")
-    return out.select("event_type", F.round(F.col("median") + 1e-9, 6).alias("median"), F.round(F.col("sigma_ln") + 1e-9, 6).alias("sigma_ln"), "n")
+    return out.select("event_type", F.round(F.col("median"), 6).alias("median"), F.round(F.col("sigma_ln"), 6).alias("sigma_ln"), "n")
 
 
 @query("SELECT label, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < b.vec_id")
@@ -204,37 +188,37 @@ s AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts
 cc AS (SELECT p.a, p.b, CAST(y.n - x.n AS INTEGER) AS lag, sum(x.v * y.v) AS c FROM p JOIN s x ON x.vec_id = p.a JOIN s y ON y.vec_id = p.b AND abs(y.n - x.n) <= 5 GROUP BY ALL)"""
 
 
-@query(f"WITH {CCS} SELECT a, b, lag, round(c + 1e-9, 6) AS c FROM cc")
+@query(f"WITH {CCS} SELECT a, b, lag, round(c, 6) AS c FROM cc")
 def xcorr_time(spark, d):
     traces, pair = _next_pairs(spark, d)
-    return signal.correlations(traces, pair, "vec_id", "embedding", 5).withColumn("c", F.round(F.col("c") + 1e-9, 6))
+    return signal.correlations(traces, pair, "vec_id", "embedding", 5).withColumn("c", F.round(F.col("c"), 6))
 
 
-@query(f"WITH {CCS} SELECT lag, round(avg(c) + 1e-9, 6) AS linear, round(median(c) + 1e-9, 6) AS median, count(*) AS n FROM cc GROUP BY lag")
+@query(f"WITH {CCS} SELECT lag, round(avg(c), 6) AS linear, round(median(c), 6) AS median, count(*) AS n FROM cc GROUP BY lag")
 def linear_and_median_stack(spark, d):
     traces, pair = _next_pairs(spark, d)
     out = signal.stack(signal.correlations(traces, pair, "vec_id", "embedding", 5), ["lag"])
-    return out.select("lag", F.round(F.col("linear") + 1e-9, 6).alias("linear"), F.round(F.col("median") + 1e-9, 6).alias("median"), "n")
+    return out.select("lag", F.round(F.col("linear"), 6).alias("linear"), F.round(F.col("median"), 6).alias("median"), "n")
 
 
-@query(f"WITH {CCS} SELECT a, b, abs(lag) AS lag, round(avg(c) + 1e-9, 6) AS c FROM cc GROUP BY a, b, abs(lag)")
+@query(f"WITH {CCS} SELECT a, b, abs(lag) AS lag, round(avg(c), 6) AS c FROM cc GROUP BY a, b, abs(lag)")
 def cc_symmetric(spark, d):
     traces, pair = _next_pairs(spark, d)
-    return signal.symmetric(signal.correlations(traces, pair, "vec_id", "embedding", 5), ["a", "b"]).withColumn("c", F.round(F.col("c") + 1e-9, 6))
+    return signal.symmetric(signal.correlations(traces, pair, "vec_id", "embedding", 5), ["a", "b"]).withColumn("c", F.round(F.col("c"), 6))
 
 
-@query(f"WITH {CCS} SELECT a, b, arg_max(lag, c) AS lag, round(max(c) + 1e-9, 6) AS amplitude FROM cc GROUP BY a, b")
+@query(f"WITH {CCS} SELECT a, b, arg_max(lag, c) AS lag, round(max(c), 6) AS amplitude FROM cc GROUP BY a, b")
 def pick_max(spark, d):
     traces, pair = _next_pairs(spark, d)
     out = signal.pick_max(signal.correlations(traces, pair, "vec_id", "embedding", 5), ["a", "b"], "lag", F.col("c"))
-    return out.withColumn("amplitude", F.round(F.col("amplitude") + 1e-9, 6))
+    return out.withColumn("amplitude", F.round(F.col("amplitude"), 6))
 
 
-@query("SELECT l_orderkey AS ray_id, round(CAST(sum(CAST(l_quantity / (p_size + 1) AS DOUBLE)) AS DOUBLE) + 1e-8, 5) AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS ray_id, round(CAST(sum(CAST(l_quantity / (p_size + 1) AS DOUBLE)) AS DOUBLE), 5) AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
 def ray_forward(spark, d):
     rays = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("ray_id"), F.col("l_partkey").alias("cell_id"), F.col("l_quantity").alias("length"))
     grid = read(spark, d, "part").select(F.col("p_partkey").alias("cell_id"), (F.col("p_size") + 1).cast("double").alias("velocity"))
-    return signal.travel_times(rays, grid).withColumn("t", F.round(F.col("t") + 1e-8, 5))
+    return signal.travel_times(rays, grid).withColumn("t", F.round(F.col("t"), 5))
 
 
 @query("SELECT a.l_suppkey AS i, b.l_suppkey AS j, round(sum(a.l_quantity * b.l_quantity), 2) AS g FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey <= b.l_suppkey GROUP BY 1, 2")
@@ -248,28 +232,6 @@ def ray_coverage(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("cell_id")).agg(F.count(F.lit(1)).alias("rays"), F.round(F.sum("l_quantity"), 2).alias("length"))
 
 
-@query()
-def whitened_envelopes(spark, d):
-    """Spectral whitening and envelope of every trace; tests compare with numpy."""
-    white = read(spark, d, "embeddings").select("vec_id", signal.whiten(F.col("embedding")).alias("white"))
-    return white.withColumn("envelope", signal.envelope(F.col("white")))
-
-
-@query()
-def spectral_correlations(spark, d):
-    """Cross-correlation, coherency, deconvolution and stretching of each trace with the next of its group."""
-    traces, pair = _next_pairs(spark, d)
-    both = pair.join(traces.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(traces.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
-    x, y = F.col("x"), F.col("y")
-    return both.select("a", "b", signal.cross_correlation(x, y).alias("cc"), signal.coherency(x, y).alias("coherency"), signal.deconvolution(x, y).alias("deconvolution"), signal.stretching()(x, y).alias("dv_v"))
-
-
-@query()
-def pws(spark, d):
-    """Phase-weighted stack of each group's traces."""
-    return signal.phase_weighted_stack(read(spark, d, "embeddings"), ["label"], "embedding")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
