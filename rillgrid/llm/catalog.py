@@ -49,11 +49,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes and indexes the archives in the shared folder, then reads them back through the index."""
+    """Writes and indexes the archives in the shared folder, then reads all pages' URLs back through the directory and the index."""
     pages, folder = table(spark, sf_dir, "pages").select("page_id", "url", "html"), new_folder(spark, "warc")
     warc.write_archives(pages, f"{folder}/archives", F.col("html"), min_bytes=0)
     warc.build_index(spark, f"{folder}/archives", f"{folder}/index")
-    return warc.read_archives(spark, f"{folder}/archives", f"{folder}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(spark, f"{folder}/archives", f"{folder}/index", pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = r"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.steps import delete, new_folder, shared_folder, stored  # noqa: F401
+
 #: ASCII white space of the word and line contracts: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,33 +29,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+#: Bits of a filter (8 MB), whatever the number of keys in it.
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter with one function: bit h mod FILTER_BITS is set for each 64-bit hash h. It says no only for hashes that are
+    not there; what it admits still has to be joined. The driver gets at most 2048 rows of 4 KB."""
+    place = hashes.select((F.pmod(column, F.lit(FILTER_BITS)) + 1).alias("place"))
+    rows = place.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).toArrow()
+    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
+        out[bucket - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def admits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter admits each hash (int64)."""
+    place = hashes & (FILTER_BITS - 1)
+    return (bits[place >> 3] >> (place & 7)) & 1 == 1
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def admitted(hashes: Column, bits: np.ndarray, spark: SparkSession) -> Column:
+    """admits() for a column of hashes; null is not admitted."""
+    sent = spark.sparkContext.broadcast(bits)
 
+    @F.arrow_udf("boolean")
+    def said(column: pa.Array) -> pa.Array:
+        return pa.array(admits(sent.value, column.fill_null(0).to_numpy(zero_copy_only=False)) & column.is_valid().to_numpy(zero_copy_only=False))
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return said(hashes)
 
 
 def key128(*columns: Column) -> list[Column]:
@@ -62,10 +66,62 @@ def key128(*columns: Column) -> list[Column]:
     return [F.xxhash64(F.lit("k1"), *columns), F.xxhash64(F.lit("k2"), *columns)]
 
 
+def drop_rows(docs: DataFrame, gone: DataFrame, text_col: str, id_col: str, again: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose key128() of id and text is in gone(k1, k2); of those in again(k1, k2) one row stays. Only
+    rows that a filter of fixed size admits meet the keys, so that texts that stay are not shuffled."""
+    spark, names = docs.sparkSession, docs.columns
+    again = None if again is None or again.isEmpty() else again
+    every = gone if again is None else gone.unionByName(again)
+    every = stored(every.distinct(), "row-keys")
+    k1, k2 = key128(F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    keyed = keyed.withColumn("asked", admitted(F.col("k1"), bit_filter(every, "k1"), spark))
+    asked = keyed.where("asked").drop("asked")
+    out = keyed.where("NOT asked").select("row.*").unionByName(asked.join(every.hint("merge"), ["k1", "k2"], "left_anti").select("row.*"))
+    if again is not None:
+        out = out.unionByName(asked.join(again.hint("merge"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*"))
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+class Seen(dict):
+    """What a worker has worked out for short words. Bounded by bytes: when the young half is full it becomes the old one, whose
+    words move back when they are met again; words over LONGEST bytes are kept for one batch only. It only saves work."""
+
+    HALF_BYTES, LONGEST, ENTRY = 10 << 20, 100, 200
+
+    def __init__(self):
+        self.old, self.size, self.long = {}, 0, []
+
+    def unknown(self, words) -> list:
+        """The words that are in neither half; those of the old half become young again."""
+        for word in self.long:
+            self.pop(word, None)
+        self.long = []
+        if self.size > self.HALF_BYTES:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+        fresh = []
+        for word in words:
+            if word not in self:
+                if (value := self.old.get(word)) is None:
+                    fresh.append(word)
+                else:
+                    self.keep(word, value)
+        return fresh
+
+    def keep(self, word: str, value) -> None:
+        self[word] = value
+        if len(word) > self.LONGEST:
+            self.long.append(word)
+        else:
+            self.size += self.ENTRY + len(word)
+
+
 def runs_of(sizes: list[int], most: int):
     """Consecutive index ranges whose sizes add up to about `most` at most (one long item makes its own range)."""
     start, total = 0, 0
