@@ -48,7 +48,7 @@ def test_common_lines_go_everywhere(spark, min_docs, min_chars):
 
 def test_runs_are_levelled_sorted_and_sum_up(spark):
     rows = line_rows()
-    runs = line_dedup.count_batches(frame(spark, rows), 9)
+    runs, _ = line_dedup.count_batches(frame(spark, rows), 9)
     assert [len(x) for x in runs.levels] == [1, 2]
     want = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
     assert sorted(r.docs for r in runs.totals().collect()) == sorted(want.values())
@@ -56,6 +56,20 @@ def test_runs_are_levelled_sorted_and_sum_up(spark):
     assert len(part) == len(part.drop_duplicates(["h1", "h2"]))
 
 
+def test_settled_keys_are_not_written_again(spark):
+    rows = [(i, f"same\nown {i}") for i in range(400)]
+    runs, _ = line_dedup.count_batches(frame(spark, rows), 8, enough=10)
+    assert runs.totals().count() == 401 and runs.known(10).count() == 1
+    assert sum(spark.read.parquet(p).count() for level in runs.levels for p in level) < 401 + 4
+
+
+def test_columns_of_the_counts_are_made_new_or_left(spark):
+    docs = spark.createDataFrame([(i, "a\na", "mine", "x.y") for i in range(12)], "doc_id long, text string, n_lines string, `p.q` string")
+    out = line_dedup.drop_common_lines(docs, 10)
+    assert sorted(out.columns) == ["doc_id", "n_dropped", "n_lines", "p.q", "text"] and {(r.text, r.n_lines, r.n_dropped) for r in out.collect()} == {("", 2, 2)}
+    assert {r.n_lines for r in line_dedup.drop_common_lines(docs, 10, counts=False).collect()} == {"mine"}
+
+
 def test_stream_batches_drop_what_came_before(spark):
     runs = line_dedup.LineRuns(spark)
     out = [line_dedup.dedup_stream_batch(runs, frame(spark, rows)).collect() for rows in ([(1, "a\nb"), (2, "a")], [(3, "B\nc"), (4, None)], [(5, "c\nd")])]
