@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import array_spec
+from ..functions.parse import array_spec, duration_seconds, memory_mb
 from ..sources.steps import stored
 
 #: Weights of the priority factors.
@@ -44,17 +44,20 @@ def task_parameters(tasks: DataFrame, values: list[float], index: str = "task_id
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(job_id, level): the longest chain of dependencies before each job of an acyclic graph. Each round moves a frontier one
     edge on, one row a job, and stores it. A cycle is an error: then some level reaches the number of jobs."""
-    jobs_ = nodes.count()
-    start = nodes.join(edges, nodes["job_id"] == edges["job_id"], "left_anti").select("job_id", F.lit(0).alias("level"))
-    rounds = [stored(start, "job-levels")]
-    while not rounds[-1].isEmpty():
-        if len(rounds) > jobs_:
+    jobs_, done = nodes.count(), 0
+    frontier = stored(nodes.join(edges, nodes["job_id"] == edges["job_id"], "left_anti").select("job_id", F.lit(0).alias("level")), "job-levels")
+    rounds = [frontier]
+    onward = edges.select("depends_on", F.col("job_id").alias("next"))
+    while not frontier.isEmpty():
+        done += 1
+        if done > jobs_:
             raise ValueError("the dependencies have a cycle")
-        onward = rounds[-1].join(edges.select("depends_on", F.col("job_id").alias("next")), F.col("depends_on") == F.col("job_id"))
-        rounds.append(stored(onward.select(F.col("next").alias("job_id"), (F.col("level") + 1).alias("level")).distinct(), "job-levels"))
-        if len(rounds) % 50 == 0:  # a long chain makes many small tables: keep each job's last level so far, and the frontier
+        moved = frontier.join(onward, F.col("depends_on") == F.col("job_id"))
+        frontier = stored(moved.select(F.col("next").alias("job_id"), (F.col("level") + 1).alias("level")).distinct(), "job-levels")
+        rounds.append(frontier)
+        if len(rounds) > 50:  # a long chain makes many small tables: keep each job's last level so far
             so_far = reduce(DataFrame.unionByName, rounds[:-1]).groupBy("job_id").agg(F.max("level").alias("level"))
-            rounds = [stored(so_far, "job-levels", rounds[:-1]), *[rounds[-1].limit(0)] * (len(rounds) - 2), rounds[-1]]
+            rounds = [stored(so_far, "job-levels", rounds[:-1]), frontier]
     out = reduce(DataFrame.unionByName, rounds).groupBy("job_id").agg(F.max("level").cast("long").alias("level"))
     if out.count() < jobs_:
         raise ValueError("the dependencies have a cycle")
@@ -138,6 +141,18 @@ def efficiency(cpu_s: Column, cores: Column, elapsed_s: Column) -> Column:
     return 100.0 * cpu_s / F.nullif(cores * elapsed_s, F.lit(0))
 
 
+#: The columns of an accounting report, as it writes them.
+ACCOUNTING = "job_id long, name string, partition string, state string, elapsed string, max_rss string, exit_code string"
+
+
+def accounting(report: DataFrame) -> DataFrame:
+    """An accounting report with elapsed seconds, the most memory in MB, and the exit code and signal as numbers; what does not
+    parse is null."""
+    code = F.split("exit_code", ":")
+    part = lambda i: F.get(code, F.lit(i)).try_cast("int")
+    return report.select("job_id", "name", "partition", "state", duration_seconds(F.col("elapsed")).alias("seconds"), memory_mb(F.col("max_rss")).alias("memory_mb"), part(0).alias("exit_code"), part(1).alias("signal"))
+
+
 def parallelism(ntasks: Column, cpus: Column) -> Column:
     return F.when((ntasks > 1) & (cpus > 1), "hybrid").when(ntasks > 1, "mpi").when(cpus > 1, "threaded").otherwise("single")
 

@@ -50,7 +50,8 @@ def summary(answers: DataFrame, by: str, correct: Column) -> DataFrame:
 
 
 def result_document(answers: DataFrame, who: str) -> DataFrame:
-    """One nested document a student from (who, q, correct, category)."""
+    """One nested document a student from (who, q, correct, category). It holds all the student's answers, so the number of
+    questions bounds it; for groups without such a bound keep the answers as rows and take summary()."""
     categories = answers.groupBy(who, "category").agg(F.sum(F.col("correct").cast("int")).cast("long").alias("correct"), F.count(F.lit(1)).alias("total"))
     maps = categories.groupBy(who).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.struct("correct", "total"))))).alias("categories"))
     lists = answers.groupBy(who).agg(F.sum(F.col("correct").cast("int")).cast("long").alias("score"), F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.struct("q", "correct", "category"))).alias("answers"))

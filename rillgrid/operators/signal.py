@@ -80,8 +80,25 @@ def correlations(traces: DataFrame, pair: DataFrame, key: str, data: str, most:
     return lags.select("a", "b", "lag", correlate(F.col("x"), F.col("y"), F.col("lag")).alias("c"))
 
 
+def exact_median(df: DataFrame, by: list[str], x: str, bins: int = 1024) -> DataFrame:
+    """(by, median) of each group's values: counts in bins between the group's ends say in which one or two bins the middle lies,
+    and only their values are put in order, so that no task holds a group's values. Null values and keys drop out."""
+    v = df.select(*by, F.col(x).alias("_x")).dropna()
+    ends = v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    place = F.floor((F.col("_x") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
+    binned = v.join(ends, by).withColumn("_bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    counts = binned.groupBy(*by, "_n", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `bins` rows a group
+    middle = counts.withColumn("_before", before).where((F.col("_before") < high) & (F.col("_before") + F.col("_c") >= low)).select(*by, "_bin", "_before")
+    rank = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_x")) + F.col("_before")
+    return binned.join(middle, [*by, "_bin"]).withColumn("_rank", rank).where((F.col("_rank") == low) | (F.col("_rank") == high)).groupBy(*by).agg(F.avg("_x").alias("median"))
+
+
 def stack(ccs: DataFrame, by: list[str], c: str = "c") -> DataFrame:
-    return ccs.groupBy(*by).agg(F.avg(c).alias("linear"), F.median(c).alias("median"), F.count(F.lit(1)).alias("n"))
+    """Mean, median and number of each group's values."""
+    linear = ccs.groupBy(*by).agg(F.avg(c).alias("linear"), F.count(F.lit(1)).alias("n"))
+    return linear.join(exact_median(ccs, by, c), by).select(*by, "linear", "median", "n")
 
 
 def symmetric(ccs: DataFrame, by: list[str]) -> DataFrame:
@@ -392,7 +409,7 @@ def merged(segments: DataFrame, channel: str, start: Column, x: str, gap_s: floa
 
 def robust_stack(rows: DataFrame, by: list[str], x: str, rounds: int = 3) -> DataFrame:
     """Mean by groups that starts at the median and, in a fixed number of rounds, weighs each value by the inverse of its distance."""
-    centre = rows.groupBy(*by).agg(F.median(x).alias("stack"))
+    centre = exact_median(rows, by, x).withColumnRenamed("median", "stack")
     for _ in range(rounds):
         weight = 1 / F.greatest(F.abs(F.col(x) - F.col("stack")), F.lit(1e-6))
         centre = rows.join(centre, by).groupBy(*by).agg((F.sum(weight * F.col(x)) / F.sum(weight)).alias("stack"))

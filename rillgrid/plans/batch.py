@@ -142,3 +142,15 @@ def trace_select(spark, d):
     channel = F.get(F.array(F.lit("HHZ"), F.lit("HHN"), F.lit("BHE")), (F.col("s_suppkey") % 3).cast("int"))
     ids = read(spark, d, "supplier").withColumn("id", parse.trace_id(F.concat(F.lit("CH.S"), F.col("s_suppkey").cast("string"), F.lit(".."), channel)))
     return ids.where("id.band = 'H'").select("s_suppkey", "id.station", "id.channel", "id.component")
+
+
+@query("SELECT o_orderkey AS job_id, 'job' || o_custkey AS name, 'shared-cpu' AS partition, CASE o_orderstatus WHEN 'F' THEN 'FAILED' ELSE 'COMPLETED' END AS state, (o_orderkey % 4) * 86400 + (o_orderkey % 24) * 3600 + (o_custkey % 60) * 60 AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 50) * 1024 END AS memory_mb, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS exit_code, 0 AS signal FROM orders")
+def accounting_report(spark, d):
+    """Accounting rows as they are written, parsed; a memory without a number is null."""
+    key, two = F.col("o_orderkey"), lambda x: F.lpad(x.cast("string"), 2, "0")
+    report = read(spark, d, "orders").select(
+        key.alias("job_id"), F.concat(F.lit("job"), F.col("o_custkey").cast("string")).alias("name"), F.lit("shared-cpu").alias("partition"), F.when(F.col("o_orderstatus") == "F", "FAILED").otherwise("COMPLETED").alias("state"),
+        F.concat((key % 4).cast("string"), F.lit("-"), two(key % 24), F.lit(":"), two(F.col("o_custkey") % 60), F.lit(":00")).alias("elapsed"),
+        F.when(key % 3 == 0, "unknown").otherwise(F.concat((key % 50).cast("string"), F.lit("G"))).alias("max_rss"), F.when(F.col("o_orderstatus") == "F", "1:0").otherwise("0:0").alias("exit_code"),
+    )
+    return jobs.accounting(report)

@@ -252,9 +252,29 @@ def test_snr_grows_with_the_stack(spark):
     assert robust.count() == 64 and robust.where("n = 8").first().stack > 0.5
 
 
+def test_medians_are_exact(spark):
+    r = np.random.default_rng(7)
+    groups = {"a": r.normal(size=101), "b": r.normal(size=100) ** 5, "c": np.array([2.0]), "d": np.array([1.0] * 50 + [9.0]), "e": np.array([1.0, 4.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None)], "k string, v double")
+    for bins in (1, 3, 1024):
+        got = dict(map(tuple, signal.exact_median(df, ["k"], "v", bins).collect()))
+        assert all(abs(got[k] - np.median(v)) < 1e-12 for k, v in groups.items()) and got.keys() == groups.keys()
+
+
 def test_running_scores_do_not_depend_on_the_bins(spark):
     df = spark.createDataFrame([(i % 3, i, i % 2 == 0) for i in range(50)], "who int, q int, ok boolean")
     w = Window.partitionBy("who").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
     want = sorted(map(tuple, df.withColumn("score", F.sum(F.col("ok").cast("int")).over(w)).withColumn("total", F.count(F.lit(1)).over(w)).collect()))
     for bins in (1, 7, 200):
         assert sorted(map(tuple, scoring.running_score(df, "who", "q", F.col("ok"), bins).select("who", "q", "ok", "score", "total").collect())) == want
+
+
+def test_the_question_bank_is_graded(spark):
+    from rillgrid.sources.bank import question_bank
+
+    bank = question_bank(spark)
+    assert dict(map(tuple, bank.groupBy("kind").count().collect())) == {"mc": 28, "fill": 7, "tf": 4}
+    asked = bank.select(F.explode(F.array(F.lit("right"), F.lit("none"))).alias("student"), "q", "accepted")
+    answers = asked.select("student", "q", F.when(F.col("student") == "right", F.concat(F.lit(" "), F.lower(F.get("accepted", F.lit(0))), F.lit("\n"))).alias("answer"))
+    scores = scoring.summary(scoring.grade(answers, bank), "student", F.col("correct")).collect()
+    assert {r.student: (r.correct, r.total, r.band) for r in scores} == {"right": (39, 39, "perfect"), "none": (0, 39, "poor")}
