@@ -5,13 +5,15 @@ of a text count their neighbours by shard; those outside the shard where most ne
 takes moves, small groups first, while its linked documents stay within its row quota; moves beyond it wait for the next
 round, when only shards with room are asked. At last the row counts are made equal (at most one apart): what a shard holds
 beyond its quota, documents without links first, fills the shards that lack rows. Groups larger than a shard spread over as
-few shards as the rounds find.
+few shards as the rounds find. Rounds end when no move is granted, or after `rounds` of them; the law holds in any case, and
+cut_links() says how many links then run between shards.
 
 Requests and quotas are worked out on counts by (text, shard), not on documents. Ranks come from running counts over small
 bins, so that no window holds a shard or a large group; a group's documents meet its counts under a salt.
 
 Cases: a null text counts as empty; empty texts are equal texts; null and repeated ids are allowed (equal rows take any of
-their places); an empty table gives an empty result.
+their places); an empty table gives an empty result; very long texts are hashed whole; other columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -103,3 +105,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 5, text_col:
         if not moves:
             break
     return even_rows(state, quota).select("doc_id", "size", "text_crc32", "g1", "g2", "n_equal", "shard", "slot")
+
+
+def cut_links(placed: DataFrame) -> DataFrame:
+    """One row of (links, cut): pairs of equal texts, and those of them whose documents are in different shards."""
+    pairs = lambda n: n * (n - 1) / 2
+    inside = placed.where("n_equal > 1").groupBy("g1", "g2", "n_equal", "shard").agg(F.count(F.lit(1)).alias("n"))
+    groups = inside.groupBy("g1", "g2", "n_equal").agg(F.sum(pairs(F.col("n"))).alias("kept"))
+    total = F.coalesce(F.sum(pairs(F.col("n_equal"))), F.lit(0))
+    return groups.agg(total.cast("long").alias("links"), (total - F.coalesce(F.sum("kept"), F.lit(0))).cast("long").alias("cut"))

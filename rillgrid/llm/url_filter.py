@@ -5,13 +5,14 @@ that fits wins. URLs that the rules allow or block are the accepted and rejected
 variable order (contexts of 0 to ORDER characters; one that was not seen is left out) is counted over all examples,
 with Witten-Bell smoothing down to an even spread over ALPHABET characters. A URL's score is the log-likelihood under the accepted model less
 that under the rejected one, by its length; it is allowed from a threshold on, which is the one of best balanced accuracy on
-examples that were not counted: models of one half score the other half.
+examples that were not counted: models of each half score the other half.
 
 Counts, contexts and scores are tables; nothing that grows with the URLs is broadcast by this module.
 
 Cases: null URLs and URLs without `://` have empty host and path and fit no rule; a null or empty URL has score 0; without
 examples of both kinds every score is 0 and the threshold is 0, so the method allows; repeated URLs are scored once and judged each; an empty
-table gives an empty result; other columns stay as they are.
+table gives an empty result; very long URLs are read whole, a row a character; host, path, rule, score and verdict are made new
+where pages have such columns, and other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ def gram_scores(examples: DataFrame, wanted: DataFrame) -> DataFrame:
         tail, context = F.right("gram", F.lit(k + 1)), F.substring(F.right("gram", F.lit(k + 1)), 1, k)
         tails = seen.groupBy(tail.alias("tail")).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
         contexts = tails.groupBy(F.substring("tail", 1, k).alias("context")).agg(F.sum("na").alias("ca"), F.sum("nb").alias("cb"), one(F.col("na") > 0)("ta"), one(F.col("nb") > 0)("tb"))
+        contexts = contexts if k else F.broadcast(contexts)  # the empty context is one row, which every gram meets
         out = out.withColumn("tail", tail).withColumn("context", context).join(tails, "tail", "left").join(contexts, "context", "left")
         for m in "ab":
             n, c, t = (F.coalesce(f"{x}{m}", F.lit(0)) for x in "nct")
@@ -101,7 +103,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str =
     kinds = examples.agg(F.countDistinct("good")).first()[0]
     open_urls = urls.where(F.col("_says").isNull()).select("url")
     if kinds == 2:
-        threshold = threshold_of(url_scores(examples.where(half), examples.where(~half)))
+        threshold = threshold_of(url_scores(examples.where(half), examples.where(~half)).unionByName(url_scores(examples.where(~half), examples.where(half))))
         scores = url_scores(examples, open_urls)
     else:
         threshold, scores = 0.0, open_urls.withColumn("score", F.lit(0.0))

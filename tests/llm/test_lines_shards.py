@@ -100,6 +100,13 @@ def test_shards_are_even_and_keep_groups_together(spark):
     for g in got:
         where[g.text_crc32].add(g.shard)
     assert sum(len(v) > 1 for v in where.values()) <= 3
+    placed = sharding.shard_documents(frame(spark, rows), 8)
+    crc = defaultdict(Counter)
+    for g in placed.collect():
+        crc[g.text_crc32][g.shard] += 1
+    pairs = lambda n: n * (n - 1) // 2
+    links, kept = sum(pairs(sum(c.values())) for c in crc.values()), sum(pairs(n) for c in crc.values() for n in c.values())
+    assert tuple(sharding.cut_links(placed).first()) == (links, links - kept) and links - kept < 0.05 * links
 
 
 def test_a_group_of_a_third_of_the_rows_is_split_over_few_shards(spark):
