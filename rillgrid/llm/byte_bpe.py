@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import runs_of
+from .common import Seen, give_back, runs_of
 
 #: Bytes of text that are encoded at a time; bounds a worker's memory.
 CHUNK_BYTES = 1 << 17
 LOST = "�".encode()
-#: Chunks whose ids a worker keeps; beyond it the store starts anew. It only saves work.
-KEEP_CHUNKS = 500_000
 MARK = "\U0010ffff"
 
 
@@ -92,11 +90,22 @@ def chunks(text: str) -> list[str] | None:
     return text.replace(" ", MARK + " ").replace("\n", f"{MARK}\n{MARK}").split(MARK)
 
 
+def check_pattern(pattern: str) -> None:
+    """chunks() relies on where a pattern parts texts: one that parts them otherwise is refused."""
+    import regex
+
+    for text in ("a b", "ab. cd", "a1 b2", "a\nb", "it's é.\n-x", "a ,b\n1"):
+        whole = [m.group() for m in regex.finditer(pattern, text)]
+        if whole != [m.group() for c in chunks(text) for m in regex.finditer(pattern, c)]:
+            raise ValueError("only patterns whose matches begin with one space at most and end at line ends are supported")
+
+
 class Encoder:
     """Encodes texts by the library; words that are new to the worker go to it in one text, parted by line ends."""
 
     def __init__(self, path: str, pattern: str):
-        self.library, self.seen = tokenizer(path, pattern), {}
+        check_pattern(pattern)
+        self.library, self.seen = tokenizer(path, pattern), Seen()
         self.line_end = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -106,14 +115,13 @@ class Encoder:
         ids = np.array(self._ids(["\n".join(["", *words, ""])])[0], np.int32)
         ends = np.flatnonzero(ids == self.line_end[0])
         data = ids.tobytes()  # four bytes an id: joining bytes is faster than joining lists
-        self.seen |= {w: data[4 * i + 4 : 4 * j] for w, i, j in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+        for w, i, j in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            self.seen.keep(w, data[4 * i + 4 : 4 * j])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > KEEP_CHUNKS:
-            self.seen.clear()
         parts, seen = [chunks(t) if len(self.line_end) == 1 else None for t in texts], self.seen
+        fresh = [c for c in seen.unknown({c for cs in parts if cs for c in cs}) if c not in ("", "\n")]
         seen |= {"": b"", "\n": np.array(self.line_end, np.int32).tobytes()}
-        fresh = list({c for cs in parts if cs for c in cs if c not in seen})
         for a, b in runs_of([len(c) for c in fresh], CHUNK_BYTES):
             self._learn(fresh[a:b])
         whole = iter(self._ids([t for t, cs in zip(texts, parts) if cs is None]))
@@ -171,7 +179,9 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def both(texts: pa.Array) -> pa.Array:
         ids = _encoded(texts, path, pattern)
-        return pa.StructArray.from_arrays([ids, _decoded(ids, path, pattern)], ["ids", "decoded"])
+        decoded = _decoded(ids, path, pattern)
+        give_back()
+        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
 
     return both(text)
 

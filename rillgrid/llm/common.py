@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +89,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the machine; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Seen(dict):
     """What a worker has worked out for short words. Bounded by bytes: when the young half is full it becomes the old one, whose
     words move back when they are met again; words over LONGEST bytes are kept for one batch only. It only saves work."""

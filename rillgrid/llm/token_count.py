@@ -23,11 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import runs_of
+from .common import Seen, runs_of
 
 CHUNK_BYTES = 4 << 20
-#: Words whose counts a worker keeps; beyond it the store starts anew. It only saves work.
-KEEP_WORDS = 500_000
 
 
 class Merger:
@@ -45,6 +43,11 @@ class Merger:
         self.end = model.get("end_of_word_suffix") or ""
         vocab = self.vocab = model["vocab"]
         self.normal, self.split = made.normalizer, made.pre_tokenizer
+        if self.split is None:
+            raise ValueError("only files with a splitter are supported")
+        one = self.normal.normalize_str("a\t\n b\u00a0c") if self.normal else ""
+        if one.split() != one.split(" ") or [w for w, _ in self.split.pre_tokenize_str("a b")] != [w for c in "ab" for w, _ in self.split.pre_tokenize_str(c)]:
+            raise ValueError("only files whose normaliser makes white space single spaces, and whose splitter never crosses them, are supported")
         special = [t["content"] for t in said["added_tokens"]]
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
             raise ValueError("added tokens must match as they stand")
@@ -59,7 +62,7 @@ class Merger:
             raise ValueError("a merge ranks below one that makes its parts")
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made_id[order]
-        self.seen: dict[str, int] = {}
+        self.seen = Seen()
 
     def survivors(self, words: list[str]) -> np.ndarray:
         """Symbols left of each word (given in the splitter's characters, none empty)."""
@@ -94,22 +97,21 @@ class Merger:
             symbols, word = symbols[keep], word[keep]
         return left
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         """Counts of chunks that are not known yet; a chunk has no white space and so stands alone."""
         split = {c: [w for w, _ in self.split.pre_tokenize_str(c)] for c in chunks}
         words = sorted({w for ws in split.values() for w in ws if w}, key=len)
         count = {}
         for a, b in runs_of([len(w) for w in words], 1 << 20):
             count |= zip(words[a:b], self.survivors(words[a:b]).tolist())
-        self.seen |= {c: sum(count[w] for w in ws if w) for c, ws in split.items()}
+        for c, ws in split.items():
+            self.seen.keep(c, sum(count[w] for w in ws if w))
 
     def count(self, texts: list[str]) -> list[int]:
         special = [len(self.special.findall(t)) for t in texts]
         parts = [(self.special.split(t) if n else [t]) for t, n in zip(texts, special)]
         chunks = [[c for p in ps for c in (self.normal.normalize_str(p) if self.normal else p).split(" ") if c] for ps in parts]
-        if len(self.seen) > KEEP_WORDS:
-            self.seen.clear()
-        if fresh := {c for cs in chunks for c in cs if c not in self.seen}:
+        if fresh := self.seen.unknown({c for cs in chunks for c in cs}):
             self.learn(fresh)
         return [n + sum(map(self.seen.__getitem__, cs)) for n, cs in zip(special, chunks)]
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rillgrid.llm import byte_bpe, token_count
+from rillgrid.llm.common import Seen
 
 WORDS, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 ODD = ["", " ", "\n\n", "aaa" * 50, "a" * 3000, "Straße ÉTÉ", "é x", " a b​c\x1cd\x85e", "<|endoftext|>", "x<|startoftext|>y <|ENDOFTEXT|>", "it's we'LL", "日本語 😀 12345", "�\x00z", "à̖", "İi̇"]
@@ -32,11 +34,25 @@ def test_token_counts_equal_the_library(spark):
     assert [r.n for r in sorted(got)] == want
 
 
-def test_token_counts_when_the_store_starts_anew(monkeypatch):
-    monkeypatch.setattr(token_count, "KEEP_WORDS", 3)
-    library, merger = Tokenizer.from_file(WORDS), token_count.Merger(WORDS)
-    for batch in (["one two three four five"], ["one six", "two"], ["seven one", ""]):
+def test_the_store_of_words_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(Seen, "HALF_BYTES", 500)
+    library, merger, encoder = Tokenizer.from_file(WORDS), token_count.Merger(WORDS), byte_bpe.Encoder(RANKS, P.PATTERN)
+    for batch in (["one two three four five"], ["one six", "two " + "x" * 5000], ["seven one", ""], ["eight nine ten", "two\none"], ["y" * 5000 + " one"]):
         assert merger.count(batch) == [len(library.encode(t).ids) for t in batch]
+        assert [x.tolist() for x in encoder.encode(batch)] == [tik().encode_ordinary(t) for t in batch]
+        assert len(merger.seen) < 9 and len(merger.seen.old) < 9
+    merger.seen.unknown([])
+    assert max(map(len, merger.seen)) < 100
+
+
+def test_other_patterns_and_files_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        byte_bpe.Encoder(RANKS, r"[^\n]+|\n")
+    said = json.loads(open(WORDS, encoding="utf-8").read())
+    said["pre_tokenizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(said), encoding="utf-8")
+    with pytest.raises(ValueError):
+        token_count.Merger(str(tmp_path / "other.json"))
 
 
 def tik():
