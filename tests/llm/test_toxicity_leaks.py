@@ -101,7 +101,7 @@ def test_items_in_several_passes_and_empty_tables(spark, monkeypatch):
     items = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n")], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 5)
     assert sorted((g.doc_id, g.item_id) for g in decontaminate.leaks(docs, items).collect() if g.doc_id) == [(1, 1), (2, 2)]
-    assert [r.doc_id for r in decontaminate.drop_leaking(docs, items).collect()] == [None]
+    assert decontaminate.drop_leaking(docs, items).collect() == []
     assert decontaminate.leaks(docs.limit(0), items).collect() == [] and decontaminate.leaks(docs, items.limit(0)).collect() == []
 
 
@@ -123,7 +123,84 @@ def test_texts_shorter_than_the_item(spark):
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted(((g.doc_id, g.item_id, g.first_word, g.n_words) for g in decontaminate.leaks(*frames).collect()), key=str)
     assert got == sorted([(0, 0, 0, 47), (1, 1, 0, 39), (2, 2, 0, 28), (6, 5, 0, 50), (7, 0, 0, 49), (None, 0, 0, 48)], key=str)
-    assert sorted(d.doc_id for d in decontaminate.drop_leaking(*frames).collect() if d.doc_id is not None) == [3, 4, 5]
+    assert sorted(d.doc_id for d in decontaminate.drop_leaking(*frames).collect()) == [3, 4, 5]
+
+
+def test_leaking_rows_go_and_rows_that_share_their_id_stay(spark):
+    item = "one two three four five six seven eight"
+    rows = [(1, item, "a"), (1, "another text that leaks nothing at all", "b"), (None, f"x {item} y", "c"), (None, "clean words without an id here", "d"), (2, None, "e"), (1, item, "f"), (3, "twice the same clean row", "g"), (3, "twice the same clean row", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    out = decontaminate.drop_leaking(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == docs.columns and sorted(r.k1 for r in out.collect()) == ["b", "d", "e", "g", "g"]
+
+
+def brute_chain(rows, labels):
+    """The chain by loops over rows: models[k] = (bias, {place: weight}, extra), and the threshold."""
+    n, k_all, odds = len(rows), len(labels[0]), [[] for _ in rows]
+    fit_of = {f: [i for i in range(n) if rows[i][1] != f] for f in range(toxicity.FOLDS + 1)}
+
+    def fit(part, y):
+        m, ones = len(part), sum(y[i] for i in part)
+        bias, extra = math.log((ones + 0.5) / (m - ones + 0.5)), [0.0] * len(odds[0])
+        if ones in (0, m):
+            return bias, {}, extra
+        both, pos = Counter(p for i in part for p in rows[i][0]), Counter(p for i in part if y[i] for p in rows[i][0])
+        ratio = {p: math.log((pos[p] / ones + 4 / m) / ((c - pos[p]) / (m - ones) + 4 / m)) for p, c in both.items() if c > 2}
+        ratio = {p: x for p, x in ratio.items() if abs(x) > 0.7}
+        w, g2 = dict.fromkeys(ratio, 0.3), dict.fromkeys(ratio, 1e-8)
+        v, h2 = [*extra, bias], [1e-8] * (len(extra) + 1)
+        for _ in range(120):
+            gw, gv = {p: 1e-3 * w[p] / len(w) for p in w}, [0.0] * len(v)
+            for i in part:
+                x = [*odds[i], 1.0]
+                z = sum(w[p] * ratio[p] for p in rows[i][0] if p in w) + sum(a * b for a, b in zip(v, x))
+                e = (1 / (1 + math.exp(-max(-35, min(35, z)))) - y[i]) / m
+                for p in rows[i][0]:
+                    if p in w:
+                        gw[p] += e * ratio[p]
+                gv = [g + e * a for g, a in zip(gv, x)]
+            for p in w:
+                g2[p] += gw[p] ** 2
+                w[p] = max(0.0, w[p] - 0.3 * gw[p] / math.sqrt(g2[p]))
+            h2 = [h + g * g for h, g in zip(h2, gv)]
+            v = [a - 0.3 * g / math.sqrt(h) for a, g, h in zip(v, gv, h2)]
+        return v[-1], {p: w[p] * ratio[p] for p in w}, v[:-1]
+
+    models = []
+    for k in range(k_all):
+        y, made = [x[k] for x in labels], {f: fit(part, [x[k] for x in labels]) for f, part in fit_of.items()}
+        out = [made[rows[i][1]] for i in range(n)]
+        odds = [[*odds[i], max(-35, min(35, b + sum(w.get(p, 0) for p in rows[i][0]) + sum(a * o for a, o in zip(e, odds[i]))))] for i, (b, w, e) in enumerate(out)]
+        models.append(made[toxicity.FOLDS])
+    p, y = [1 / (1 + math.exp(-o[-1])) for o in odds], [x[-1] for x in labels]
+    best = max(((2 * sum(y[i] for i in range(n) if p[i] >= t) / (sum(q >= t for q in p) + sum(y)), t) for t in set(p)), default=None)
+    below = [q for q in p if q < best[1]]
+    return models, (best[1] + max(below, default=0.0)) / 2
+
+
+def test_the_chain_equals_loops_over_rows(spark):
+    rows, labels = toxic_rows(90, seed=9)
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    chain = toxicity.fit_chain(docs, known)
+    from pyspark.sql import functions as F
+
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    import pyarrow as pa
+
+    lists = toxicity.places(pa.array([t for _, t in rows]))
+    models, threshold = brute_chain([(x.tolist(), fold[i]) for x, (i, _) in zip(lists, rows)], [x[1:3] for x in labels])
+    for got, (bias, weights, extra) in zip(chain.models, models, strict=True):
+        assert np.allclose([got.bias, *got.extra], [bias, *extra]) and dict.fromkeys(got.names.tolist()) == dict.fromkeys(sorted(weights))
+        assert np.allclose(got.weights, [weights[p] for p in sorted(weights)])
+    assert abs(chain.threshold - threshold) < 1e-9
+
+
+def test_columns_of_the_result_are_made_new(spark):
+    rows, labels = toxic_rows(60)
+    docs = spark.createDataFrame([(*r, "mine", "x") for r in rows], "doc_id long, text string, toxic string, row string")
+    out = toxicity.flag_toxic(docs, toxicity.fit_chain(docs, spark.createDataFrame(labels, LABELS)))
+    assert dict(out.dtypes)["toxic"] == "boolean" and sorted(out.columns) == sorted([*docs.columns, "p_quality", "p_toxic"])
+    assert toxicity.flag_toxic(docs.limit(0), toxicity.fit_chain(docs.limit(0), spark.createDataFrame(labels, LABELS))).collect() == []
 
 
 def test_several_passes_give_the_results_of_one(spark, monkeypatch):
