@@ -7,17 +7,19 @@ and n_words are its own.
 
 Windows get 64-bit SimHashes of their weighted shingles, and a multi-index of four 16-bit blocks finds every item whose
 fingerprint lies within RADIUS bits: by the pigeonhole principle such a fingerprint differs in at most RADIUS // 4 bits in some block,
-and every block value that near is in the index. Candidates are then verified exactly. Only windows that hold a shingle of an
+and a window asks each block's index for every value that near its own. Candidates are then verified exactly. Only windows that hold a shingle of an
 item that they are compared with are hashed; others have similarity 0. (A window at similarity 0.8 exactly lies beyond 15 bits in about 2
 of 100 cases; neighbouring windows of a longer copy give it further chances, exact copies lie at 0 bits.)
 
 Items are sent to the executors in blocks of about ITEM_BYTES of text, each in a pass of its own; documents are never shuffled.
+A block's index takes 1 MB and 16 bytes an item; its shingles take about 100 bytes a word.
 Weights are those of the whole benchmark in every pass: with several, each gets the number of items and the counts of all
 shingles that two or more items have (the others weigh the same as unseen ones), also of those that only other blocks' items
 have, since windows hold them too. That is 16 bytes for each such shingle, not bounded by ITEM_BYTES.
 
 Cases: null, empty and blank items match nothing, as do such texts; rows without id are reported with a null id; repeated
-rows and items are reported each; empty tables give an empty result; other columns are ignored. Texts are read whole.
+rows and items are reported each; empty tables give an empty result; other columns are ignored. Texts are read whole, very long
+ones too. drop_leaking() names rows by id and text, so that rows without id go like others, and rows that only share the id stay.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drop_rows, key128, small_batches, stored, table
 from .shingles import batches_of, distinct, polynomial, sequences, word_hashes
 
 WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 4
 ITEM_BYTES = 4 << 20
 SCALE = 256
-LINK_SCHEMA = "doc_id long, item_id long, first_word long, n_words long, similarity double"
+LINK_FIELDS = ["item_id", "first_word", "n_words", "similarity"]
 BITS = np.arange(64, dtype=np.uint64)
+#: Windows that ask the index at a time.
+PROBES = 1024
 
 
 def near_values(radius: int, bits: int = 16) -> np.ndarray:
@@ -81,14 +85,17 @@ class Items:
             for s in sh.tolist():
                 self.holders[s].add(size)
         self.prints = np.array([fingerprints(sh, self.weights(sh), np.array([0]), len(sh))[0] for *_, sh in self.items], np.uint64)
-        masks = near_values(radius // BLOCKS)
-        self.index = {}  # by size and block: sorted block values near an item's, and the items
-        for size, members in self.sizes.items():
-            for block in range(BLOCKS):
-                own = ((self.prints[members] >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-                value, item = (own[:, None] ^ masks).ravel(), np.repeat(members, len(masks))
-                order = np.argsort(value, kind="stable")
-                self.index[size, block] = value[order], item[order]
+        self.masks, self.size_of = near_values(radius // BLOCKS), np.array([size for _, size, _ in self.items], np.int64)
+        self.index = []  # by block: where each value's items begin (one more at the end), and the items in the order of their values
+        for block in range(BLOCKS):
+            own = self._block(self.prints, block)
+            begin = np.zeros((1 << 16) + 1, np.int32)
+            np.cumsum(np.bincount(own, minlength=1 << 16), out=begin[1:])
+            self.index.append((begin, np.argsort(own, kind="stable").astype(np.int32)))
+
+    @staticmethod
+    def _block(prints: np.ndarray, block: int) -> np.ndarray:
+        return ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.shared):
@@ -107,14 +114,17 @@ class Items:
     def candidates(self, size: int, prints: np.ndarray):
         """(index of a fingerprint, item) within the radius, each once."""
         pairs = set()
-        for block in range(BLOCKS):
-            value, item = self.index[size, block]
-            own = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            lo, hi = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
-            which = np.repeat(np.arange(len(own)), hi - lo)
-            found = item[np.arange(len(which)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)]
-            near = np.bitwise_count(prints[which] ^ self.prints[found]) <= self.radius
-            pairs.update(zip(which[near].tolist(), found[near].tolist()))
+        for at in range(0, len(prints), PROBES):
+            some = prints[at : at + PROBES]
+            for block, (begin, items) in enumerate(self.index):
+                asked = (self._block(some, block)[:, None] ^ self.masks).ravel()
+                lo, n = begin[asked], begin[asked + 1] - begin[asked]
+                hit = np.flatnonzero(n)
+                lo, n = lo[hit], n[hit]
+                which = np.repeat(hit // len(self.masks), n)
+                found = items[np.arange(len(which)) + np.repeat(lo - (np.cumsum(n) - n), n)]
+                near = (np.bitwise_count(some[which] ^ self.prints[found]) <= self.radius) & (self.size_of[found] == size)
+                pairs.update(zip((at + which[near]).tolist(), found[near].tolist()))
         return sorted(pairs)
 
     def matches(self, words: np.ndarray, by_width: dict[int, tuple[np.ndarray, np.ndarray]]):
@@ -185,8 +195,17 @@ def frequencies(items: DataFrame, words: int) -> tuple[int, np.ndarray, np.ndarr
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): each document's best window of each item that it holds."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _found(named, benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")), words, similarity, radius)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """The links of docs(keys ..., text), with their keys, to benchmark(item, text)."""
+    spark, keys = docs.sparkSession, docs.columns[:-1]
+    small_batches(spark)
+    names = [*keys, *LINK_FIELDS]
+    types = [pa.int64()] * (len(names) - 1) + [pa.float64()]
+    items = benchmark.select("item", F.coalesce("text", F.lit("")).alias("text"))
     passes = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / ITEM_BYTES))
     whole = spark.sparkContext.broadcast(frequencies(items, words) if passes > 1 else None)
     found = None
@@ -199,21 +218,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity:
             if 0 not in made:
                 made[0] = Items(sent.value, words, similarity, radius, whole.value)
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                for at, texts in batches_of(batch.column(1)):
-                    rows = [(ids[at + doc], *row) for doc, row in made[0].search(texts)]
+                ids = list(zip(*[batch.column(c).to_pylist() for c in keys]))
+                for at, texts in batches_of(batch.column("text")):
+                    rows = [(*ids[at + doc], *row) for doc, row in made[0].search(texts)]
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.float64()])], [x.split()[0] for x in LINK_SCHEMA.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(search, LINK_SCHEMA)
+        part = docs.mapInArrow(search, ", ".join(f"{c} long" for c in names[:-1]) + f", {names[-1]} double")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that hold an item. Rows without an id stay."""
-    gone = stored(leaks(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
-    return docs.join(gone, id_col, "left_anti")
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows that hold an item."""
+    k1, k2 = key128(F.col(id_col), F.col(text_col))
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))
+    return drop_rows(docs, _found(keyed, items, words, similarity, radius).select("k1", "k2"), text_col, id_col)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
