@@ -6,19 +6,23 @@ one of the first n - ceil(n * percent / 100) + 1 shingles (the prefix) of each.
 
 1. Documents with equal sets become one class. Classes of equal size and equal prefix become one group.
 2. Groups that share a prefix shingle and pass the length and position filters are candidates. Around a rare shingle all pairs
-   are taken; around a frequent one each group is first compared with one centre only.
+   are taken; around a shingle of more than FREQUENT prefixes each group is first compared with one centre only.
 3. Candidates' representatives are verified on their whole sets, and links give components.
 4. What is still undecided follows exactly: pairs of members, also of groups around frequent shingles, that lie in
    different components and were not verified. Their links join the components. Pairs within a component need no check, so a large
    group of near copies does not cost the square of its size, and no link between components is lost.
 
-The frequent shingles (in more than FREQUENT prefix neighbourhoods) are counted over all documents; at most ORDER_LIMIT of
-them, the most frequent, are sent to the executors (8 MB). Any order gives the same links, so the limit only bounds memory.
+The order comes from counts over all documents; at most ORDER_LIMIT shingles, the most frequent, are sent to the executors
+(8 MB). Any order gives the same links; whether a shingle is rare is decided by the size of its own list of prefixes.
+The documents whose whole sets are verified are found by a filter of fixed size (common.bit_filter) and a join behind it.
 Shingles and sets are compared by 64- and 128-bit hashes.
 
+A row is named by its id and a 128-bit hash of id and text. Very many rows of one text meet the components by a join on the
+text's class, which adaptive execution splits; empty texts take no part in it.
+
 Cases: null, empty and blank texts have empty sets and link with nothing; repeated rows are equal texts; rows without id
 take part and have the smallest id of their component, which is null if no row of it has one; an empty table gives an empty
-result; other columns are ignored. Texts are read whole.
+result; other columns are ignored. Texts are read whole, very long ones too.
 """
 
 from __future__ import annotations
@@ -30,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import admits, bit_filter, drop_rows, key128, small_batches, stored, table
 from .shingles import batches_of, distinct, sequences
 
 FREQUENT, ORDER_LIMIT = 8, 1 << 20
-#: Ids that may be sent to all executors (8 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 1 << 20
+#: A frequent shingle's prefixes meet their centre in this many parts.
+SALTS = 16
+
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
@@ -63,25 +68,31 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id"):
         self.spark: SparkSession = docs.sparkSession
         small_batches(self.spark)
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        k1, k2 = key128(F.col(id_col), F.col(text_col))
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
         self.words, self.percent = words, percent
 
     # 1: sets, classes, groups
 
-    def _map(self, docs: DataFrame, schema: str, make) -> DataFrame:
-        """make(set) -> the values after doc_id, or None for no row; list values are hash arrays."""
-        width, names = self.words, [x.split()[0] for x in schema.split(", ")]
-        lists = ["array" in x for x in schema.split(", ")]
+    def _map(self, schema: str, make, only=None, mark=None) -> DataFrame:
+        """make(set) -> the values after doc_id, k1 and k2, or None for no row; list values are hash arrays. only, mark: broadcast
+        filters; documents whose k1 only does not admit are left out, and whether mark admits it is the number before make's values."""
+        width, schema = self.words, "doc_id long, k1 long, k2 long, " + schema
+        names, lists = [x.split()[0] for x in schema.split(", ")], ["array" in x for x in schema.split(", ")]
 
         def run(batches):
             for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
+                if only is not None:
+                    batch = batch.filter(pa.array(admits(only.value, batch.column("k1").to_numpy())))
+                keys = [batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2")]
+                keys += [] if mark is None else [admits(mark.value, batch.column("k1").to_numpy()).astype(int).tolist()]
+                keys = list(zip(*keys))
                 for at, texts in batches_of(batch.column("text")):
-                    rows = [(doc, *made) for doc, s in zip(ids[at:], sequences(texts, width)) if (made := make(distinct(s))) is not None]
+                    rows = [(*key, *made) for key, s in zip(keys[at:], sequences(texts, width)) if (made := make(distinct(s))) is not None]
                     if rows:
                         yield pa.RecordBatch.from_arrays([_arrays(list(c)) if is_list else pa.array(c, pa.int64()) for c, is_list in zip(zip(*rows), lists)], names)
 
-        return docs.mapInArrow(run, schema)
+        return self.docs.mapInArrow(run, schema)
 
     def _frequent(self) -> np.ndarray:
         """The frequent shingles, ascending: counted where the order may look at them. Documents whose first 2 p shingles leave
@@ -96,7 +107,7 @@ class NgramJoin:
             top = counts.orderBy(F.desc("count"), "token").limit(ORDER_LIMIT).select("token").toArrow().column("token")
             return np.sort(top.to_numpy().view(np.uint64))
 
-        first = counted(self._map(self.docs, "doc_id long, tokens array<long>", heads))
+        first = counted(self._map("tokens array<long>", heads))
         if not len(first):
             return first
         sent = self.spark.sparkContext.broadcast(first)
@@ -105,7 +116,7 @@ class NgramJoin:
             p = prefix_length(len(s), percent)
             return (s[2 * p :],) if len(s) > 2 * p and np.count_nonzero(~_in_sorted(s[: 2 * p], sent.value)) < p else None
 
-        rest = counted(self._map(self.docs, "doc_id long, tokens array<long>", tails))
+        rest = counted(self._map("tokens array<long>", tails))
         return np.union1d(first, rest)
 
     def prepare(self) -> None:
@@ -118,20 +129,46 @@ class NgramJoin:
             early = s[~late][:p]
             return len(s), *_class_key(s), early, s[late][: p - len(early)]
 
-        made = self._map(self.docs, "doc_id long, n long, c1 long, c2 long, rare array<long>, common array<long>", prefixes)
+        made = self._map("n long, c1 long, c2 long, rare array<long>, common array<long>", prefixes)
         self.members = stored(made.withColumn("row", F.monotonically_increasing_id()), "ngram-docs")
-        # a class is named by one of its rows
-        self.classes = stored(self.members.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("first_doc"), F.min("row").alias("cid")), "ngram-classes")
-        copies = self.members.select("c1", "c2", "row").join(self.classes.hint("merge"), ["c1", "c2"]).where("row != cid").select("row")
-        one_each = self.members.where("n > 0").join(stored(copies, "ngram-copies"), "row", "left_anti").select(F.col("row").alias("cid"), "n", "rare", "common")
+        # a class is named by one of its rows, and first says which of its rows comes first: the smallest id, none last
+        first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+        self.classes = stored(self.members.where("n > 0").groupBy("c1", "c2", "n").agg(F.min(first).alias("first"), F.min("row").alias("cid")), "ngram-classes")
+        #: the names of rows that are there more than once
+        self.again = stored(self.members.where("n > 0").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "ngram-again")
+        one_each = self.members.withColumnRenamed("row", "cid").join(self.classes.select("cid").hint("merge"), "cid", "left_semi").select("cid", "n", "rare", "common")
         groups = one_each.select("cid", "n", F.xxhash64(F.lit(1), "rare", "common").alias("p1"), F.xxhash64(F.lit(2), "rare", "common").alias("p2"))
         same = groups.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size")).where("size > 1")
         #: (cid, gid) of groups with more than one class
         self.grouped = stored(groups.join(same, ["n", "p1", "p2"]).select("cid", "gid"), "ngram-groups")
-        alone = one_each.join(self.grouped.where("cid != gid").select("cid"), "cid", "left_anti")
+        alone = stored(one_each.join(self.grouped.where("cid != gid").select("cid").hint("merge"), "cid", "left_anti"), "ngram-prefixes")
+        self.prefixes = alone
         # each group's representative at the places of its prefix
-        self.rare = alone.select("cid", "n", F.posexplode("rare").alias("place", "token"))
-        self.common = stored(alone.where(F.size("common") > 0).select("cid", "n", F.size("rare").alias("skip"), F.posexplode("common").alias("place", "token")).select("cid", "n", "skip", (F.col("place") + F.col("skip")).alias("place"), "token"), "ngram-common")
+        rare = alone.select("cid", "n", F.size("rare").alias("skip"), F.posexplode("rare").alias("place", "token"))
+        late = alone.where(F.size("common") > 0).select("cid", "n", F.size("rare").alias("skip"), F.posexplode("common").alias("place", "token"))
+        common = late.select("cid", "n", "skip", (F.col("place") + F.col("skip")).alias("place"), "token")
+        crowded = stored(rare.groupBy("token").count().where(F.col("count") > FREQUENT).select("token"), "ngram-crowded")
+        if not crowded.isEmpty():  # only rows that a filter admits meet the crowded shingles
+            marked = self._marked(alone, bit_filter(crowded, "token"))
+            maybe = marked.where("asked").drop("asked")
+            common = common.unionByName(maybe.join(crowded.hint("merge"), "token", "left_semi"))
+            rare = marked.where("NOT asked").drop("asked").unionByName(maybe.join(crowded.hint("merge"), "token", "left_anti"))
+        self.rare, self.common = rare, stored(common, "ngram-common")
+
+    def _marked(self, alone: DataFrame, bits: np.ndarray) -> DataFrame:
+        """A row a rare shingle of each prefix, and whether the filter admits it. Batches of arrays become batches of rows at once:
+        a column function after an explode would queue all rows on disk."""
+        sent = self.spark.sparkContext.broadcast(bits)
+
+        def run(batches):
+            for batch in batches:
+                lists = batch.column("rare")
+                sizes, token = np.asarray(lists.value_lengths()).astype(np.int32), np.asarray(lists.flatten())
+                each = lambda x: pa.array(np.repeat(x, sizes))
+                place = np.arange(len(token), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([each(batch.column("cid").to_numpy()), each(batch.column("n").to_numpy()), each(sizes), pa.array(place), pa.array(token), pa.array(admits(sent.value, token))], ["cid", "n", "skip", "place", "token", "asked"])
+
+        return alone.select("cid", "n", "rare").mapInArrow(run, "cid long, n long, skip int, place int, token long, asked boolean")
 
     # 2: candidates
 
@@ -151,25 +188,33 @@ class NgramJoin:
         x, y = self.rare.alias("x"), self.rare.alias("y")
         rare = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & self._pass("x", "y")))
         centre = stored(self.common.groupBy("token").agg(F.min(F.struct("skip", "cid", "n", "place")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "c.*"), "ngram-centres")
-        around = self._pairs(self.common.alias("x").hint("merge").join(centre.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") != F.col("y.cid")) & self._pass("x", "y")))
-        return stored(rare, "ngram-pairs"), around
+        # very many prefixes hold a frequent shingle, so they meet copies of its centre under a salt
+        around = self.common.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int")).alias("x").hint("merge")
+        centres = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
+        around = self._pairs(around.join(centres, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.cid") != F.col("y.cid")) & self._pass("x", "y")))
+        rare = stored(rare, "ngram-pairs", [self.prefixes])
+        return rare, around
 
     # 3: verification and components
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of stored pairs, from the whole sets."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "c1", "c2", "first_doc"), "cid")
-        used = stored(used, "ngram-used")
-        wanted = used.where("first_doc IS NOT NULL").select(F.col("first_doc").alias("doc_id")).distinct()
-        near = lambda frame: F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
-        named = self.docs.where("doc_id IS NOT NULL").join(near(wanted), "doc_id", "left_semi")
-        fields = "doc_id long, c1 long, c2 long, tokens array<long>"
-        sets = lambda frame: self._map(frame, fields, lambda s: (*_class_key(s), s) if len(s) else None).select("c1", "c2", "tokens")
-        unnamed = sets(self.docs.where("doc_id IS NULL")).groupBy("c1", "c2").agg(F.any_value("tokens").alias("tokens"))
-        sets = stored(sets(named).unionByName(unnamed).join(near(used.select("cid", "c1", "c2")), ["c1", "c2"]).select("cid", "tokens"), "ngram-sets")
-        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")).hint("merge"), "a").join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t")).hint("merge"), "b")
+        named = self.classes.select("cid", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+        keyed = pairs
+        for side in "ab":
+            keyed = keyed.join(named.select(F.col("cid").alias(side), F.col("k1").alias(f"{side}1"), F.col("k2").alias(f"{side}2")).hint("merge"), side)
+        keyed = stored(keyed, "ngram-keyed")
+        used = keyed.select(F.col("a1").alias("k1")).unionByName(keyed.select(F.col("b1").alias("k1"))).distinct()
+        only = self.spark.sparkContext.broadcast(bit_filter(used, "k1"))
+        mark = self.spark.sparkContext.broadcast(bit_filter(self.again, "k1"))
+        sets = self._map("again long, tokens array<long>", lambda s: (s,) if len(s) else None, only, mark).select("k1", "k2", "again", "tokens")
+        sets = stored(sets, "ngram-sets")
+        once = sets.where("again = 1").groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))  # equal rows make one set
+        whole, sets = sets, sets.where("again = 0").drop("again").unionByName(once)
+        both = keyed.join(sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("tokens").alias("s")).hint("merge"), ["a1", "a2"])
+        both = both.join(sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("tokens").alias("t")).hint("merge"), ["b1", "b2"])
         same = F.size(F.array_intersect("s", "t"))
-        return stored(both.select("a", "b", (100 * same >= self.percent * (F.size("s") + F.size("t") - same)).alias("linked")), "ngram-verified")
+        return stored(both.select("a", "b", (100 * same >= self.percent * (F.size("s") + F.size("t") - same)).alias("linked")), "ngram-verified", [whole, keyed])
 
     def _unchecked(self, labels: DataFrame, rare: DataFrame) -> DataFrame:
         """(a, b) of classes in different components that may link: members of candidate groups, around rare and frequent shingles."""
@@ -179,7 +224,7 @@ class NgramJoin:
         span = stored(group.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2")), "ngram-spans")
         common = stored(self.common.join(span.withColumnRenamed("gid", "cid"), "cid"), "ngram-common")
         mixed_tokens = stored(common.groupBy("token").agg(F.min("l1").alias("t1"), F.max("l2").alias("t2")).where("t1 < t2").select("token"), "ngram-mixed")
-        open_rows = common.join(mixed_tokens.hint("merge"), "token")
+        open_rows = common.join(mixed_tokens.hint("merge"), "token", "left_semi")
         x, y = open_rows.alias("x"), open_rows.alias("y")
         differ = F.least("x.l1", "y.l1") < F.greatest("x.l2", "y.l2")
         around = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & differ & self._pass("x", "y")))
@@ -207,40 +252,45 @@ class NgramJoin:
         more = stored(more, "ngram-pairs")
         return found if more.isEmpty() else stored(found.unionByName(self.verified(more).where("linked").select("a", "b")), "ngram-links")
 
+    def labelled(self) -> DataFrame:
+        """Every row's doc_id, k1, k2, n and first: of its component's rows the first, null for empty sets."""
+        labels = components(self.links())
+        firsts = self.classes.select("cid", "c1", "c2", "first").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        smallest = firsts.groupBy("label").agg(F.min("first").alias("least"))
+        named = stored(firsts.join(smallest, "label").select("c1", "c2", F.col("least").alias("first")), "ngram-components", [self.common])
+        full = self.members.where("n > 0").select("doc_id", "k1", "k2", "n", "c1", "c2").join(named.hint("merge"), ["c1", "c2"]).select("doc_id", "k1", "k2", "n", "first")
+        return full.unionByName(self.members.where("n = 0").select("doc_id", "k1", "k2", "n", F.lit(None).cast(named.schema["first"].dataType).alias("first")))
+
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
-        labels = components(self.links())
-        firsts = self.classes.select("cid", "c1", "c2", "first_doc").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        smallest = firsts.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-        named = stored(firsts.join(smallest, "label").select("c1", "c2", "component_id"), "ngram-components")
-        out = self.members.join(named.hint("merge"), ["c1", "c2"], "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return self.labelled().select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(cid, label): the smallest id of each node's component, by alternating large and small stars (Kiveris et al. 2014)."""
+def components(edges: DataFrame) -> DataFrame:
+    """(cid, label): the smallest id of each node's component, by alternating large and small stars until nothing changes
+    (Kiveris et al. 2014); each round's tables replace those of the round before."""
 
-    def star(pairs: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame, least: DataFrame) -> DataFrame:
         """Each node's neighbours with the smallest of them and the node."""
-        least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "star")
         return pairs.join(least.hint("merge"), "u").withColumn("m", F.least("u", "m"))
 
+    def smallest(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "star")
+
     def state(frame: DataFrame):
         return frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     pairs = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "star")
-    before = state(pairs)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        both = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star")
-        large = stored(star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "star")
-        small = star(large)
-        pairs = stored(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct(), "star")
-        after = state(pairs)
-        if after == before:
-            break
+    before, after = None, state(pairs)
+    while after[0] and after != before:
         before = after
+        both = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star", [pairs])
+        least = smallest(both)
+        large = stored(star(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "star", [both, least])
+        least = smallest(large)
+        small = star(large, least)
+        pairs = stored(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct(), "star", [large, least])
+        after = state(pairs)
     return pairs.select(F.col("u").alias("cid"), F.col("v").alias("label")).unionByName(pairs.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
 
@@ -249,10 +299,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text_col
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the near duplicates: of each component the rows with its smallest id stay, and rows without an id."""
-    gone = near_duplicates(docs, words, percent, text_col, id_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    gone = stored(gone, "ngram-gone")
-    return docs.join(gone, id_col, "left_anti")
+    """docs with one row of each group of near duplicates: the one of smallest id, rows without an id last. Rows with one id but
+    other texts are other documents. Of rows that are equal in id and text one stays, any of them; rows without words all stay."""
+    rows = stored(NgramJoin(docs, words, percent, text_col, id_col).labelled().where("n > 0").select("k1", "k2", (F.struct("k1", "k2") == F.struct("first.k1", "first.k2")).alias("stays")), "ngram-rows")
+    gone = rows.where("NOT stays").select("k1", "k2")
+    again = stored(rows.where("stays").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "ngram-again")
+    return drop_rows(docs, gone, text_col, id_col, again)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ import re
 import pytest
 
 pytest.importorskip("rillgrid.llm")
-from rillgrid.llm import ngram_join
+import numpy as np
+from pyspark.sql import functions as F
+
+from rillgrid.llm import common, ngram_join
 
 
 def brute(rows, width, percent):
@@ -59,9 +62,11 @@ def corpus(seed, n):
     return [*rows, rows[0], rows[1], (None, texts[0]), (None, "only here without an id"), (None, None)]
 
 
-@pytest.mark.parametrize("seed, n, width, percent, frequent", [(1, 90, 2, 60, 2), (2, 90, 3, 85, 1), (3, 120, 4, 85, 48)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, n, width, percent, frequent):
+@pytest.mark.parametrize("seed, n, width, percent, frequent, order", [(1, 90, 2, 60, 2, 1 << 20), (2, 90, 3, 85, 1, 1 << 20), (3, 120, 4, 85, 48, 1 << 20), (4, 100, 3, 80, 2, 1), (5, 100, 4, 85, 3, 7)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, n, width, percent, frequent, order):
+    """order: how many frequent shingles the order knows; the others' long lists still go by their centres."""
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "ORDER_LIMIT", order)
     rows = corpus(seed, n)
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, cid string")
     got = ngram_join.near_duplicates(df, width, percent).collect()
@@ -75,6 +80,28 @@ def test_one_document_of_each_component_stays(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 4, 5, None] and kept.columns == ["doc_id", "text"]
 
 
+def test_rows_are_dropped_by_id_and_text(spark):
+    """A text of its own stays though its id is that of a near duplicate; rows without an id go like others."""
+    rows = [(1, "x1"), (7, "x1"), (7, "y"), (None, "x1"), (None, "z"), (None, "z"), (8, "y"), (9, "y"), (9, "y"), (2, "w"), (2, "w"), (3, ""), (3, "")]
+    text = {k: " ".join(f"{k}{i}" for i in range(9)) for k in ("x1", "y", "z", "w")} | {"": ""}
+    kept = ngram_join.keep_one(spark.createDataFrame([(i, text[t], t) for i, t in rows], "doc_id long, text string, k1 string"))
+    assert sorted(((r.doc_id, r.k1) for r in kept.collect()), key=str) == sorted([(1, "x1"), (7, "y"), (None, "z"), (2, "w"), (3, ""), (3, "")], key=str)
+
+
+def test_repeated_rows_are_verified_once(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(39))
+    join = ngram_join.NgramJoin(spark.createDataFrame([(1, a)] * 20 + [(2, b)] * 20, "doc_id long, text string"))
+    assert join.links().count() == 1
+
+
+def test_the_filter_admits_what_it_holds(spark):
+    df = spark.createDataFrame([(x,) for x in (-(2**63), -1, 0, 1, 5, 2**63 - 1, 1 << 26, (1 << 15) - 1)], "h long")
+    bits = common.bit_filter(df, "h")
+    asked = df.unionByName(spark.createDataFrame([(2,), (None,), (77,)], "h long")).withColumn("ok", common.admitted(F.col("h"), bits, spark)).collect()
+    assert all(r.ok for r in asked[:8]) and not any(r.ok for r in asked[8:])
+    assert int(np.unpackbits(bits).sum()) == len({x % common.FILTER_BITS for x in (r.h for r in asked[:8])})
+
+
 def test_no_documents(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert ngram_join.near_duplicates(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).count() == 2
