@@ -1,36 +1,48 @@
 """Exact BM25 top-k by an inverted index with block maxima, run per shard.
 
-Terms are words (ASCII letters in lower case, parted by blanks and ASCII punctuation) as 64-bit hashes. Global statistics come
-first: the number of documents, their mean length and each term's document frequency over the whole table. Each task then
-indexes its documents in shards of SHARD_BYTES: postings hold a term's impact in a document and are grouped by (term, block
-of BLOCK_DOCS documents), with the highest impact of each group. For a query the block maxima give every block's upper bound.
-Blocks are taken by falling bound; once k documents are scored, blocks whose bound is below the k-th score are skipped, so
-results are those of scoring everything. A task keeps the k best of its shards for each query, and tasks' lists are merged.
+Terms are words (ASCII letters in lower case, parted by blanks and ASCII punctuation) as 64-bit hashes. The documents are split once,
+into a stored table of each one's terms and counts. Global statistics come from it: the number of documents, their mean
+length and each term's document frequency. Each task then indexes its documents in shards of SHARD_TERMS postings: postings hold a
+term's impact in a document; documents are numbered by length, and for the CROWDED longest lists the impacts also stand in a row a
+document, with the highest impact of each block of BLOCK_DOCS documents.
+
+Pruning is that of block-max WAND, with the pivot taken once a query and shard. A query comes with a score that k documents reach for
+sure: the k-th best of a sample of SAMPLE_DOCS documents, then of all shards that the task has done. Crowded terms whose highest
+impacts together stay below PIVOT of that score cannot lift a document on their own, so the lists of the other terms say which documents
+come into question. Of these a document stays where its sum so far and its block's maxima of the crowded terms reach the
+score; only then its impacts of the crowded terms are added. Sums are in single precision with a margin of MARGIN; documents
+that reach the score within it are scored again from their own terms, always in the same order, so results are those of
+scoring everything, and equal documents have equal scores. A task keeps the k best of its shards for each query, and tasks' lists are merged.
 
 score = sum over the query's words (repeats count) of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)).
 Equal scores go by the smaller id, ids before none.
 
-Queries are sent in blocks of QUERY_BYTES, a pass over the documents each, so memory does not grow with their number; the
-work is queries times documents by its nature. Documents are never shuffled.
+Queries are sent in blocks of QUERY_BYTES, a pass over the stored terms each, so memory does not grow with their number; equal
+queries of a block are searched once. The work is queries times documents by its nature. Documents are never shuffled but for the sample.
 
 Cases: null and empty texts have no words: they are found by no query, and as queries they find nothing; only documents that
 share a word are results, so there may be fewer than k; rows without id can be found but are no queries; repeated rows are
-found each; an empty table gives an empty result; other columns are ignored. Texts are read whole.
+found each; an empty table gives an empty result; other columns are ignored. Texts are read whole, very long ones too.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import give_back, small_batches, stored, table
 from .shingles import batches_of, word_hashes
 from .toxicity import PARTS
 
 K1, B, K = 1.2, 0.75, 10
-SHARD_BYTES, BLOCK_DOCS, QUERY_BYTES = 48 << 20, 64, 16 << 20
+SHARD_TERMS, QUERY_BYTES = 1 << 20, 16 << 20
+BLOCK_DOCS, CROWDED, PIVOT, MARGIN = 64, 300, 0.6, 1e-5
+#: Queries that look at the block maxima together, and lists from which on a slice is cheaper than its places.
+TOGETHER, SLICE = 8, 24
+SAMPLE_DOCS, SAMPLE_PARTS = 8192, 6
 MERGE_PARTS = 64
 
 
@@ -44,144 +56,250 @@ def _counts(texts: pa.Array):
     return d[new], w[new], np.diff(np.append(new, len(w))), np.diff(at)
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All indices of the ranges that begin at lo and have n members."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Shard:
     """The index of some documents."""
 
-    def __init__(self, ids: list, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float):
-        self.ids = ids
-        self.key = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-        order = np.lexsort((doc, term))
-        self.doc, self.impact, term = doc[order].astype(np.int32), impact[order], term[order]
-        block = self.doc // BLOCK_DOCS
-        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))
-        self.begin = np.flatnonzero(new)
-        self.block, self.end = block[self.begin], np.append(self.begin[1:], len(term))
-        self.high = np.maximum.reduceat(self.impact, self.begin)
-        entry = term[self.begin]
-        first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
-        self.terms, self.first = entry[first], np.append(first, len(entry))
-        self.blocks = len(ids) // BLOCK_DOCS + 1
-
-    @staticmethod
-    def _ranges(lo, hi):
-        n = hi - lo
-        which = np.repeat(np.arange(len(lo)), n)
-        return which, np.arange(len(which)) + np.repeat(lo - (np.cumsum(n) - n), n)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int):
-        """The k best (score, id), best first."""
+    def __init__(self, ids: list, begin: np.ndarray, arrays: list[np.ndarray], mean: float):
+        """begin: where each document's terms start, and the end; its terms ascend. arrays: the documents' lengths, and all terms'
+        counts and terms; they are taken out, so that nobody holds them any longer."""
+        term, tf, length = arrays.pop(), arrays.pop(), arrays.pop()
+        order, size = np.argsort(length, kind="stable"), np.diff(begin)
+        at = _ranges(begin[:-1][order], size[order])
+        term, tf, length, self.n = term[at], tf[at], length[order], len(ids)
+        del at
+        self.begin = np.concatenate([[0], np.cumsum(size[order])])
+        self.ids = [ids[i] for i in order.tolist()]
+        self.key = np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64)
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), size[order])
+        self.exact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[doc])  # in the order of the documents
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        term, self.doc, self.impact = term[order], doc[order], self.exact[order].astype(np.float32)
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        self.terms, self.first, self.size = term[first], first, np.diff(np.append(first, len(term)))
+        self.slot = np.empty(len(term), np.int32)
+        self.slot[order] = np.repeat(np.arange(len(first), dtype=np.int32), self.size)
+        self.high = np.maximum.reduceat(self.impact, first).astype(np.float64)
+        crowded = np.sort(np.argsort(-self.size, kind="stable")[:CROWDED])
+        self.row = np.full(len(first), -1, np.int32)
+        self.row[crowded] = np.arange(len(crowded))
+        blocks = -(-self.n // BLOCK_DOCS)
+        self.rows = np.zeros((blocks * BLOCK_DOCS, len(crowded)), np.float32)
+        for i, c in enumerate(crowded.tolist()):
+            a, b = self.first[c], self.first[c] + self.size[c]
+            self.rows[self.doc[a:b], i] = self.impact[a:b]
+        self.block_high = self.rows.reshape(blocks, BLOCK_DOCS, len(crowded)).max(axis=1)
+        self.weight = np.zeros(len(first))
+
+    def slots(self, terms: np.ndarray) -> np.ndarray:
+        """The place of each term in the index, or -1."""
         place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        ok = self.terms[place] == terms
-        place, weights = place[ok], weights[ok]
-        which, entry = self._ranges(self.first[place], self.first[place + 1])
-        if not len(entry):
-            return []
-        weight, block = weights[which], self.block[entry]
-        bound = np.bincount(block, weights=weight * self.high[entry], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, at, step, least = np.zeros(self.blocks * BLOCK_DOCS), 0, 4, 0.0
-        while at < len(order) and bound[order[at]] >= least * (1 - 1e-12):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[at : at + step]] = True
-            use = chosen[block]
-            part, posting = self._ranges(self.begin[entry[use]], self.end[entry[use]])
-            scores += np.bincount(self.doc[posting], weights=weight[use][part] * self.impact[posting], minlength=len(scores))
-            if np.count_nonzero(scores) >= k:
-                least = np.partition(scores, -k)[-k]
-            at, step = at + step, step * 2
-        found = np.flatnonzero((scores > 0) & (scores >= least))
-        best = found[np.lexsort((self.key[found], -scores[found]))][:k]
-        return [(float(scores[i]), self.ids[i]) for i in best]
-
-
-def statistics(docs: DataFrame) -> DataFrame:
-    """(term, df, words): a row a term, and one of null term with the documents and their words."""
+        return np.where(self.terms[place] == terms, place, -1)
 
-    def count(batches):
-        for batch in batches:
-            for _, texts in batches_of(batch.column(0)):
-                _, term, _, length = _counts(texts)
-                names, df = np.unique(term, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([*names.view(np.int64).tolist(), None], pa.int64()), pa.array([*df.tolist(), len(texts)], pa.int64()), pa.array([*[0] * len(names), int(length.sum())], pa.int64())], ["term", "df", "words"])
+    def _sums(self, lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The sum of weight * impact of some slots in each document, a row a query."""
+        out = np.empty((len(lists), self.n))
+        for i, (slots, w) in enumerate(lists):
+            lo, n = self.first[slots], self.size[slots]
+            far = n > SLICE
+            ab = list(zip(lo[far].tolist(), (lo[far] + n[far]).tolist()))
+            at = _ranges(lo[~far], n[~far])
+            part = np.repeat(np.concatenate([w[~far], w[far]]), np.concatenate([n[~far], n[far]]))
+            part *= np.concatenate([self.impact[at], *[self.impact[a:b] for a, b in ab]])
+            out[i] = np.bincount(np.concatenate([self.doc[at], *[self.doc[a:b] for a, b in ab]]), weights=part, minlength=self.n)
+        return out
 
-    counts = docs.select("text").mapInArrow(count, "term long, df long, words long")
-    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    def _exact(self, docs: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores from the documents' own terms, in double precision and in the order of the terms."""
+        self.weight[slots] = weights
+        ab = zip(self.begin[docs].tolist(), self.begin[docs + 1].tolist())
+        scores = np.array([np.add.reduce(self.weight[self.slot[a:b]] * self.exact[a:b]) for a, b in ab])
+        self.weight[slots] = 0
+        return scores
 
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple]]:
+        """The k best (score, id) of each (slots, weights, least score that counts), best first."""
+        out: list[list[tuple]] = [[] for _ in queries]
+        rests, lists, open_ = [], [], []
+        for i, (slots, weights, least) in enumerate(queries):
+            top = weights * self.high[slots]
+            if not len(slots) or top.sum() < least * (1 - MARGIN):
+                continue
+            crowded = np.flatnonzero(self.row[slots] >= 0)
+            crowded = crowded[np.argsort(top[crowded] / self.size[slots[crowded]])]
+            rest = crowded[: np.searchsorted(np.cumsum(top[crowded]), least * PIVOT)]
+            use = np.ones(len(slots), bool)
+            use[rest] = False
+            open_.append(i)
+            rests.append((self.row[slots[rest]], weights[rest].astype(np.float32)))
+            lists.append((slots[use], weights[use]))
+        if not open_:
+            return out
+        sums = self._sums(lists)
+        wide = np.zeros((len(open_), self.rows.shape[1]), np.float32)
+        for at, (row, w) in enumerate(rests):
+            wide[at, row] = w
+        left = wide @ self.block_high.T
+        for at, i in enumerate(open_):
+            slots, weights, least = queries[i]
+            low = least * (1 - MARGIN)
+            found = np.flatnonzero((sums[at] > 0) & (sums[at] >= np.repeat(low - left[at], BLOCK_DOCS)[: self.n]))
+            if not len(found):
+                continue
+            scores = sums[at, found] + (self.rows[found] @ wide[at] if len(rests[at][0]) else 0.0)
+            if len(scores) > k:
+                low = max(low, np.partition(scores, -k)[-k] * (1 - MARGIN))
+            found = found[scores >= low]
+            scores = self._exact(found, slots, weights)
+            best = np.lexsort((self.key[found], -scores))[:k]
+            out[i] = [(float(scores[j]), self.ids[found[j]]) for j in best.tolist()]
+        return out
 
-def query_terms(queries: DataFrame, stats: DataFrame, documents: int) -> DataFrame:
-    """(query_id, terms array<struct<term, weight>>), terms in order."""
+
+TERM_SCHEMA = "doc_id long, terms array<long>, times array<int>, length int"
+
+
+def term_table(docs: DataFrame) -> DataFrame:
+    """Of docs(doc_id, text): each one's distinct terms, ascending as unsigned numbers, their counts, and its words."""
 
     def split(batches):
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
             for at, texts in batches_of(batch.column(1)):
-                doc, term, tf, _ = _counts(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc]), pa.array(term.view(np.int64)), pa.array(tf.astype(np.int64))], ["query_id", "term", "times"])
+                doc, term, tf, length = _counts(texts)
+                ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *lists, pa.array(length.astype(np.int32))], ["doc_id", "terms", "times", "length"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, TERM_SCHEMA)
+
+
+def statistics(terms: DataFrame) -> DataFrame:
+    """(term, df) of a term table."""
+
+    def count(batches):
+        for batch in batches:
+            names, df = np.unique(np.asarray(batch.column(0).flatten()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(df, pa.int64())], ["term", "df"])
 
-    rows = queries.mapInArrow(split, "query_id long, term long, times long")
+    return terms.select("terms").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def query_terms(queries: DataFrame, stats: DataFrame, documents: int) -> DataFrame:
+    """(query_id, terms array<struct<term, weight>>), terms in order."""
+    rows = term_table(queries.select(F.col("query_id").alias("doc_id"), "text")).where("doc_id IS NOT NULL")
+    rows = rows.select(F.col("doc_id").alias("query_id"), F.explode(F.arrays_zip("terms", "times")).alias("t")).select("query_id", "t.terms", "t.times")
     idf = F.log1p((documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = rows.join(stats.where("term IS NOT NULL"), "term").select("query_id", F.struct("term", (F.col("times") * idf).alias("weight")).alias("t"))
+    weighed = rows.join(stats, F.col("terms") == F.col("term")).select("query_id", F.struct("term", (F.col("times") * idf).alias("weight")).alias("t"))
     return weighed.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("terms"))
 
 
+class Queries:
+    """A block of queries: the distinct lists of terms, as places in the sorted terms of all, and the ids that ask each."""
+
+    def __init__(self, block: pa.Table):
+        lists = block.column("terms").combine_chunks()
+        begin = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
+        flat = lists.flatten()
+        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+        term, weight = np.asarray(flat.field("term")).view(np.uint64), np.asarray(flat.field("weight"))
+        self.terms, place = np.unique(term, return_inverse=True)
+        own: dict[bytes, int] = {}
+        self.ids, self.lists = [], []
+        for i, a, b in zip(block.column("query_id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
+            name = term[a:b].tobytes() + weight[a:b].tobytes()
+            if name not in own:
+                own[name] = len(self.lists)
+                order = np.argsort(place[a:b])
+                self.lists.append((place[a:b][order].astype(np.int32), weight[a:b][order]))
+                self.ids.append([])
+            self.ids[own[name]].append(i)
+        self.least = np.zeros(len(self.lists))
+
+
+def _search(terms: DataFrame, queries: Queries, mean: float, k: int) -> DataFrame:
+    """(query: its place in the block, found): the k best of each task's documents."""
+    sent = terms.sparkSession.sparkContext.broadcast((queries.terms, queries.lists, queries.least))
+
+    def run(batches):
+        names, lists, given = sent.value
+        least, best = given.copy(), {}
+        parts, held = [], 0
+
+        def flush():
+            if not held:
+                return
+            ids, begin = [i for p in parts for i in p[0]], np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))]).astype(np.int64)
+            arrays = [np.concatenate([p[at] for p in parts]) for at in (4, 3, 2)]
+            parts.clear()
+            shard = Shard(ids, begin, [arrays.pop(0).astype(np.float64), *(arrays.pop(0) for _ in range(2))], mean)
+            slots = shard.slots(names)
+            for at in range(0, len(lists), TOGETHER):
+                some = []
+                for q in range(at, min(at + TOGETHER, len(lists))):
+                    place, weight = lists[q]
+                    own = slots[place]
+                    some.append((own[own >= 0], weight[own >= 0], least[q]))
+                for q, found in enumerate(shard.search(some, k), at):
+                    if found:
+                        best[q] = sorted(best.get(q, []) + found, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
+                        if len(best[q]) == k:
+                            least[q] = max(least[q], best[q][-1][0])
+
+            del shard, slots
+            give_back()
+
+        for batch in batches:
+            batch = batch.filter(pa.compute.greater(batch.column("length"), 0))
+            if batch.num_rows:
+                term = np.array(batch.column("terms").flatten()).view(np.uint64)
+                parts.append((batch.column("doc_id").to_pylist(), np.asarray(batch.column("terms").value_lengths()), term, np.array(batch.column("times").flatten()), np.asarray(batch.column("length"))))
+                held += len(term)
+            if held >= 1.5 * SHARD_TERMS:  # else a task of one shard would leave a small second one
+                flush()
+                held = 0
+        flush()
+        some = [(q, [{"score": -s, "none": x is None, "doc_id": x} for s, x in b]) for q, b in best.items()]
+        for a in range(0, len(some), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some[a : a + 1000]], pa.int64()), pa.array([x[1] for x in some[a : a + 1000]], pa.list_(pa.struct([("score", pa.float64()), ("none", pa.bool_()), ("doc_id", pa.int64())])))], ["query", "found"])
+
+    return terms.mapInArrow(run, "query long, found array<struct<score:double,none:boolean,doc_id:long>>")
+
+
+def _best(lists: DataFrame, k: int, *keys: str) -> DataFrame:
+    return lists.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, doc_id, score) of queries(query_id, text), ids distinct, against docs(doc_id, text); shards are filled
-    in the order of the rows, and like documents side by side make blocks easier to skip."""
+    """(query_id, rank, doc_id, score) of queries(query_id, text), ids distinct, against docs(doc_id, text)."""
     spark = docs.sparkSession
-    stats = stored(statistics(docs), "bm25-terms")
-    documents, words = stats.where("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    small_batches(spark)
+    terms = stored(term_table(docs), "bm25-documents")
+    documents, words, postings = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     mean = max(words, 1) / max(documents, 1)
-    asked = stored(query_terms(queries, stats, documents), "bm25-queries")
+    stats = stored(statistics(terms), "bm25-terms")
+    asked = stored(query_terms(queries, stats, documents), "bm25-queries", [stats])
     size = asked.agg(F.coalesce(F.sum(F.size("terms") * 16), F.lit(0))).first()[0]
     passes, lists = max(1, -(-size // QUERY_BYTES)), []
+    # small files together make a shard
+    shards = terms.coalesce(max(spark.sparkContext.defaultParallelism, -(-postings // SHARD_TERMS)))
+    share = int(2**32 * min(1.0, SAMPLE_DOCS / max(documents, 1)))
+    sample = terms.where(F.pmod(F.xxhash64("terms", "doc_id"), F.lit(2**32)) < share).repartition(SAMPLE_PARTS)
     for one in range(passes):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == one).toArrow()
-        ids = block.column("query_id").to_pylist()
-        terms = [(np.asarray(x.values.field("term")).view(np.uint64), np.asarray(x.values.field("weight"))) for x in block.column("terms")]
-        terms = [(t[o], w[o]) for t, w in terms for o in [np.argsort(t)]]
-        sent = spark.sparkContext.broadcast((ids, terms))
-
-        def search(batches, sent=sent):
-            ids, terms = sent.value
-            best: list[list] = [[] for _ in ids]
-            docs, doc, term, tf, length, size = [], [], [], [], [], 0
-
-            def flush():
-                if docs and sum(map(len, term)):
-                    shard = Shard(docs, np.concatenate(doc), np.concatenate(term), np.concatenate(tf), np.concatenate(length), mean)
-                    for i, (t, w) in enumerate(terms):
-                        if found := shard.search(t, w, k):
-                            best[i] = sorted(best[i] + found, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
-
-            for batch in batches:
-                names = batch.column(0).to_pylist()
-                for at, texts in batches_of(batch.column(1)):
-                    d, t, n, long = _counts(texts)
-                    doc.append(d + len(docs))
-                    term.append(t)
-                    tf.append(n)
-                    length.append(long)
-                    docs += names[at : at + len(texts)]
-                    size += texts.nbytes
-                    if size >= SHARD_BYTES:
-                        flush()
-                        docs, doc, term, tf, length, size = [], [], [], [], [], 0
-            flush()
-            some = [(i, [{"score": -s, "none": x is None, "doc_id": x} for s, x in b]) for i, b in zip(ids, best) if b]
-            for a in range(0, len(some), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some[a : a + 1000]], pa.int64()), pa.array([x[1] for x in some[a : a + 1000]], pa.list_(pa.struct([("score", pa.float64()), ("none", pa.bool_()), ("doc_id", pa.int64())])))], ["query_id", "found"])
-
-        lists.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, "query_id long, found array<struct<score:double,none:boolean,doc_id:long>>"))
+        block = Queries(asked.where(F.pmod(F.xxhash64("terms.term"), F.lit(passes)) == one).toArrow())
+        reach = _best(_search(sample, block, mean, k), k, "query").where(F.size("found") == k).select("query", (-F.col("found")[k - 1]["score"]).alias("least")).toArrow()
+        block.least[reach.column("query").to_numpy()] = reach.column("least").to_numpy()
+        ids = spark.createDataFrame([(q, i) for q, own in enumerate(block.ids) for i in own], "query long, query_id long")
+        # two levels, so that no group holds all tasks' lists
+        parts = _best(_search(shards, block, mean, k).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS))), k, "query", "part")
+        lists.append(_best(parts, k, "query").join(ids, "query").select("query_id", F.posexplode("found").alias("rank", "hit")))
     every = lists[0]
     for more in lists[1:]:
         every = every.unionByName(more)
-    merged = lambda frame, *keys: frame.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
-    # two levels, so that no group holds all tasks' lists
-    parts = merged(every.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS))), "query_id", "part")
-    ranked = merged(parts, "query_id").select("query_id", F.posexplode("found").alias("rank", "hit"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("hit.doc_id").alias("doc_id"), (-F.col("hit.score")).alias("score"))
+    return every.select("query_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("hit.doc_id").alias("doc_id"), (-F.col("hit.score")).alias("score"))
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,16 +30,15 @@ def brute_bm25(docs, queries, k):
     return out
 
 
-@pytest.mark.parametrize("shard, block, query_bytes", [(48 << 20, 64, 16 << 20), (2000, 4, 3000)])
-def test_top_k_equals_scoring_everything(spark, monkeypatch, shard, block, query_bytes):
-    monkeypatch.setattr(bm25, "SHARD_BYTES", shard)
-    monkeypatch.setattr(bm25, "BLOCK_DOCS", block)
-    monkeypatch.setattr(bm25, "QUERY_BYTES", query_bytes)
+@pytest.mark.parametrize("how", [{}, {"SHARD_TERMS": 300, "BLOCK_DOCS": 4, "QUERY_BYTES": 3000, "CROWDED": 8, "SAMPLE_DOCS": 60, "SLICE": 2}])
+def test_top_k_equals_scoring_everything(spark, monkeypatch, how):
+    for name, value in how.items():
+        monkeypatch.setattr(bm25, name, value)
     r = random.Random(4)
     vocab = [f"t{int(r.paretovariate(0.6))}" for _ in range(400)] + ["É", "the"]
     docs = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(1, 60)))) for i in range(300)]
     docs += [docs[3], (None, docs[7][1]), (900, docs[3][1]), (901, ""), (902, None), (903, "...!"), (904, "THE, the; " * 4000)]
-    queries = [(i, t) for i, t in docs[:300:12]] + [(901, ""), (902, None), (950, "nowhere"), (951, "The t1 t1")]
+    queries = [(i, t) for i, t in docs[:300:12]] + [(960 + i, t) for i, t in docs[:300:60]] + [(901, ""), (902, None), (950, "nowhere"), (951, "The t1 t1")]
     df = spark.createDataFrame([(*x, 1.0) for x in docs], "doc_id long, text string, score double").repartition(5)
     got = {}
     for x in bm25.top_k(df, spark.createDataFrame(queries, "query_id long, text string"), 10).collect():
@@ -119,3 +118,29 @@ def test_held_out_urls_are_told_apart(spark):
     df = spark.createDataFrame([(u,) for u in good + bad + [u for u, _ in held]], "url string")
     got = {x.url: x.verdict for x in url_filter.judge(df).collect()}
     assert all(got[u] == v for u, v in held)
+
+
+def test_threshold_and_verdicts_equal_brute_force(spark):
+    r = random.Random(6)
+    good = [f"http://{r.choice(['news', 'blog'])}{r.randint(1, 99)}.com/{r.choice(['article', 'story'])}/{r.randint(1, 999)}" for _ in range(30)]
+    bad = [f"http://{r.choice(['casino', 'news'])}{r.randint(1, 99)}.net/es/{r.choice(['win', 'story'])}{r.randint(1, 999)}" for _ in range(30)]
+    asked = [f"http://{r.choice(['casino', 'blog', 'x'])}.org/{r.choice(['win', 'story', ''])}{r.randint(1, 99)}" for _ in range(25)] + ["http://long.org/" + "win" * 400, "no scheme"]
+    df = spark.createDataFrame([(u,) for u in good + bad + asked], "url string")
+    half = {x.url: x.h for x in df.select("url", (F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2)) == 0).alias("h")).collect()}
+    examples = sorted({(u, True) for u in good} | {(u, False) for u in bad})
+    scored = []
+    for side in (True, False):
+        own = brute_scores([e for e in examples if half[e[0]] is side], [u for u, _ in examples if half[u] is not side])
+        scored += [(own[u], g) for u, g in examples if half[u] is not side]
+    cells = [(max(-1000, min(1000, math.floor(s * 100))), g) for s, g in scored]
+
+    def accuracy(c):
+        a, b = [x for x, g in cells if g], [x for x, g in cells if not g]
+        return round(sum(x >= c for x in a) / len(a) + sum(x < c for x in b) / len(b), 12)
+
+    lows = [c for c, _ in cells]
+    threshold = max(range(min(lows), max(lows) + 2), key=lambda c: (accuracy(c), -abs(c), -c)) / 100
+    scores = brute_scores(examples, asked)
+    got = {x.url: (x.score, x.verdict) for x in url_filter.judge(df).collect()}
+    for u in asked:
+        assert abs(got[u][0] - scores[u]) < 1e-9 and got[u][1] == ("allow" if scores[u] >= threshold else "block")
