@@ -8,7 +8,8 @@ one of the first n - ceil(n * percent / 100) + 1 shingles (the prefix) of each.
 2. Groups that share a prefix shingle and pass the length and position filters are candidates. Around a rare shingle all pairs
    are taken; around a shingle of more than FREQUENT prefixes each group is first compared with one centre only.
 3. Candidates' representatives are verified on their whole sets, and links give components.
-4. What is still undecided follows exactly: pairs of members, also of groups around frequent shingles, that lie in
+4. Around frequent shingles whose groups lie in different components, TURNS rounds compare each group with another centre. What is
+   then still undecided follows exactly: pairs of members, also of groups around frequent shingles, that lie in
    different components and were not verified. Their links join the components. Pairs within a component need no check, so a large
    group of near copies does not cost the square of its size, and no link between components is lost.
 
@@ -40,6 +41,8 @@ from .shingles import batches_of, distinct, sequences
 FREQUENT, ORDER_LIMIT = 8, 1 << 20
 #: A frequent shingle's prefixes meet their centre in this many parts.
 SALTS = 16
+#: Rounds with other centres around frequent shingles whose documents lie in different components.
+TURNS = 2
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -216,15 +219,30 @@ class NgramJoin:
         same = F.size(F.array_intersect("s", "t"))
         return stored(both.select("a", "b", (100 * same >= self.percent * (F.size("s") + F.size("t") - same)).alias("linked")), "ngram-verified", [whole, keyed])
 
-    def _unchecked(self, labels: DataFrame, rare: DataFrame) -> DataFrame:
-        """(a, b) of classes in different components that may link: members of candidate groups, around rare and frequent shingles."""
+    def _open(self, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The classes with their labels and groups, each group's least and greatest label, and the prefixes around frequent
+        shingles whose groups lie in different components."""
         named = self.classes.select("cid").join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))
         group = stored(named.join(self.grouped, "cid", "left").select("cid", "label", F.coalesce("gid", "cid").alias("gid")), "ngram-labels")
         # a representative stands for all labels of its group's members
         span = stored(group.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2")), "ngram-spans")
         common = stored(self.common.join(span.withColumnRenamed("gid", "cid"), "cid"), "ngram-common")
         mixed_tokens = stored(common.groupBy("token").agg(F.min("l1").alias("t1"), F.max("l2").alias("t2")).where("t1 < t2").select("token"), "ngram-mixed")
-        open_rows = common.join(mixed_tokens.hint("merge"), "token", "left_semi")
+        return group, span, common.join(mixed_tokens.hint("merge"), "token", "left_semi")
+
+    def _drawn(self, labels: DataFrame, turn: int) -> DataFrame:
+        """(a, b): each group around open frequent shingles with the centre of one of them, both drawn by a hash of the turn."""
+        rows = stored(self._open(labels)[2], "ngram-open")
+        own = rows.groupBy("cid").agg(F.min_by(F.struct("token", "n", "place", "l1", "l2"), F.xxhash64(F.lit(turn), "token", "cid")).alias("o")).select("cid", "o.*")
+        centre = rows.groupBy("token").agg(F.min_by(F.struct("cid", "n", "place", "l1", "l2"), F.xxhash64(F.lit(turn), "cid")).alias("c")).select("token", "c.*")
+        x = own.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int")).alias("x").hint("merge")
+        y = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
+        differ = F.least("x.l1", "y.l1") < F.greatest("x.l2", "y.l2")
+        return self._pairs(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.cid") != F.col("y.cid")) & differ & self._pass("x", "y")))
+
+    def _unchecked(self, labels: DataFrame, rare: DataFrame) -> DataFrame:
+        """(a, b) of classes in different components that may link: members of candidate groups, around rare and frequent shingles."""
+        group, span, open_rows = self._open(labels)
         x, y = open_rows.alias("x"), open_rows.alias("y")
         differ = F.least("x.l1", "y.l1") < F.greatest("x.l2", "y.l2")
         around = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & differ & self._pass("x", "y")))
@@ -248,7 +266,14 @@ class NgramJoin:
         found = first.where("linked").select("a", "b")
         if self.common.isEmpty() and self.grouped.isEmpty():
             return found
-        more = self._unchecked(components(found), rare).join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        checked = first.select("a", "b")
+        for turn in range(TURNS):  # other centres join most of what the first ones left apart, before all pairs are taken
+            drawn = stored(self._drawn(components(found), turn).join(checked.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
+            if drawn.isEmpty():
+                break
+            found = stored(found.unionByName(self.verified(drawn).where("linked").select("a", "b")), "ngram-links")
+            checked = checked.unionByName(drawn)
+        more = self._unchecked(components(found), rare).join(checked.hint("merge"), ["a", "b"], "left_anti")
         more = stored(more, "ngram-pairs")
         return found if more.isEmpty() else stored(found.unionByName(self.verified(more).where("linked").select("a", "b")), "ngram-links")
 
