@@ -12,6 +12,9 @@ one of the first n - ceil(n * percent / 100) + 1 shingles (the prefix) of each.
    then still undecided follows exactly: pairs of members, also of groups around frequent shingles, that lie in
    different components and were not verified. Their links join the components. Pairs within a component need no check, so a large
    group of near copies does not cost the square of its size, and no link between components is lost.
+   A set's mask has a bit for each of 256 bins, whether an odd number of its shingles fall there. Two masks differ in at most as
+   many bits as the sets differ in shingles, so pairs whose masks differ too much leave the join at once; templated texts
+   that share phrases but do not link make no pairs.
 
 The order comes from counts over all documents; at most ORDER_LIMIT shingles, the most frequent, are sent to the executors
 (8 MB). Any order gives the same links; whether a shingle is rare is decided by the size of its own list of prefixes.
@@ -65,6 +68,15 @@ def _class_key(values: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
+MASK = [f"m{i}" for i in range(4)]
+
+
+def _mask(values: np.ndarray) -> list[int]:
+    """Whether an odd number of hashes fall in each of 256 bins, as four 64-bit numbers."""
+    odd = np.bincount((values & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 class NgramJoin:
     """The join of one table; the steps keep their tables in the shared folder."""
 
@@ -122,21 +134,25 @@ class NgramJoin:
         rest = counted(self._map("tokens array<long>", tails))
         return np.union1d(first, rest)
 
-    def prepare(self) -> None:
+    def _prefixes(self):
+        """A function of a set: the rare and the frequent tokens by which it meets others."""
         frequent, percent = self.spark.sparkContext.broadcast(self._frequent()), self.percent
 
-        def prefixes(s):
-            if not len(s):
-                return 0, 0, 0, s, s
+        def prefix(s):
             p, late = prefix_length(len(s), percent), _in_sorted(s, frequent.value)
             early = s[~late][:p]
-            return len(s), *_class_key(s), early, s[late][: p - len(early)]
+            return early, s[late][: p - len(early)]
 
-        made = self._map("n long, c1 long, c2 long, rare array<long>, common array<long>", prefixes)
+        return prefix
+
+    def prepare(self) -> None:
+        prefix = self._prefixes()
+        marks = [f"{m} long" for m in MASK]
+        made = self._map(", ".join(["n long, c1 long, c2 long", *marks, "rare array<long>, common array<long>"]), lambda s: (len(s), *_class_key(s), *_mask(s), *prefix(s)) if len(s) else (0, 0, 0, 0, 0, 0, 0, s, s))
         self.members = stored(made.withColumn("row", F.monotonically_increasing_id()), "ngram-docs")
         # a class is named by one of its rows, and first says which of its rows comes first: the smallest id, none last
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-        self.classes = stored(self.members.where("n > 0").groupBy("c1", "c2", "n").agg(F.min(first).alias("first"), F.min("row").alias("cid")), "ngram-classes")
+        self.classes = stored(self.members.where("n > 0").groupBy("c1", "c2", "n").agg(F.min(first).alias("first"), F.min("row").alias("cid"), *[F.first(m).alias(m) for m in MASK]), "ngram-classes")
         #: the names of rows that are there more than once
         self.again = stored(self.members.where("n > 0").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "ngram-again")
         one_each = self.members.withColumnRenamed("row", "cid").join(self.classes.select("cid").hint("merge"), "cid", "left_semi").select("cid", "n", "rare", "common")
@@ -181,6 +197,12 @@ class NgramJoin:
         left = F.least(n1 - F.col(f"{a}.place"), n2 - F.col(f"{b}.place"))
         return (100 * F.least(n1, n2) >= q * F.greatest(n1, n2)) & ((100 + q) * left >= q * (n1 + n2))
 
+    def _near(self, a: str, b: str):
+        """Whether the masks of two sets allow them to link: a difference of n1 + n2 - 2 * intersection is at most (100 - q) / (100 + q)
+        of n1 + n2. A group of several classes has no mask and passes."""
+        differ = sum((F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}"))) for m in MASK), F.lit(0))
+        return (100 + self.percent) * F.coalesce(differ, F.lit(0)) <= (100 - self.percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
     @staticmethod
     def _pairs(joined: DataFrame) -> DataFrame:
         return joined.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).where("a < b").distinct()
@@ -222,10 +244,11 @@ class NgramJoin:
     def _open(self, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The classes with their labels and groups, each group's least and greatest label, and the prefixes around frequent
         shingles whose groups lie in different components."""
-        named = self.classes.select("cid").join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))
-        group = stored(named.join(self.grouped, "cid", "left").select("cid", "label", F.coalesce("gid", "cid").alias("gid")), "ngram-labels")
-        # a representative stands for all labels of its group's members
-        span = stored(group.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2")), "ngram-spans")
+        named = self.classes.select("cid", "n", *MASK).join(labels, "cid", "left").select("cid", "n", *MASK, F.coalesce("label", "cid").alias("label"))
+        group = stored(named.join(self.grouped, "cid", "left").select("cid", "n", *MASK, "label", F.coalesce("gid", "cid").alias("gid")), "ngram-labels")
+        # a representative stands for all labels of its group's members, and only one that is alone for its mask
+        alone = [F.when(F.count(F.lit(1)) == 1, F.first(m)).alias(m) for m in MASK]
+        span = stored(group.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), *alone), "ngram-spans")
         common = stored(self.common.join(span.withColumnRenamed("gid", "cid"), "cid"), "ngram-common")
         mixed_tokens = stored(common.groupBy("token").agg(F.min("l1").alias("t1"), F.max("l2").alias("t2")).where("t1 < t2").select("token"), "ngram-mixed")
         return group, span, common.join(mixed_tokens.hint("merge"), "token", "left_semi")
@@ -233,29 +256,28 @@ class NgramJoin:
     def _drawn(self, labels: DataFrame, turn: int) -> DataFrame:
         """(a, b): each group around open frequent shingles with the centre of one of them, both drawn by a hash of the turn."""
         rows = stored(self._open(labels)[2], "ngram-open")
-        own = rows.groupBy("cid").agg(F.min_by(F.struct("token", "n", "place", "l1", "l2"), F.xxhash64(F.lit(turn), "token", "cid")).alias("o")).select("cid", "o.*")
-        centre = rows.groupBy("token").agg(F.min_by(F.struct("cid", "n", "place", "l1", "l2"), F.xxhash64(F.lit(turn), "cid")).alias("c")).select("token", "c.*")
+        own = rows.groupBy("cid").agg(F.min_by(F.struct("token", "n", "place", "l1", "l2", *MASK), F.xxhash64(F.lit(turn), "token", "cid")).alias("o")).select("cid", "o.*")
+        centre = rows.groupBy("token").agg(F.min_by(F.struct("cid", "n", "place", "l1", "l2", *MASK), F.xxhash64(F.lit(turn), "cid")).alias("c")).select("token", "c.*")
         x = own.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int")).alias("x").hint("merge")
         y = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
         differ = F.least("x.l1", "y.l1") < F.greatest("x.l2", "y.l2")
-        return self._pairs(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.cid") != F.col("y.cid")) & differ & self._pass("x", "y")))
+        return self._pairs(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.cid") != F.col("y.cid")) & differ & self._pass("x", "y") & self._near("x", "y")))
 
     def _unchecked(self, labels: DataFrame, rare: DataFrame) -> DataFrame:
         """(a, b) of classes in different components that may link: members of candidate groups, around rare and frequent shingles."""
         group, span, open_rows = self._open(labels)
         x, y = open_rows.alias("x"), open_rows.alias("y")
         differ = F.least("x.l1", "y.l1") < F.greatest("x.l2", "y.l2")
-        around = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & differ & self._pass("x", "y")))
+        around = self._pairs(x.hint("merge").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & differ & self._pass("x", "y") & self._near("x", "y")))
         if self.grouped.isEmpty():
             return stored(around, "ngram-pairs")
         asked = rare.unionByName(around).unionByName(self.grouped.select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
         for side in "ab":
             asked = asked.join(span.select(F.col("gid").alias(side), F.col("l1").alias(f"{side}1"), F.col("l2").alias(f"{side}2")), side)
         asked = stored(asked.where(~((F.col("a1") == F.col("a2")) & (F.col("b1") == F.col("b2")) & (F.col("a1") == F.col("b1")))).select("a", "b"), "ngram-asked")
-        left = asked.join(group.select(F.col("gid").alias("a"), F.col("cid").alias("u"), F.col("label").alias("ul")).hint("merge"), "a")
-        right = group.select(F.col("gid").alias("b"), F.col("cid").alias("v"), F.col("label").alias("vl")).hint("merge")
-        members = left.join(right, ["b"]).where((F.col("ul") != F.col("vl")) & (F.col("u") != F.col("v")))
-        return stored(members.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "ngram-pairs")
+        left = asked.join(group.withColumnRenamed("gid", "a").hint("merge"), "a").alias("x").hint("merge")
+        met = left.join(group.alias("y"), (F.col("x.b") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & self._near("x", "y"))
+        return stored(self._pairs(met), "ngram-pairs")
 
     def links(self) -> DataFrame:
         """(a, b) of classes: enough links for the components of all links."""
@@ -336,13 +358,18 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-OP5_SQL = r"""
+def join_sql(words: int, percent: int, more: str = "") -> str:
+    """SQL of the join; more: further columns."""
+    return rf"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i:i + {words} - 1], ' ')) END) AS s FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= {percent} * (x.n + y.n - i)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS component_id
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS component_id{more}
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
 """
+
+
+OP5_SQL = join_sql(4, 85)

@@ -116,3 +116,34 @@ def test_links_of_group_members_around_frequent_shingles(spark):
             rows += [(len(rows) + i, " ".join(cut)) for i in range(ngram_join.FREQUENT + 1)]
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4, 85)
+
+
+def templated(n):
+    """Texts of twelve phrases out of twelve, four words each: they share shingles, but hardly any link."""
+    r = random.Random(n)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(4)) for k in range(12)]
+    return [(i, " ".join(r.choice(phrases) for _ in range(12))) for i in range(n)]
+
+
+def test_templated_texts_do_not_make_all_pairs(spark, monkeypatch):
+    """The pairs that are verified grow like the texts, not like their pairs."""
+    sizes = []
+    for n in (200, 400, 800):
+        rows, made = templated(n), []
+        verified = ngram_join.NgramJoin.verified
+        monkeypatch.setattr(ngram_join.NgramJoin, "verified", lambda self, pairs, made=made, verified=verified: made.append(pairs.count()) or verified(self, pairs))
+        got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+        monkeypatch.setattr(ngram_join.NgramJoin, "verified", verified)
+        sizes.append(sum(made))
+        if n < 800:
+            assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4, 85)
+    assert sizes[2] < 2.5 * sizes[1] and sizes[1] < 2.5 * sizes[0], sizes
+
+
+def test_masks_bound_the_difference():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 60, 400):
+        x = r.integers(0, 1 << 63, n + 40).astype(np.uint64)
+        a, b = x[: n + 10], x[20:]
+        bits = sum(((u ^ v) & (2**64 - 1)).bit_count() for u, v in zip(ngram_join._mask(a), ngram_join._mask(b)))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
