@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, byte_bpe, decontaminate, line_dedup, ngram_join, sharding, token_count, toxicity, url_filter, warc
+from . import bm25, byte_bpe, decontaminate, line_dedup, minhash_join, ngram_join, sharding, spelling, token_alignment, token_count, toxicity, url_filter, warc
 from .common import new_folder, small_batches, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -90,8 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_line_dedup": op9_line_dedup,
         "op10_warc": op10_warc,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_minhash": minhash_join.op13_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": ngram_join.OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op5_ngram_join": ngram_join.OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_warc": OP10_SQL, "op12_spelling_variants": spelling.OP12_SQL, "op13_minhash": minhash_join.OP13_SQL}
