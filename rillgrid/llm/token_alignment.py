@@ -37,6 +37,8 @@ BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PAIRS = 1 << 19
 #: Characters of texts that are worked on at a time.
 CHUNK = 2 << 20
+#: Characters of pieces that are encoded as one text.
+JOINED = 1 << 16
 #: A space that no token of either file crosses.
 SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
@@ -44,7 +46,7 @@ SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 class Pieces(Seen):
     """Aligned pieces; each takes some arrays and strings."""
 
-    ENTRY = 700
+    HALF_BYTES, ENTRY = 32 << 20, 600
 
 
 def byte_table() -> dict[str, int]:
@@ -80,8 +82,8 @@ class Aligner:
             self.a_bytes[i] = bytes(of[c] for c in name) if all(c in of for c in name) else name.encode()
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        #: an id's text with what follows it: another of its side, or the end of its side's part of a group
-        self.said = [f"{i}{end}" for t, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(t))]
+        #: an id's text with what follows it: another of its side, the end of its side's part of a group, or (B) the end of a piece
+        self.said = [f"{i}{end}" for t, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;\n")) for end in ends for i in range(len(t))]
         self.seen = Pieces()
 
     @property
@@ -89,43 +91,52 @@ class Aligner:
         """A pair of ids is a * base + b."""
         return len(self.b_bytes)
 
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The A and B ids of texts, each after a space, one after the other; None if their bytes differ from the texts'."""
+        a = np.array([i for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False) for i in x.ids], np.int64)
+        b = np.array([i for x in self.b.encode(texts, num_threads=1) for i in x], np.int64)
+        raw = "".join(" " + t for t in texts).encode()
+        same = all(raw == b"".join(map(t.__getitem__, ids.tolist())) for t, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        return (a, b) if same else None
+
     def learn(self, pieces: list[str]) -> None:
-        """Aligns pieces of texts, each after a space: (n_a, n_b, n_groups, pairs, groups), or None if bytes differ."""
-        for lo, hi in runs_of([len(p) for p in pieces], CHUNK):
-            part = pieces[lo:hi]
-            a_ids = [x.ids for x in self.a.encode_batch([" " + p for p in part], add_special_tokens=False)]
-            b_ids = self.b.encode(part, num_threads=1)
-            whole = []
-            for p, x, y in zip(part, a_ids, b_ids):
-                raw = (" " + p).encode()
-                if raw == b"".join(map(self.a_bytes.__getitem__, x)) and raw == b"".join(map(self.b_bytes.__getitem__, y)):
-                    whole.append((p, x, y))
-                else:
+        """Aligns pieces of texts, each after a space: (n_a, n_b, n_groups, pairs, groups), or None if bytes differ. Pieces that may stand
+        next to each other are encoded as one text, and the others one by one."""
+        inner = [p for p in pieces if "!" <= p[0] <= "~" and "!" <= p[-1] <= "~"]
+        for lo, hi in runs_of([len(p) for p in inner], JOINED):
+            if (ids := self._tokens([" ".join(inner[lo:hi])])) is not None:
+                self._align(inner[lo:hi], *ids)
+        for p in pieces:
+            if p not in self.seen:
+                if (ids := self._tokens([p])) is None:
                     self.seen.keep(p, None)
-            if whole:
-                self._align(*zip(*whole))
+                else:
+                    self._align([p], *ids)
 
-    def _align(self, pieces, a_ids, b_ids) -> None:
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (a_ids, b_ids))
+    def _align(self, pieces: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Keeps what is to know of pieces, given the tokens of all of them in a row."""
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        a_last, b_last = np.cumsum([len(x) for x in a_ids]), np.cumsum([len(y) for y in b_ids])
-        cut = np.intersect1d(a_end, b_end, assume_unique=True)
-        ends = np.union1d(a_end, b_end)  # each stretch between ends lies in one token of each side: a link
-        pairs = a[np.searchsorted(a_end, ends)] * self.base + b[np.searchsorted(b_end, ends)]
-        stop = a_end[a_last - 1]  # where pieces end
-        cuts, links = np.searchsorted(cut, stop, side="right"), np.searchsorted(ends, stop, side="right")
-        group = np.concatenate([2 * np.searchsorted(cut, a_end), 2 * np.searchsorted(cut, b_end) + 1])
-        closes = np.concatenate([np.isin(a_end, cut), np.isin(b_end, cut)])
+        stop = np.cumsum([1 + len(p.encode()) for p in pieces])  # where pieces end, and tokens of both sides with them
+        a_in_b, b_in_a = np.searchsorted(b_end, a_end), np.searchsorted(a_end, b_end)
+        a_cuts, b_cuts = b_end[a_in_b] == a_end, a_end[b_in_a] == b_end
+        # each stretch between ends lies in one token of each side: a link
+        only_b = np.flatnonzero(~b_cuts)
+        place = np.searchsorted(a_end, b_end[only_b])
+        pairs = np.insert(a * self.base + b[a_in_b], place, a[place] * self.base + b[only_b])
+        group = np.cumsum(a_cuts) - a_cuts, np.cumsum(b_cuts) - b_cuts
         n_a = len(self.a_bytes)
-        code = np.concatenate([a, b + 2 * n_a]) + np.where(closes, np.repeat([n_a, self.base], [len(a), len(b)]), 0)
-        order = np.argsort(group, kind="stable")
-        texts, both = list(map(self.said.__getitem__, code[order].tolist())), a_last + b_last
-        before = [0, 0, 0, 0, 0]
-        for k, p in enumerate(pieces):
-            here = [int(x[k]) for x in (a_last, b_last, cuts, links, both)]
-            sizes = [x - y for x, y in zip(here, before)]
-            self.seen.keep(p, (*sizes[:3], pairs[before[3] : here[3]].copy(), "".join(texts[before[4] : here[4]])[:-1]))
-            before = here
+        code = np.concatenate([a + n_a * a_cuts, b + 2 * n_a + self.base * (b_cuts.astype(int) + (stop[np.searchsorted(stop, b_end)] == b_end))])
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        said = "".join(map(self.said.__getitem__, code[order].tolist())).split("\n")
+        a_last, b_last = np.searchsorted(a_end, stop) + 1, np.searchsorted(b_end, stop) + 1
+        cuts = np.cumsum(a_cuts)[a_last - 1]
+        # a piece has a link more than its tokens less its groups, for each group
+        links = a_last + b_last - cuts
+        sizes = [np.diff(x, prepend=0).tolist() for x in (a_last, b_last, cuts)]
+        before = 0
+        for p, *numbers, upto, groups in zip(pieces, *sizes, links.tolist(), said):
+            self.seen.keep(p, (*numbers, pairs[before:upto].copy(), groups))
+            before = upto
 
     def measures(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text."""
