@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import array_spec, duration_seconds, memory_mb
+from ..functions.parse import array_spec, dependency, duration_seconds, gpu_spec, memory_mb
 from ..sources.steps import stored
 
 #: Weights of the priority factors.
@@ -19,13 +19,20 @@ PARTITIONS = [
     ("debug-cpu", 15, 2, None), ("public-cpu", 5760, 32, None), ("public-gpu", 2880, 2, None), ("public-bigmem", 5760, 2, None), ("public-interactive-cpu", 480, 1, None), ("public-interactive-gpu", 240, 1, None),
     ("public-longrun-cpu", 20160, 1, 2), ("public-short-cpu", 60, 2, None), ("shared-cpu", 720, 45, None), ("shared-gpu", 720, 9, None), ("shared-bigmem", 720, 2, None),
 ]
-#: Symptoms of failed jobs, with what is behind them and what helps.
+#: States in which jobs of the accounting stop short, by name, and one error of their logs: what is behind each, and what helps. The names are
+#: fixed values.
 FAILURES = [
-    ("OUT_OF_MEMORY", "asked for too little memory", "ask for more memory a core or job"), ("TIMEOUT", "ran into its time limit", "ask for more time or write checkpoints"), ("FAILED", "the script ended with an error", "read the traceback in its log"),
-    ("PENDING", "nothing free that fits", "look at its expected start or take another partition"), ("NODE_FAIL", "a machine broke down", "hand it in again"), ("FileNotFoundError", "the shared file system lagged behind", "unpack the environment on the node"),
-]
-#: The checks before a job is handed in, in order.
-CHECKLIST = ["tried_small", "log_folder", "environment", "memory_set", "time_set", "tasks_match", "outputs_writable", "inputs_exist", "headless_plots"]
+    ("BOOT_FAIL", "a node did not come up", "wait, the scheduler takes another one"),
+    ("CANCELLED", "someone or something took it back", "ask who, then submit it anew"),
+    ("DEADLINE", "it could not end before its deadline", "move the deadline or cut the job up"),
+    ("FAILED", "a command returned an error", "look for the first error in the log"),
+    ("FileNotFoundError", "files were not yet seen by that node", "copy what it needs to the node first"),
+    ("NODE_FAIL", "its node was lost", "submit it anew from the last state"),
+    ("OUT_OF_MEMORY", "it used more memory than it had asked for", "measure the peak and ask for that"),
+    ("PENDING", "it waits for its turn or its resources", "ask for less, or where more is free"),
+    ("PREEMPTED", "a job of higher rank took its place", "let it go on from its last state"),
+    ("TIMEOUT", "it was still at work at its limit", "measure a part and ask for that times the parts"),
+]
 
 
 def fan_out(jobs: DataFrame, spec: str = "array_spec") -> DataFrame:
@@ -160,3 +167,28 @@ def parallelism(ntasks: Column, cpus: Column) -> Column:
 def violations(checks: dict[str, Column]) -> Column:
     """Names of the checks that fail; null counts as failing."""
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull())
+
+
+def spec_checks(most_mb_a_core: int = 16 * 1024) -> dict[str, Column]:
+    """What a specification as people write it has to hold before it is submitted: columns partition, time, mem, cores, array_spec, gres,
+    dependency, and most_minutes and most_cores of its partition. What is null was not asked for, but time and mem are needed."""
+    seconds, memory, array, gpu = duration_seconds(F.col("time")), memory_mb(F.col("mem")), array_spec(F.col("array_spec")), gpu_spec(F.col("gres"))
+    left_out = lambda c, ok: F.col(c).isNull() | F.coalesce(ok, F.lit(False))
+    return {
+        "array_runs": left_out("array_spec", F.coalesce(array["most"], F.lit(1)) > 0),
+        "array_upwards": left_out("array_spec", array["lo"] <= array["hi"]),
+        "cores_of_partition": F.coalesce(F.col("cores") <= F.col("most_cores"), F.col("cores") > 0),
+        "dependency_known": left_out("dependency", dependency(F.col("dependency")).isNotNull()),
+        "gpus_where_gpus_are": left_out("gres", gpu.isNotNull() & F.contains("partition", F.lit("gpu"))),
+        "memory_given": memory > 0,
+        "memory_of_cores": memory <= most_mb_a_core * F.col("cores"),
+        "time_given": seconds > 0,
+        "time_of_partition": seconds <= 60 * F.col("most_minutes"),
+    }
+
+
+def checked_specs(specs: DataFrame, most_mb_a_core: int = 16 * 1024) -> DataFrame:
+    """specs with the names of the checks that fail; those of an unknown partition fail by their time."""
+    limits = specs.sparkSession.createDataFrame(PARTITIONS, "partition string, most_minutes int, most_nodes int, most_cores int")
+    met = specs.join(F.broadcast(limits), "partition", "left")
+    return met.select(*specs.columns, violations(spec_checks(most_mb_a_core)).alias("failing"))

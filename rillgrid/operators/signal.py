@@ -16,11 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import exact_mean
 from ..sources.steps import stored
-
-
-def _rows(channel: str, order: str, n: int | None = None):
-    w = Window.partitionBy(channel).orderBy(order)
-    return w if n is None else w.rowsBetween(-n, n)
+from .segments import frame, framed, numbered
 
 
 def _with(df: DataFrame, channel: str, **sums: Column) -> DataFrame:
@@ -33,8 +29,8 @@ def demean(df: DataFrame, channel: str, x: str) -> DataFrame:
 
 
 def detrend(df: DataFrame, channel: str, order: str, x: str) -> DataFrame:
-    """Without the least-squares line over the sample number."""
-    df = df.withColumn("n", F.row_number().over(_rows(channel, order)).cast("double"))
+    """Without the least-squares line over the sample number; numbers are given range by range, so that a long channel is split."""
+    df = numbered(df, channel, order).withColumn("n", F.col("n").cast("double"))
     slope = F.try_divide(F.covar_pop("n", x), F.var_pop("n"))
     df = _with(df, channel, _slope=F.coalesce(slope, F.lit(0.0)), _mean=F.avg(x), _middle=F.avg("n"))
     return df.withColumn("detrended", F.col(x) - (F.col("_mean") + F.col("_slope") * (F.col("n") - F.col("_middle")))).drop("_slope", "_mean", "_middle")
@@ -55,8 +51,10 @@ def remove_events(df: DataFrame, channel: str, x: str, k: float) -> DataFrame:
 
 
 def running_absolute_mean(df: DataFrame, channel: str, order: str, x: str, half: int) -> DataFrame:
-    weight = F.avg(F.abs(x)).over(_rows(channel, order, half))
-    return df.withColumn("weight", weight).withColumn("normalised", F.col(x) / F.nullif(F.col("weight"), F.lit(0.0)))
+    """df with the mean of absolute values up to `half` before and after, and x over it, bin by bin of each channel."""
+    weight = F.avg(F.abs(x)).over(frame(channel, "_number", half))
+    out = framed(numbered(df, channel, order, "_number"), channel, "_number", half, {"weight": weight}).drop("_number")
+    return out.withColumn("normalised", F.col(x) / F.nullif(F.col("weight"), F.lit(0.0)))
 
 
 def pairs(stations: DataFrame, key: str, group: str) -> DataFrame:
@@ -80,19 +78,31 @@ def correlations(traces: DataFrame, pair: DataFrame, key: str, data: str, most:
     return lags.select("a", "b", "lag", correlate(F.col("x"), F.col("y"), F.col("lag")).alias("c"))
 
 
+#: Values of a group that exact_median() puts in order at once.
+FEW = 10_000
+
+
 def exact_median(df: DataFrame, by: list[str], x: str, bins: int = 1024) -> DataFrame:
-    """(by, median) of each group's values: counts in bins between the group's ends say in which one or two bins the middle lies,
-    and only their values are put in order, so that no task holds a group's values. Null values and keys drop out."""
-    v = df.select(*by, F.col(x).alias("_x")).dropna()
+    """(by, median) of each group's values. Counts in bins between the group's ends say in which bin each middle value lies; the bin's
+    own ends are the next ones, until few values are left between them or all are equal. So no task holds more than FEW different
+    values of a group, however they are spread. Null values and keys drop out, nan too; values are finite."""
+    v = df.select(*by, F.col(x).cast("double").alias("_x")).dropna()
     ends = v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    place = F.floor((F.col("_x") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
-    binned = v.join(ends, by).withColumn("_bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    counts = binned.groupBy(*by, "_n", "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `bins` rows a group
-    middle = counts.withColumn("_before", before).where((F.col("_before") < high) & (F.col("_before") + F.col("_c") >= low)).select(*by, "_bin", "_before")
-    rank = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_x")) + F.col("_before")
-    return binned.join(middle, [*by, "_bin"]).withColumn("_rank", rank).where((F.col("_rank") == low) | (F.col("_rank") == high)).groupBy(*by).agg(F.avg("_x").alias("median"))
+    ranks = F.array(F.struct(F.floor((F.col("_n") + 1) / 2).alias("_rank"), F.lit(0).alias("_side")), F.struct(F.floor((F.col("_n") + 2) / 2).alias("_rank"), F.lit(1).alias("_side")))
+    names = [*by, "_side", "_rank", "_lo", "_hi", "_n", "_before"]
+    asked = stored(ends.withColumn("_r", F.explode(ranks)).withColumn("_before", F.lit(0).cast("long")).select(*by, "_r._side", "_r._rank", "_lo", "_hi", "_n", "_before"), "median-ends")
+    wide = (F.col("_n") > FEW) & (F.col("_lo") < F.col("_hi"))
+    while not asked.where(wide).isEmpty():
+        met = v.join(asked.where(wide), by).where("_x BETWEEN _lo AND _hi")
+        place = F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins)  # halves cannot overflow
+        counts = met.groupBy(*by, "_side", "_rank", "_before", F.least(place, F.lit(bins - 1)).alias("_bin")).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+        so_far = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_side").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `bins` rows a group
+        inside = counts.withColumn("_before", F.col("_before") + so_far).where((F.col("_before") < F.col("_rank")) & (F.col("_before") + F.col("_n") >= F.col("_rank")))
+        asked = stored(asked.where(~wide).unionByName(inside.select(*names)), "median-ends", [asked])
+    equal = asked.where("_lo = _hi").select(*by, "_side", F.col("_lo").alias("_x"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_side").orderBy("_x")) + F.col("_before")
+    some = v.join(asked.where("_lo < _hi"), by).where("_x BETWEEN _lo AND _hi").withColumn("_at", rank).where("_at = _rank").select(*by, "_side", "_x")
+    return equal.unionByName(some).groupBy(*by).agg(F.avg("_x").alias("median"))
 
 
 def stack(ccs: DataFrame, by: list[str], c: str = "c") -> DataFrame:
@@ -360,10 +370,13 @@ def correlated_again(ccs: DataFrame) -> DataFrame:
     return left.join(right, ["shared", "lag"]).groupBy("a", "shared", "b").agg(F.sum(F.col("c1") * F.col("c2")).alias("c3"))
 
 
-def gather(pairs: DataFrame, group: str) -> DataFrame:
-    """Of pairs(a, b): each station as a source, how many receivers it has, and the first and last of them."""
-    both = pairs.select(group, F.col("a").alias("source"), F.col("b").alias("r")).unionByName(pairs.select(group, F.col("b").alias("source"), F.col("a").alias("r")))
-    return both.groupBy(group, "source").agg(F.count(F.lit(1)).alias("receivers"), F.min("r").alias("first"), F.max("r").alias("last"))
+def gather(stations: DataFrame, key: str, group: str) -> DataFrame:
+    """Each station as a source with the others of its group as receivers: how many, and the first and last of them, from sums over the
+    group; a station alone has no receivers and no row."""
+    ends = stations.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi")).where("_n > 1")
+    inner = stations.join(ends, group).groupBy(group).agg(F.min(F.when(F.col(key) > F.col("_lo"), F.col(key))).alias("_lo2"), F.max(F.when(F.col(key) < F.col("_hi"), F.col(key))).alias("_hi2"))
+    other = lambda end, second, name: F.when(F.col(key) == F.col(end), F.col(second)).otherwise(F.col(end)).alias(name)
+    return stations.join(ends, group).join(inner, group).select(group, F.col(key).alias("source"), (F.col("_n") - 1).alias("receivers"), other("_lo", "_lo2", "first"), other("_hi", "_hi2", "last"))
 
 
 def ray_quality(incidence: DataFrame) -> DataFrame:

@@ -91,13 +91,25 @@ def failure_classes(spark, d):
     return jobs.failure_classes(seen)
 
 
-CHECKS = ["p_size > 3", "p_size % 2 = 0", "p_brand <> 'Brand#1'", "p_retailprice > 950", "p_partkey % 5 <> 0", "p_size % 3 <> 1", "length(p_name) > 8", "p_type <> 'PROMO'", "p_partkey % 4 <> 1"]
+LIMITS = ", ".join(f"('{name}', {minutes}, {cores or 'NULL'})" for name, minutes, _, cores in jobs.PARTITIONS)
+NAMES = [name for name, *_ in jobs.PARTITIONS]
 
 
-@query("SELECT p_partkey, array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in zip(jobs.CHECKLIST, CHECKS)) + "], lambda x: x IS NOT NULL), ',') AS failing FROM part")
+@query(f"""WITH l AS (SELECT * FROM (VALUES {LIMITS}) AS v(name, most_minutes, most_cores)), j AS (SELECT p_partkey AS k, p_size AS s, {NAMES}[p_partkey % 11 + 1] AS name, p_partkey % 5 + 1 AS cores, CASE WHEN p_size % 7 = 0 THEN NULL ELSE (p_size // 10) * 86400 + (p_size % 24) * 3600 + (p_size % 60) * 60 END AS seconds,
+CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size * 1024 END AS mb FROM part),
+c AS (SELECT k, [CASE WHEN k % 2 = 0 AND s % 3 = 0 THEN 'array_runs' END, CASE WHEN s % 5 > s % 6 THEN 'array_upwards' END, CASE WHEN cores > most_cores THEN 'cores_of_partition' END, CASE WHEN k % 3 = 2 THEN 'dependency_known' END, CASE WHEN k % 4 = 0 AND NOT contains(name, 'gpu') THEN 'gpus_where_gpus_are' END,
+CASE WHEN mb IS NULL THEN 'memory_given' END, CASE WHEN mb IS NULL OR mb > 16384 * cores THEN 'memory_of_cores' END, CASE WHEN coalesce(seconds, 0) = 0 THEN 'time_given' END, CASE WHEN seconds IS NULL OR seconds > 60 * most_minutes THEN 'time_of_partition' END] AS x FROM j JOIN l USING (name))
+SELECT k AS p_partkey, array_to_string(list_filter(x, lambda v: v IS NOT NULL), ',') AS failing FROM c""")
 def submission_checklist(spark, d):
-    """The nine checks before a job is handed in, by conditions on parts that stand in for them."""
-    return read(spark, d, "part").select("p_partkey", F.array_join(jobs.violations(dict(zip(jobs.CHECKLIST, map(F.expr, CHECKS)))), ",").alias("failing"))
+    """Job specifications as people write them, some of them wrong, checked before they are submitted."""
+    size, key, two = F.col("p_size"), F.col("p_partkey"), lambda x: F.lpad(x.cast("string"), 2, "0")
+    time = F.concat(F.floor(size / 10).cast("string"), F.lit("-"), two(size % 24), F.lit(":"), two(size % 60), F.lit(":00"))
+    span = F.concat((size % 5).cast("string"), F.lit("-"), (size % 6).cast("string"), F.when(key % 2 == 0, F.concat(F.lit("%"), (size % 3).cast("string"))).otherwise(""))
+    specs = read(spark, d, "part").select(
+        "p_partkey", F.get(F.array(*[F.lit(n) for n in NAMES]), (key % 11).cast("int")).alias("partition"), F.when(size % 7 == 0, "soon").otherwise(time).alias("time"), F.when(size % 9 == 0, "lots").otherwise(F.concat(size.cast("string"), F.lit("G"))).alias("mem"),
+        (key % 5 + 1).alias("cores"), span.alias("array_spec"), F.when(key % 4 == 0, "titan:2").alias("gres"), F.when(key % 3 == 0, F.concat(F.lit("afterok:"), key.cast("string"))).when(key % 3 == 2, "later").alias("dependency"),
+    )
+    return jobs.checked_specs(specs).select("p_partkey", F.array_join("failing", ",").alias("failing"))
 
 
 @query("SELECT doc_id, stage, (['raw', 'clean', 'correlated', 'results', 'archive'])[stage] AS place, stage < 4 AS scratch FROM (SELECT doc_id, CAST(CASE WHEN n_chars < 500 THEN 1 WHEN n_chars < 2000 THEN 2 WHEN n_chars < 5000 THEN 3 WHEN n_chars < 9000 THEN 4 ELSE 5 END AS INTEGER) AS stage FROM documents)")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..operators import jobs, lines, scoring, signal
 from ..streaming import follow
-from . import batch, records, traces  # noqa: F401
+from . import batch, correlations, inversion, records, traces  # noqa: F401
 from .registry import QUERIES, SQL, query, read
 
 @query("SELECT s_suppkey, s_name || ' nation=' || CAST(s_nationkey AS VARCHAR) AS label, s_acctbal FROM supplier WHERE s_acctbal > 4620.0")
@@ -86,10 +86,9 @@ def leaderboard(spark, d):
 
 @query("SELECT source, CAST(sum(quality) AS BIGINT) AS score, count(*) AS total, CAST((2000 * sum(quality) + count(*)) // (2 * count(*)) AS DOUBLE) / 10 AS percentage FROM labels JOIN documents USING (doc_id) GROUP BY source")
 def result_document(spark, d):
-    """The nested documents' totals; tests look at the nested parts."""
-    answers = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
-    docs = scoring.result_document(answers.select("source", F.col("doc_id").alias("q"), (F.col("quality") == 1).alias("correct"), F.col("lang").alias("category")), "source")
-    return docs.select("source", F.aggregate(F.map_values("categories"), F.lit(0).cast("long"), lambda s, c: s + c["correct"]).alias("score"), F.size("answers").cast("long").alias("total"), "percentage")
+    """Each source's score, by sums; result_json has whole documents, of conversations, whose turns bound them."""
+    answers = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return scoring.summary(answers, "source", F.col("quality") == 1).select("source", F.col("correct").alias("score"), "total", F.col("pct").alias("percentage"))
 
 
 @query("SELECT p_partkey, CAST(t AS INTEGER) AS task_id, CAST(t // 3 AS BIGINT) AS wave FROM part, unnest(range(0, p_size + 1)) AS x(t)")

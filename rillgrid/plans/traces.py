@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import signal
+from ..operators import pairs, signal
 from .registry import query, read
 
 S = "s AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings)"
@@ -122,10 +122,9 @@ def velocity_changes(spark, d):
 
 @query(f"WITH {S}, c AS (SELECT x.vec_id AS a, y.vec_id AS b, y.n - x.n AS lag, sum(x.x * y.x) AS c FROM s x JOIN s y ON x.label = y.label AND x.vec_id < y.vec_id GROUP BY ALL) SELECT a, b, CAST(arg_max(lag, c) AS INTEGER) AS lag, round(max(c), 6) AS amplitude FROM c GROUP BY a, b")
 def all_pairs_pick(spark, d):
-    """All N(N-1)/2 pairs of each group at all lags, by their spectra: the lag of the largest correlation."""
-    traces = _traces(spark, d)
-    pairs = signal.pairs(traces, "vec_id", "label").select("a", "b")
-    return _both(traces, pairs).select("a", "b", signal.pick_lag(F.col("x"), F.col("y")).alias("p")).select("a", "b", F.col("p")[0].cast("int").alias("lag"), F.round(F.col("p")[1], 6).alias("amplitude"))
+    """All N(N-1)/2 pairs of each group at all lags, by tiles: the lag of the largest correlation."""
+    picks = pairs.tiled(_traces(spark, d), "vec_id", "label", "data", pairs.picks)
+    return picks.select("a", "b", F.col("values")[0].cast("int").alias("lag"), F.round(F.col("values")[1], 6).alias("amplitude"))
 
 
 @query(f"WITH {S} SELECT x.vec_id, CAST(y.n - x.n AS INTEGER) AS lag, round(sum(x.x * y.x), 6) + 0 AS c FROM s x JOIN s y ON x.vec_id = y.vec_id AND y.n >= x.n GROUP BY ALL")
@@ -316,8 +315,7 @@ def damped_solution(spark, d):
 @query(f"WITH {NEXT} SELECT label, a.vec_id AS source, count(*) AS receivers, min(b.vec_id) AS first, max(b.vec_id) AS last FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id GROUP BY 1, 2")
 def source_gather(spark, d):
     """Each trace as a virtual source, with the receivers of its group."""
-    pairs = signal.pairs(read(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label")
-    return signal.gather(pairs, "label")
+    return signal.gather(read(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label")
 
 
 @query("SELECT c_custkey, round(degrees(atan2(c_nationkey - 12, c_acctbal / 400 - 12)), 6) + 0 AS azimuth, abs(cos(atan2(c_nationkey - 12, c_acctbal / 400 - 12))) > 0.9 AS end_fire FROM customer")

@@ -39,7 +39,8 @@ def stored(df: DataFrame, name: str, done_with: list[DataFrame] | None = None) -
     return out
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system, as Spark's own readers see them."""
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(context._jsc.hadoopConfiguration())
@@ -49,12 +50,12 @@ def delete(*tables: DataFrame) -> None:
     """Deletes stored tables, by whatever file system they are in."""
     for one in tables:
         if path := getattr(one, "stored_at", None):
-            place, system = _file_system(one.sparkSession, path)
+            place, system = file_system(one.sparkSession, path)
             system.delete(place, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    place, system = _file_system(spark, path)
+    place, system = file_system(spark, path)
     return system.exists(place)
 
 

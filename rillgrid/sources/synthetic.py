@@ -47,16 +47,26 @@ def group_velocity(period: Column) -> Column:
     return 0.8 + 0.55 * period
 
 
+def dispersive_traces(pairs: DataFrame, distance: str, n: int, delta: float, low: float, high: float) -> DataFrame:
+    """pairs with data: for each pair a wave that left at time 0 and has the group delay distance / v(1 / f). Its phase is the integral of
+    the delay over frequency, and its spectrum is a cosine taper from low to high (Hz). Traces are made where their pairs are."""
+
+    @F.arrow_udf("array<double>")
+    def made(km: pa.Array) -> pa.Array:
+        f = np.fft.rfftfreq(n, delta)
+        inside = (f >= low) & (f <= high)
+        slow = np.where(inside, 1 / (0.8 + 0.55 / np.where(f > 0, f, 1)), 0)
+        taper = np.where(inside, np.sin(math.pi * (f - low) / (high - low)) ** 2, 0)
+        turn = -2 * math.pi * np.cumsum(slow) * (f[1] - f[0])
+        return pa.array([None if d is None else np.fft.irfft(taper * np.exp(1j * d * turn), n) for d in km.to_pylist()], pa.list_(pa.float64()))
+
+    return pairs.withColumn("data", made(F.col(distance).cast("double")))
+
+
 def dispersive_trace(spark: SparkSession, n: int, delta: float, distance: float, low: float, high: float) -> DataFrame:
-    """(n, x): a wave that left at time 0 and has the group delay distance / v(1 / f); its phase is the integral of the delay
-    over frequency, and its spectrum is a cosine taper from low to high (Hz)."""
-    f, delay = np.fft.rfftfreq(n, delta), None
-    inside = (f >= low) & (f <= high)
-    delay = np.where(inside, distance / (0.8 + 0.55 / np.where(f > 0, f, 1)), 0)
-    phase = -2 * math.pi * np.cumsum(delay) * (f[1] - f[0])
-    taper = np.where(inside, np.sin(math.pi * (f - low) / (high - low)) ** 2, 0)
-    x = np.fft.irfft(taper * np.exp(1j * phase), n)  # one trace: a parameter's worth of numbers
-    return spark.range(n).select(F.col("id").cast("int").alias("n"), F.get(F.lit(x.tolist()), F.col("id").cast("int")).alias("x"))
+    """(n, x): the wave of one pair, a row a sample."""
+    one = dispersive_traces(spark.range(1).select(F.lit(float(distance)).alias("km")), "km", n, delta, low, high)
+    return one.select(F.posexplode("data").alias("n", "x"))
 
 
 def velocity_grid(spark: SparkSession, nx: int, ny: int) -> DataFrame:

@@ -11,17 +11,18 @@ from rillgrid.operators import jobs, lines, scoring, signal
 from rillgrid.sources import files
 from rillgrid.streaming import follow
 
-STATIONS = "station,latitude,longitude,elevation\nQA,45.90,7.02,410\nQB,46.31,7.41,560\nQC,45.75,7.33,300\nQD,46.42,7.18,470\nQE,46.55,7.05,640\n"
+STATIONS = "station,latitude,longitude,elevation\nsouth-2,-31.5,18.25,1204\nnorth,64.125,-21.5,12\npeak,27.75,86.5,5364\nsouth-1,-33.0,18.5,12\nbuoy,0.0,-140.0,\nridge,39.5,-105.75,3712\nshelf,-77.75,166.75,38\n"
 
 
 def test_stations(spark, tmp_path):
+    """Equal elevations, one that is missing, and negative numbers."""
     (tmp_path / "stations.csv").write_text(STATIONS)
     df = files.read_records(spark, str(tmp_path / "stations.csv"))
-    assert [r.station for r in df.where("latitude > 46.0").orderBy("station").collect()] == ["QB", "QD", "QE"]
-    assert [r.station for r in df.orderBy("elevation").collect()] == ["QC", "QA", "QD", "QB", "QE"]
-    assert df.count() == 5 and signal.pairs(df.withColumn("g", F.lit(1)), "station", "g").count() == 10
-    assert [r.station for r in df.where("elevation > 500").orderBy("station").collect()] == ["QB", "QE"]
-    assert files.list_files(spark, str(tmp_path), "*.csv").count() == 1 and files.read_lines(spark, str(tmp_path)).count() == 6
+    assert [r.station for r in df.where("latitude > 0.0").orderBy("station").collect()] == ["north", "peak", "ridge"]
+    assert [r.station for r in df.orderBy("elevation", "station").collect()] == ["buoy", "north", "south-1", "shelf", "south-2", "ridge", "peak"]
+    assert df.count() == 7 and signal.pairs(df.withColumn("g", F.lit(1)), "station", "g").count() == 21
+    assert [r.station for r in df.where("elevation > 1000").orderBy("station").collect()] == ["peak", "ridge", "south-2"]
+    assert files.list_files(spark, str(tmp_path), "*.csv").count() == 1 and files.read_lines(spark, str(tmp_path)).count() == 8
 
 
 def test_parsers(spark):
