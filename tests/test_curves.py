@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from rillgrid.operators import dispersion, monitoring, segments, signal, transfer
+from rillgrid.operators import dispersion, monitoring, prepare, segments, signal, transfer
 from rillgrid.sources import synthetic
 
 
@@ -112,3 +112,22 @@ def test_medians_with_far_outliers(spark, monkeypatch):
     assert got.keys() == groups.keys()
     for g, vs in groups.items():
         assert got[g] == float(np.median(vs)), g
+
+
+def test_the_chain_is_its_steps(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3, 50)) + np.linspace(0, 4, 50)
+    df = spark.createDataFrame([*enumerate(x.tolist()), (9, None), (10, [1.0, 2.0]), (11, [])], "k long, data array<double>")
+    got = {(row.k, row.day): row.data for row in prepare.prepared_days(df, "data", 20, 0.05, 0.3, 3).collect()}
+    assert set(got) == {(k, d) for k in range(3) for d in range(2)}
+    n = np.arange(50)
+    for k in range(3):
+        y = x[k] - np.polyval(np.polyfit(n, x[k], 1), n)
+        f = np.fft.rfftfreq(50)
+        y = np.fft.irfft(np.fft.rfft(y) * ((f >= 0.05) & (f <= 0.3)), 50)
+        for d in range(2):
+            z = y[d * 20 : d * 20 + 20]
+            z = np.array([z[i] / np.abs(z[max(0, i - 3) : i + 4]).mean() for i in range(20)])
+            assert np.allclose(got[k, d], signal._whiten(z[None, :])[0])
+    bits = prepare.prepared_days(df, "data", 20, 0.05, 0.3, 3, normal=prepare.one_bit).count()
+    assert bits == 6
