@@ -155,6 +155,7 @@ class NgramJoin:
         self.classes = stored(self.members.where("n > 0").groupBy("c1", "c2", "n").agg(F.min(first).alias("first"), F.min("row").alias("cid"), *[F.first(m).alias(m) for m in MASK]), "ngram-classes")
         #: the names of rows that are there more than once
         self.again = stored(self.members.where("n > 0").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "ngram-again")
+        self.mark = self.spark.sparkContext.broadcast(bit_filter(self.again, "k1"))
         one_each = self.members.withColumnRenamed("row", "cid").join(self.classes.select("cid").hint("merge"), "cid", "left_semi").select("cid", "n", "rare", "common")
         groups = one_each.select("cid", "n", F.xxhash64(F.lit(1), "rare", "common").alias("p1"), F.xxhash64(F.lit(2), "rare", "common").alias("p2"))
         same = groups.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -231,8 +232,7 @@ class NgramJoin:
         keyed = stored(keyed, "ngram-keyed")
         used = keyed.select(F.col("a1").alias("k1")).unionByName(keyed.select(F.col("b1").alias("k1"))).distinct()
         only = self.spark.sparkContext.broadcast(bit_filter(used, "k1"))
-        mark = self.spark.sparkContext.broadcast(bit_filter(self.again, "k1"))
-        sets = self._map("again long, tokens array<long>", lambda s: (s,) if len(s) else None, only, mark).select("k1", "k2", "again", "tokens")
+        sets = self._map("again long, tokens array<long>", lambda s: (s,) if len(s) else None, only, self.mark).select("k1", "k2", "again", "tokens")
         sets = stored(sets, "ngram-sets")
         once = sets.where("again = 1").groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))  # equal rows make one set
         whole, sets = sets, sets.where("again = 0").drop("again").unionByName(once)
@@ -248,9 +248,9 @@ class NgramJoin:
         group = stored(named.join(self.grouped, "cid", "left").select("cid", "n", *MASK, "label", F.coalesce("gid", "cid").alias("gid")), "ngram-labels")
         # a representative stands for all labels of its group's members, and only one that is alone for its mask
         alone = [F.when(F.count(F.lit(1)) == 1, F.first(m)).alias(m) for m in MASK]
-        span = stored(group.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), *alone), "ngram-spans")
+        span = group.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), *alone)
         common = stored(self.common.join(span.withColumnRenamed("gid", "cid"), "cid"), "ngram-common")
-        mixed_tokens = stored(common.groupBy("token").agg(F.min("l1").alias("t1"), F.max("l2").alias("t2")).where("t1 < t2").select("token"), "ngram-mixed")
+        mixed_tokens = common.groupBy("token").agg(F.min("l1").alias("t1"), F.max("l2").alias("t2")).where("t1 < t2").select("token")
         return group, span, common.join(mixed_tokens.hint("merge"), "token", "left_semi")
 
     def _drawn(self, labels: DataFrame, turn: int) -> DataFrame:
@@ -280,29 +280,35 @@ class NgramJoin:
         return stored(self._pairs(met), "ngram-pairs")
 
     def links(self) -> DataFrame:
-        """(a, b) of classes: enough links for the components of all links."""
+        """(a, b) of classes: enough links for the components of all links, which are kept as self.labels(cid, label)."""
         self.prepare()
         rare, around = self.candidates()
         inside = self.grouped.where("cid != gid").select(F.least("cid", "gid").alias("a"), F.greatest("cid", "gid").alias("b"))
         first = self.verified(stored(rare.unionByName(around).unionByName(inside).distinct(), "ngram-pairs"))
         found = first.where("linked").select("a", "b")
+        self.labels = stored(components(found), "ngram-labels")
         if self.common.isEmpty() and self.grouped.isEmpty():
             return found
         checked = first.select("a", "b")
         for turn in range(TURNS):  # other centres join most of what the first ones left apart, before all pairs are taken
-            drawn = stored(self._drawn(components(found), turn).join(checked.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
+            drawn = stored(self._drawn(self.labels, turn).join(checked.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
             if drawn.isEmpty():
                 break
-            found = stored(found.unionByName(self.verified(drawn).where("linked").select("a", "b")), "ngram-links")
-            checked = checked.unionByName(drawn)
-        more = self._unchecked(components(found), rare).join(checked.hint("merge"), ["a", "b"], "left_anti")
-        more = stored(more, "ngram-pairs")
-        return found if more.isEmpty() else stored(found.unionByName(self.verified(more).where("linked").select("a", "b")), "ngram-links")
+            found, checked = self._joined(found, drawn), checked.unionByName(drawn)
+        more = stored(self._unchecked(self.labels, rare).join(checked.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
+        return found if more.isEmpty() else self._joined(found, more)
+
+    def _joined(self, found: DataFrame, pairs: DataFrame) -> DataFrame:
+        """found with the links among the pairs, which join the components that they lie between."""
+        links = self.verified(pairs).where("linked").select("a", "b")
+        if not links.isEmpty():
+            self.labels = merged(self.labels, links)
+        return found.unionByName(links)
 
     def labelled(self) -> DataFrame:
         """Every row's doc_id, k1, k2, n and first: of its component's rows the first, null for empty sets."""
-        labels = components(self.links())
-        firsts = self.classes.select("cid", "c1", "c2", "first").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        self.links()
+        firsts = self.classes.select("cid", "c1", "c2", "first").join(self.labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         smallest = firsts.groupBy("label").agg(F.min("first").alias("least"))
         named = stored(firsts.join(smallest, "label").select("c1", "c2", F.col("least").alias("first")), "ngram-components", [self.common])
         full = self.members.where("n > 0").select("doc_id", "k1", "k2", "n", "c1", "c2").join(named.hint("merge"), ["c1", "c2"]).select("doc_id", "k1", "k2", "n", "first")
@@ -314,33 +320,38 @@ class NgramJoin:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cid, label): the smallest id of each node's component, by alternating large and small stars until nothing changes
+    """(cid, label): the smallest id of each node's component, by alternating large and small stars until all are stars
     (Kiveris et al. 2014); each round's tables replace those of the round before."""
 
-    def star(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame) -> DataFrame:
         """Each node's neighbours with the smallest of them and the node."""
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
         return pairs.join(least.hint("merge"), "u").withColumn("m", F.least("u", "m"))
 
-    def smallest(pairs: DataFrame) -> DataFrame:
-        return stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "star")
-
-    def state(frame: DataFrame):
-        return frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def settled(pairs: DataFrame) -> bool:
+        """Whether each node points at one that points nowhere."""
+        ends = pairs.select(F.col("v").alias("u")).distinct().withColumn("far", F.lit(True))
+        return pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(ends, "u", "left").where("n > 1 OR far").isEmpty()
 
     pairs = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "star")
-    before, after = None, state(pairs)
-    while after[0] and after != before:
-        before = after
-        both = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star", [pairs])
-        least = smallest(both)
-        large = stored(star(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "star", [both, least])
-        least = smallest(large)
-        small = star(large, least)
-        pairs = stored(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct(), "star", [large, least])
-        after = state(pairs)
+    while not settled(pairs):
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = stored(star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "star", [pairs])
+        small = star(large)
+        pairs = stored(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct(), "star", [large])
     return pairs.select(F.col("u").alias("cid"), F.col("v").alias("label")).unionByName(pairs.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored labels(cid, label) with further links(a, b): the components of the labels that the links lie between. Nodes without a label
+    are their own."""
+    for side in "ab":
+        links = links.join(labels.select(F.col("cid").alias(side), F.col("label").alias(f"l{side}")).hint("merge"), side, "left").withColumn(side, F.coalesce(f"l{side}", side)).drop(f"l{side}")
+    over = stored(components(links.select("a", "b")), "ngram-merged")
+    moved = labels.join(over.select(F.col("cid").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left").select("cid", F.coalesce("to", "label").alias("label"))
+    return stored(moved.unionByName(over.join(labels.select("cid").hint("merge"), "cid", "left_anti").select("cid", "label")), "ngram-labels")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     return NgramJoin(docs, words, percent, text_col, id_col).components()
 
