@@ -125,10 +125,10 @@ def slowness(incidence: DataFrame, times: DataFrame, cells: DataFrame, start: fl
     return found.select("cell_id", (F.col("x") + start).alias("slowness"), "residual")
 
 
-def velocities(incidence: DataFrame, times: DataFrame, cells: DataFrame, start: float, damping: float, smoothing: float, outer: int = 5, tolerance: float = 1e-8, change: float = 1e-6) -> DataFrame:
+def velocities(incidence: DataFrame, times: DataFrame, cells: DataFrame, start: float, damping: float, smoothing: float, outer: int = 5, tolerance: float = 1e-8, change: float = 1e-6, rounds: int | None = None) -> DataFrame:
     """(cell_id, velocity, misfit, rounds) by Gauss-Newton rounds: travel times are made anew from the last velocities, their
-    derivative by velocity is -length / velocity^2, and each round solves for the step until the largest step is below `change`
-    of the start, or `outer` rounds are done. misfit is the root mean square of what is left of the times."""
+    derivative by velocity is -length / velocity^2, and each round solves for the step (by `rounds` of gradients, or to the tolerance)
+    until the largest step is below `change` of the start, or `outer` rounds are done. misfit is the root mean square of what is left of the times."""
     rough = stored(smoothness(cells, damping, smoothing), "roughness")
     model = stored(cells.select("cell_id", F.lit(float(start)).alias("velocity")), "velocities")
     for done in range(1, outer + 1):
@@ -140,7 +140,7 @@ def velocities(incidence: DataFrame, times: DataFrame, cells: DataFrame, start:
         back = system.smoothed(model.select("cell_id", (F.col("velocity") - start).alias("v"))).withColumnRenamed("v", "back")
         right = cells.select("cell_id").join(system.transposed(late), "cell_id", "left").join(back, "cell_id", "left")
         right = stored(right.select("cell_id", (F.coalesce("v", F.lit(0.0)) - F.coalesce("back", F.lit(0.0))).alias("b")), "right")
-        step = solve(system, right, tolerance)
+        step = solve(system, right, tolerance, rounds)
         system.close()
         model = stored(model.join(step, "cell_id").select("cell_id", (F.col("velocity") + F.col("x")).alias("velocity"), F.abs("x").alias("step")), "velocities")
         if model.agg(F.max("step")).first()[0] <= change * start:

@@ -30,34 +30,67 @@ START, DAMPING, SMOOTHING, ROUNDS = 0.25, 50.0, 20.0, 5
 TRUE = "(0.2 + (7 * ix + 3 * iy) % 5 * 0.025)"
 
 
-def _gradients_sql() -> str:
-    """Rounds of conjugate gradients, each from the state before: s(c, x, r, p), the product ap, and its sums."""
-    product = "SELECT c, sum(v) AS ap FROM (SELECT n.c, n.l * q.v AS v FROM n JOIN q{k} q ON q.ray = n.ray UNION ALL SELECT h.i, h.h * s.{of} FROM h JOIN s{k} s ON s.c = h.j) GROUP BY c"
-    along = "SELECT n.ray, sum(n.l * s.{of}) AS v FROM n JOIN s{k} s ON s.c = n.c GROUP BY n.ray"
-    steps = ["s0 AS MATERIALIZED (SELECT c, 0.0::DOUBLE AS x, b AS r, b AS p FROM b)"]
-    for k in range(ROUNDS):
-        steps.append(f"q{k} AS MATERIALIZED ({along.format(k=k, of='p')})")
-        steps.append(f"a{k} AS MATERIALIZED (SELECT s.*, ap FROM s{k} s JOIN ({product.format(k=k, of='p')}) USING (c))")
-        steps.append(f"d{k} AS MATERIALIZED (SELECT al, (rr - 2 * al * rap + al * al * apap) / rr AS be FROM (SELECT sum(r * p) / sum(p * ap) AS al, sum(r * r) AS rr, sum(r * ap) AS rap, sum(ap * ap) AS apap FROM a{k}))")
-        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT c, x + al * p AS x, r - al * ap AS r, r - al * ap + be * p AS p FROM a{k}, d{k})")
-    last = ROUNDS
-    steps.append(f"q{last} AS MATERIALIZED ({along.format(k=last, of='x')})")
-    steps.append(f"e AS (SELECT sqrt(sum((b - ap) ^ 2) / sum(b ^ 2)) AS residual FROM b JOIN ({product.format(k=last, of='x')}) USING (c))")
-    return ",\n".join(steps)
+def _gradients_sql(rounds: int, n: str = "n", p: str = "") -> list[str]:
+    """Rounds of conjugate gradients for the matrix n and the right side b, each from the state before: s(c, x, r, p), the product ap, and its
+    sums. p parts the names of several solutions."""
+    product = f"SELECT c, sum(v) AS ap FROM (SELECT n.c, n.l * q.v AS v FROM {n} n JOIN {{q}} q ON q.ray = n.ray UNION ALL SELECT h.i, h.h * s.{{of}} FROM h JOIN {{s}} s ON s.c = h.j) GROUP BY c"
+    along = f"SELECT n.ray, sum(n.l * s.{{of}}) AS v FROM {n} n JOIN {{s}} s ON s.c = n.c GROUP BY n.ray"
+    steps = [f"{p}s0 AS MATERIALIZED (SELECT c, 0.0::DOUBLE AS x, b AS r, b AS p FROM {p}b)"]
+    for k in range(rounds):
+        names = {"s": f"{p}s{k}", "q": f"{p}q{k}", "of": "p"}
+        steps.append(f"{p}q{k} AS MATERIALIZED ({along.format(**names)})")
+        steps.append(f"{p}a{k} AS MATERIALIZED (SELECT s.*, ap FROM {p}s{k} s JOIN ({product.format(**names)}) USING (c))")
+        steps.append(f"{p}d{k} AS MATERIALIZED (SELECT al, (rr - 2 * al * rap + al * al * apap) / rr AS be FROM (SELECT sum(r * p) / sum(p * ap) AS al, sum(r * r) AS rr, sum(r * ap) AS rap, sum(ap * ap) AS apap FROM {p}a{k}))")
+        steps.append(f"{p}s{k + 1} AS MATERIALIZED (SELECT c, x + al * p AS x, r - al * ap AS r, r - al * ap + be * p AS p FROM {p}a{k}, {p}d{k})")
+    names = {"s": f"{p}s{rounds}", "q": f"{p}q{rounds}", "of": "x"}
+    steps.append(f"{p}q{rounds} AS MATERIALIZED ({along.format(**names)})")
+    steps.append(f"{p}e AS (SELECT sqrt(sum((b - ap) ^ 2) / sum(b ^ 2)) AS residual FROM {p}b JOIN ({product.format(**names)}) USING (c))")
+    return steps
 
 
-@query(f"""WITH {WAYS}, n AS MATERIALIZED (SELECT ray, ix * 1000 + iy AS c, sum(l) AS l FROM g GROUP BY ALL), u AS MATERIALIZED (SELECT ix * 1000 + iy AS c, ix, iy, {TRUE} AS s FROM g GROUP BY ix, iy),
+GRID = f"""{WAYS}, n AS MATERIALIZED (SELECT ray, ix * 1000 + iy AS c, sum(l) AS l FROM g GROUP BY ALL), u AS MATERIALIZED (SELECT ix * 1000 + iy AS c, ix, iy, {TRUE} AS s FROM g GROUP BY ix, iy),
 e0 AS (SELECT a.c AS i, b.c AS j, 1.0::DOUBLE AS l FROM u a JOIN u b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1), la AS MATERIALIZED (SELECT * FROM e0 UNION ALL SELECT i, i, -sum(l) FROM e0 GROUP BY i),
-h AS MATERIALIZED (SELECT i, j, sum(h) AS h FROM (SELECT a.i, b.j, {SMOOTHING} * a.l * b.l AS h FROM la a JOIN la b ON a.j = b.i UNION ALL SELECT c, c, {DAMPING} FROM u) GROUP BY i, j),
+h AS MATERIALIZED (SELECT i, j, sum(h) AS h FROM (SELECT a.i, b.j, {SMOOTHING} * a.l * b.l AS h FROM la a JOIN la b ON a.j = b.i UNION ALL SELECT c, c, {DAMPING} FROM u) GROUP BY i, j)"""
+
+
+def _problem(spark, d):
+    """Cells, lengths and travel times."""
+    lengths = tomography.traverse(_rays(spark, d), 5.0).withColumn("cell_id", F.col("ix") * 1000 + F.col("iy"))
+    times = lengths.groupBy("ray_id").agg(F.sum(F.col("length") * F.expr(TRUE.replace("0.2 +", "0.2D +").replace("0.025", "0.025D"))).alias("t"))
+    return lengths.select("cell_id", "ix", "iy").distinct(), lengths.groupBy("ray_id", "cell_id").agg(F.sum("length").alias("length")), times
+
+
+@query(f"""WITH {GRID},
 t AS (SELECT ray, sum(n.l * (u.s - {START})) AS v FROM n JOIN u USING (c) GROUP BY ray), b AS MATERIALIZED (SELECT n.c, sum(n.l * t.v) AS b FROM n JOIN t USING (ray) GROUP BY n.c),
-{_gradients_sql()}
+{", ".join(_gradients_sql(ROUNDS))}
 SELECT c AS cell_id, round(x + {START}, 6) AS slowness, round(residual, 4) AS residual FROM s{ROUNDS}, e""")
 def tomography_slowness(spark, d):
     """Slowness from exact ray lengths and travel times, damped and smoothed in two dimensions, after some rounds of conjugate gradients,
     with the residual that they leave."""
-    lengths = tomography.traverse(_rays(spark, d), 5.0).withColumn("cell_id", F.col("ix") * 1000 + F.col("iy"))
-    cells = lengths.select("cell_id", "ix", "iy").distinct()
-    incidence = lengths.groupBy("ray_id", "cell_id").agg(F.sum("length").alias("length"))
-    times = lengths.groupBy("ray_id").agg(F.sum(F.col("length") * F.expr(TRUE.replace("0.2 +", "0.2D +").replace("0.025", "0.025D"))).alias("t"))
+    cells, incidence, times = _problem(spark, d)
     found = tomography.slowness(incidence, times, cells, START, DAMPING, SMOOTHING, rounds=ROUNDS)
     return found.select("cell_id", F.round("slowness", 6).alias("slowness"), F.round("residual", 4).alias("residual"))
+
+
+#: Gauss-Newton rounds from a velocity of 4, and rounds of gradients in each.
+OUTER, INNER, V0 = 2, 4, 4.0
+
+
+def _newton_sql() -> str:
+    steps = [f"v0 AS MATERIALIZED (SELECT c, {V0}::DOUBLE AS v FROM u)", "t AS MATERIALIZED (SELECT ray, sum(n.l * u.s) AS t FROM n JOIN u USING (c) GROUP BY ray)"]
+    for k in range(OUTER):
+        steps.append(f"j{k} AS MATERIALIZED (SELECT n.ray, n.c, -n.l / (v * v) AS l FROM n JOIN v{k} USING (c))")
+        steps.append(f"l{k} AS MATERIALIZED (SELECT ray, any_value(t.t) - sum(n.l / v) AS v FROM n JOIN v{k} USING (c) JOIN t USING (ray) GROUP BY ray)")
+        steps.append(f"k{k}_b AS MATERIALIZED (SELECT c, sum(b) AS b FROM (SELECT j.c, j.l * l.v AS b FROM j{k} j JOIN l{k} l USING (ray) UNION ALL SELECT h.i, -h.h * (v - {V0}) FROM h JOIN v{k} ON v{k}.c = h.j) GROUP BY c)")
+        steps += [x for x in _gradients_sql(INNER, f"j{k}", f"k{k}_") if not x.startswith((f"k{k}_e ", f"k{k}_q{INNER} "))]
+        steps.append(f"v{k + 1} AS MATERIALIZED (SELECT c, v + x AS v FROM v{k} JOIN k{k}_s{INNER} USING (c))")
+    steps.append(f"m AS (SELECT sqrt(avg(d * d)) AS misfit FROM (SELECT any_value(t.t) - sum(n.l / v) AS d FROM n JOIN v{OUTER} USING (c) JOIN t USING (ray) GROUP BY ray))")
+    return ",\n".join(steps)
+
+
+@query(f"WITH {GRID}, {_newton_sql()} SELECT c AS cell_id, round(v, 5) AS velocity, round(misfit, 5) AS misfit, {OUTER} AS rounds FROM v{OUTER}, m")
+def tomography_velocity(spark, d):
+    """Velocities by Gauss-Newton rounds, each with travel times and derivatives made anew."""
+    cells, incidence, times = _problem(spark, d)
+    found = tomography.velocities(incidence, times, cells, V0, DAMPING, SMOOTHING, outer=OUTER, change=0.0, rounds=INNER)
+    return found.select("cell_id", F.round("velocity", 5).alias("velocity"), F.round("misfit", 5).alias("misfit"), "rounds")
