@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
+
 
 def row_index(df: DataFrame, *order: str, name: str = "row", start: int = 1) -> DataFrame:
     """Consecutive numbers in the given order without a global window: rows are cut into ranges of the first column at fixed
@@ -38,10 +40,12 @@ def line_frequency(df: DataFrame, value: Column) -> DataFrame:
 
 
 def collapse_adjacent(df: DataFrame, value: str, order: str, *group: str) -> DataFrame:
-    """Keeps a row if its value differs from the row before it in its group; not distinct()."""
-    w = Window.partitionBy(*group).orderBy(order)
-    before, first = F.lag(value).over(w), F.row_number().over(w) == 1
-    return df.withColumn("_new", first | ~F.col(value).eqNullSafe(before)).where("_new").drop("_new")
+    """Keeps a row if its value differs from the row before it in its group; not distinct(). Groups are numbered in ranges and cut into
+    bins, and a bin's first row meets the last one of the bin before, so that no task holds a whole group."""
+    grouped = df.withColumn("_group", F.to_json(F.struct(*group)) if group else F.lit(""))  # a null is told from an empty text
+    before = {"_before": F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("_group", "_bin").orderBy("_number"))}
+    met = segments.framed(segments.numbered(grouped, "_group", order, "_number"), "_group", "_number", 1, before)
+    return met.where(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.v"))).drop("_before", "_number", "_group")
 
 
 def fields(value: Column, *places: int) -> list[Column]:

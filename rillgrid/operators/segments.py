@@ -34,6 +34,14 @@ def numbered(df: DataFrame, channel: str, order: str, name: str = "n") -> DataFr
     return met.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_part", "_within", "_before", "_c", "_p")
 
 
+def following(df: DataFrame, channel: str, order: str) -> DataFrame:
+    """(a, b): each row's order column with that of the next row of its channel, by their numbers; the last has no pair. Rows without a
+    channel count as one, as in numbered()."""
+    n = numbered(df.select(channel, order), channel, order, "_n")
+    one, two = n.select(F.col(channel).alias("_c"), F.col(order).alias("a"), "_n"), n.select(F.col(channel).alias("_d"), F.col(order).alias("b"), (F.col("_n") - 1).alias("_m"))
+    return one.join(two, F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_n") == F.col("_m"))).select("a", "b")
+
+
 def framed(df: DataFrame, channel: str, n: str, half: int, columns: dict[str, Column], bin_size: int = BIN) -> DataFrame:
     """df with columns worked out over frame(channel, n, half): each row's neighbours up to `half` before and after it. n counts from 1
     without gaps. Channels are cut into bins; rows near a border are sent to the next bin too and serve there as neighbours only."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import jobs, lines, scoring, signal
+from ..operators import jobs, lines, scoring, segments, signal
 from ..streaming import follow
 from . import batch, correlations, inversion, records, traces  # noqa: F401
 from .registry import QUERIES, SQL, query, read
@@ -178,8 +178,7 @@ def pair_list(spark, d):
 def _next_pairs(spark, d):
     """Each trace with the next of its group: one pair a trace."""
     traces = read(spark, d, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return traces, traces.select(F.col("vec_id").alias("a"), F.lead("vec_id").over(w).alias("b")).where("b IS NOT NULL")
+    return traces, segments.following(traces, "label", "vec_id")
 
 
 CCS = """p AS (SELECT vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),

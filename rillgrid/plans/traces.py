@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import pairs, signal
+from ..operators import pairs, segments, signal
 from .registry import query, read
 
 S = "s AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings)"
@@ -29,7 +28,7 @@ def _rows(df, *columns):
 
 
 def _next(traces):
-    return traces.withColumn("b", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))).where("b IS NOT NULL").select(F.col("vec_id").alias("a"), "b")
+    return segments.following(traces, "label", "vec_id")
 
 
 def _both(traces, pairs):

@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from rillgrid.operators import dispersion, monitoring, prepare, segments, signal, transfer
+from rillgrid.operators import dispersion, lines, monitoring, prepare, segments, signal, transfer
 from rillgrid.sources import synthetic
 
 
@@ -131,3 +131,12 @@ def test_the_chain_is_its_steps(spark):
             assert np.allclose(got[k, d], signal._whiten(z[None, :])[0])
     bits = prepare.prepared_days(df, "data", 20, 0.05, 0.3, 3, normal=prepare.one_bit).count()
     assert bits == 6
+
+
+def test_neighbours_of_a_group_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(segments.framed, "__defaults__", (8,))
+    rows = [("a", i, "xxy"[i // 3 % 3]) for i in range(60)] + [(None, i, None if i % 4 < 2 else "z") for i in range(9)] + [("", 1, "x")]
+    df = spark.createDataFrame(rows, "g string, o long, v string")
+    want = sorted((g or "-", o) for i, (g, o, v) in enumerate(rows) if i == 0 or rows[i - 1][0] != g or rows[i - 1][2] != v)
+    assert sorted((r.g or "-", r.o) for r in lines.collapse_adjacent(df, "v", "o", "g").collect()) == want
+    assert sorted(map(tuple, segments.following(df, "g", "o").collect())) == sorted([(i, i + 1) for i in range(59)] + [(i, i + 1) for i in range(8)])
