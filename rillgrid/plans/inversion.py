@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tomography
+from ..sources.steps import stored
 from .registry import query, read
 
 RAYS = "r AS (SELECT l_orderkey AS ray, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) / 2000 AS y0, max(l_extendedprice) / 2000 AS y1 FROM lineitem GROUP BY 1)"
@@ -55,7 +56,7 @@ h AS MATERIALIZED (SELECT i, j, sum(h) AS h FROM (SELECT a.i, b.j, {SMOOTHING} *
 
 def _problem(spark, d):
     """Cells, lengths and travel times."""
-    lengths = tomography.traverse(_rays(spark, d), 5.0).withColumn("cell_id", F.col("ix") * 1000 + F.col("iy"))
+    lengths = stored(tomography.traverse(_rays(spark, d), 5.0).withColumn("cell_id", F.col("ix") * 1000 + F.col("iy")), "ray-lengths")
     times = lengths.groupBy("ray_id").agg(F.sum(F.col("length") * F.expr(TRUE.replace("0.2 +", "0.2D +").replace("0.025", "0.025D"))).alias("t"))
     return lengths.select("cell_id", "ix", "iy").distinct(), lengths.groupBy("ray_id", "cell_id").agg(F.sum("length").alias("length")), times
 
