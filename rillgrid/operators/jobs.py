@@ -50,16 +50,18 @@ def task_parameters(tasks: DataFrame, values: list[float], index: str = "task_id
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(job_id, level): the longest chain of dependencies before each job of an acyclic graph. Each round moves a frontier one
-    edge on, one row a job, and stores it. A cycle is an error: then some level reaches the number of jobs."""
+    edge on, one row a job, and stores it. Edges are stored once and joined by merging, so no table of jobs passes through the driver.
+    A cycle is an error: then some level reaches the number of jobs."""
     jobs_, done = nodes.count(), 0
-    frontier = stored(nodes.join(edges, nodes["job_id"] == edges["job_id"], "left_anti").select("job_id", F.lit(0).alias("level")), "job-levels")
+    onward = stored(edges.select("depends_on", F.col("job_id").alias("next")), "job-edges")
+    first = nodes.join(onward.hint("merge"), F.col("job_id") == F.col("next"), "left_anti")
+    frontier = stored(first.select("job_id", F.lit(0).alias("level")), "job-levels")
     rounds = [frontier]
-    onward = edges.select("depends_on", F.col("job_id").alias("next"))
     while not frontier.isEmpty():
         done += 1
         if done > jobs_:
             raise ValueError("the dependencies have a cycle")
-        moved = frontier.join(onward, F.col("depends_on") == F.col("job_id"))
+        moved = frontier.hint("merge").join(onward, F.col("depends_on") == F.col("job_id"))
         frontier = stored(moved.select(F.col("next").alias("job_id"), (F.col("level") + 1).alias("level")).distinct(), "job-levels")
         rounds.append(frontier)
         if len(rounds) > 50:  # a long chain makes many small tables: keep each job's last level so far

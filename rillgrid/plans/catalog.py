@@ -101,7 +101,7 @@ def array_expand(spark, d):
 def dag_levels(spark, d):
     nodes = read(spark, d, "part").select(F.col("p_partkey").alias("job_id"))
     edges = nodes.where("job_id >= 2").select("job_id", F.floor(F.col("job_id") / 2).cast("long").alias("depends_on"))
-    return jobs.levels(nodes, edges.join(nodes.select(F.col("job_id").alias("depends_on")), "depends_on", "left_semi"))
+    return jobs.levels(nodes, edges.join(nodes.select(F.col("job_id").alias("depends_on")).hint("merge"), "depends_on", "left_semi"))
 
 
 @query("SELECT o_orderkey, bool_and(l_linestatus = 'F') AS ready, count(*) AS n_tasks FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
