@@ -24,7 +24,12 @@ def numbered(df: DataFrame, channel: str, order: str, name: str = "n") -> DataFr
     bounds = sorted(((r.low.c, r.low.o) for r in found.collect() if r.low.c is not None and r.low.o is not None))
     kinds = dict(df.dtypes)
     lit = lambda v, c: F.lit(v).cast(kinds[c])
-    at = F.size(F.filter(F.array(*[F.struct(lit(c, channel).alias("c"), lit(o, order).alias("o")) for c, o in bounds]), lambda b: b <= place)) if bounds else F.lit(0)
+    at = F.lit(0)
+    if bounds:  # how many bounds are not after it: by halves, since a row that meets every bound costs as much as there are partitions
+        ordered = F.sort_array(F.array(*[F.struct(lit(c, channel).alias("c"), lit(o, order).alias("o")) for c, o in bounds]))
+        jumps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+        past = lambda k, jump: (k + jump <= len(bounds)) & (F.get(ordered, k + jump - 1) <= place)
+        at = F.aggregate(jumps, F.lit(0), lambda k, jump: F.when(past(k, jump), k + jump).otherwise(k))
     cut = df.withColumn("_part", at)
     counts = cut.groupBy(channel, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(channel).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
