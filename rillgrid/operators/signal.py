@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import exact_mean
 from ..sources.steps import stored
+from .pairs import TILE, dealt, meetings
 from .segments import frame, framed, numbered
+from .tomography import spread
 
 
 def _with(df: DataFrame, channel: str, **sums: Column) -> DataFrame:
@@ -58,9 +60,14 @@ def running_absolute_mean(df: DataFrame, channel: str, order: str, x: str, half:
 
 
 def pairs(stations: DataFrame, key: str, group: str) -> DataFrame:
-    """Unordered pairs within a group, as (a, b, group): an equi-join on the group."""
-    a, b = stations.select(F.col(key).alias("a"), group), stations.select(F.col(key).alias("b"), group)
-    return a.join(b, group).where("a < b")
+    """Unordered pairs within a group, as (group, a, b): keys are dealt into tiles as in `pairs`, and each pair of tiles meets once under a
+    key of its own, so that a few large groups spread over many tasks. Rows whose key or group is null drop out."""
+    rows = stations.select(F.col(group).alias("group"), F.col(key).alias("key"), F.array(F.lit(0.0)).alias("x")).dropna()
+    whole = dealt(rows, TILE).groupBy("group", "tile", "tiles", "length", "n").agg(F.array_sort(F.collect_list("key")).alias("members"))
+    met = meetings(whole).select("group", "i", "j", "a", "b")
+    both = met.select("group", "i", "j", F.explode("a").alias("a"), "b").select("group", "i", "j", "a", F.explode("b").alias("b"))
+    each = both.where((F.col("a") < F.col("b")) | (F.col("i") < F.col("j")) & (F.col("a") > F.col("b")))
+    return each.select(F.col("group").alias(group), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def correlate(a: Column, b: Column, lag: Column) -> Column:
@@ -276,10 +283,20 @@ def travel_times(incidence: DataFrame, grid: DataFrame) -> DataFrame:
     return incidence.join(grid, "cell_id").groupBy("ray_id").agg(F.sum(F.col("length") / F.col("velocity")).alias("t"))
 
 
+#: Products that a task of normal_matrix() adds up: what it holds is bounded by that, not by the input.
+PRODUCTS = 1 << 20
+
+
 def normal_matrix(incidence: DataFrame) -> DataFrame:
-    """(i, j, g): the entries of G'G with i <= j, by a self-join on the ray."""
+    """(i, j, g): the entries of G'G with i <= j, by a self-join on the ray, and as many tasks as the products need at PRODUCTS each."""
     a, b = incidence.select("ray_id", F.col("cell_id").alias("i"), F.col("length").alias("p")), incidence.select("ray_id", F.col("cell_id").alias("j"), F.col("length").alias("q"))
-    return a.join(b, "ray_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("g"))
+    n = F.count(F.lit(1))
+    entries = incidence.groupBy("ray_id").agg(n.alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") + 1) / 2)).first()
+    least = int(incidence.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda rows: max(least, math.ceil((rows or 0) / PRODUCTS))
+    by_ray = lambda df: df.repartition(parts(entries[0]), "ray_id")
+    products = by_ray(a).join(by_ray(b).hint("merge"), "ray_id").where("i <= j").select("i", "j", (F.col("p") * F.col("q")).alias("g"))
+    return products.repartition(parts(entries[1]), "i", "j").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 # windows, selection and quality
@@ -436,11 +453,12 @@ def transfer_residuals(values: DataFrame, pair: str, window: str, t: str, g: str
 
 
 def ray_cells(rays: DataFrame, size: float, steps: int) -> DataFrame:
-    """(ray_id, ix, iy, length) of rays(ray_id, x0, y0, x1, y1): each ray as `steps` equal parts, in the cells of their middles."""
+    """(ray_id, ix, iy, length) of rays(ray_id, x0, y0, x1, y1): each ray as `steps` equal parts, in the cells of their middles. Rays are dealt
+    in bounded numbers, and their parts are put together where they are."""
     part = (F.col("i") + 0.5) / steps
     at = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * part) / size).cast("long")
     length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2) / steps
-    parts = rays.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    parts = spread(rays).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     return parts.select("ray_id", at("x0", "x1").alias("ix"), at("y0", "y1").alias("iy"), length.alias("_l")).groupBy("ray_id", "ix", "iy").agg(F.sum("_l").alias("length"))
 
 
