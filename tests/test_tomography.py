@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillgrid.operators import tomography
+from rillgrid.operators import signal, tomography
 from rillgrid.sources import synthetic
 
 
@@ -90,3 +90,35 @@ def test_cells_without_rays_and_no_rays(spark):
     assert abs(got[0] - 0.5) < 1e-3 and abs(got[1] - 0.5) < 1e-2 and got[2] == pytest.approx(0.25)
     none = tomography.slowness(incidence.limit(0), times.limit(0), cells, 0.25, 1.0, 1.0).collect()
     assert {r.slowness for r in none} == {0.25} and {r.residual for r in none} == {0.0}
+
+
+def test_a_wide_grid_by_joins_gives_the_same(spark, monkeypatch):
+    nx, ny = 5, 4
+    _, rays = rays_of(spark, 40, nx, ny, seed=5)
+    cells, incidence, g, _ = dense(spark, nx, ny, rays)
+    times = spark.createDataFrame([(i, float(t)) for i, t in enumerate(g.sum(axis=1) * 0.3)][:35], "ray_id long, t double")
+    made = []
+    for most in (tomography.CELLS, 0):
+        monkeypatch.setattr(tomography, "CELLS", most)
+        slow = tomography.slowness(incidence, times, cells, 0.25, 0.1, 0.05, rounds=3).orderBy("cell_id").collect()
+        fast = tomography.velocities(incidence, times, cells, 3.0, 0.1, 0.05, outer=2, change=0.0, rounds=2).orderBy("cell_id").collect()
+        made.append(np.array([[a.slowness, a.residual, b.velocity, b.misfit] for a, b in zip(slow, fast)]))
+    assert np.abs(made[0] - made[1]).max() < 1e-9
+
+
+def test_a_round_shuffles_cells_and_not_rays(spark):
+    """Each task hands on at most a row a cell; it was a row a ray and cell."""
+    _, rays = rays_of(spark, 4000, 4, 3, seed=6)
+    cells, incidence, _, _ = dense(spark, 4, 3, rays)
+    held = tomography.with_times(incidence, rays.select("ray_id", F.lit(1.0).alias("t")))
+    system = tomography.RaySystem(held, cells, tomography.smoothness(cells, 1.0, 1.0))
+    assert system.passed(np.ones(12), False).count() <= held.rdd.getNumPartitions() * 13
+
+
+def test_a_task_has_a_bounded_number_of_rays(spark, monkeypatch):
+    """More rays, more tasks, and a ray's cells are summed where they are."""
+    monkeypatch.setattr(tomography, "RAYS", 50)
+    _, rays = rays_of(spark, 1000, 4, 3)
+    for made in (tomography.traverse(rays, 1.0).groupBy("ray_id", "ix", "iy").agg(F.sum("length")), signal.ray_cells(rays, 1.0, 32)):
+        assert made.rdd.getNumPartitions() == 20
+        assert "ENSURE_REQUIREMENTS" not in made._jdf.queryExecution().executedPlan().toString()
