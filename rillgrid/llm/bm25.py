@@ -3,16 +3,18 @@
 Terms are words (ASCII letters in lower case, parted by blanks and ASCII punctuation) as 64-bit hashes. The documents are split once,
 into a stored table of each one's terms and counts. Global statistics come from it: the number of documents, their mean
 length and each term's document frequency. Each task then indexes its documents in shards of SHARD_TERMS postings: postings hold a
-term's impact in a document; documents are numbered by length, and for the CROWDED longest lists the impacts also stand in a row a
-document, with the highest impact of each block of BLOCK_DOCS documents.
-
-Pruning is that of block-max WAND, with the pivot taken once a query and shard. A query comes with a score that k documents reach for
-sure: the k-th best of a sample of SAMPLE_DOCS documents, then of all shards that the task has done. Crowded terms whose highest
-impacts together stay below PIVOT of that score cannot lift a document on their own, so the lists of the other terms say which documents
-come into question. Of these a document stays where its sum so far and its block's maxima of the crowded terms reach the
-score; only then its impacts of the crowded terms are added. Sums are in single precision with a margin of MARGIN; documents
-that reach the score within it are scored again from their own terms, always in the same order, so results are those of
-scoring everything, and equal documents have equal scores. A task keeps the k best of its shards for each query, and tasks' lists are merged.
+term's impact in a document. A shard's documents are put into groups that share common terms (languages, mostly), by length within
+them. The CROWDED longest lists of each group are a matrix, a row a document, with the highest impact of each block of BLOCK_DOCS
+documents; only the other postings stay in lists.
+
+Pruning is that of block-max WAND, with the pivot taken once a query and group: the crowded terms. A query comes with a score that k
+documents reach for sure: the k-th best of a sample, then of all shards that the task has done. The lists of the other terms are added
+up; a block is left out where its highest sum and its maxima of the crowded terms together stay below that score. Where they reach it,
+the block's rows are multiplied with all queries that need it at once. Sums are in single precision and steps of STEP, rounded up, with
+a margin of MARGIN; documents that reach the score within it are scored again from their own terms, always in the same order, so
+results are those of scoring everything, and equal documents have equal scores. A task keeps the k best of its shards for each query,
+and tasks' lists are merged. The sample grows with the root of the documents, so that it costs little and a task finds few documents
+beyond the k best.
 
 score = sum over the query's words (repeats count) of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)).
 Equal scores go by the smaller id, ids before none.
@@ -27,6 +29,9 @@ found each; an empty table gives an empty result; other columns are ignored. Tex
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -38,11 +43,16 @@ from .shingles import batches_of, word_hashes
 from .toxicity import PARTS
 
 K1, B, K = 1.2, 0.75, 10
-SHARD_TERMS, QUERY_BYTES = 1 << 20, 16 << 20
-BLOCK_DOCS, CROWDED, PIVOT, MARGIN = 64, 300, 0.6, 1e-5
-#: Queries that look at the block maxima together, and lists from which on a slice is cheaper than its places.
-TOGETHER, SLICE = 8, 24
-SAMPLE_DOCS, SAMPLE_PARTS = 8192, 6
+SHARD_TERMS, QUERY_BYTES = 1 << 20, 32 << 20
+#: A shard's documents, places of documents filled up to whole blocks, are numbers of 16 bits; impacts are steps of 16 bits.
+MOST_DOCS, STEP = 1 << 15, (K1 + 1) / 65535
+BLOCK_DOCS, CROWDED, MARGIN = 64, 600, 1e-4
+#: Groups of documents of a shard, and the terms that tell them apart.
+GROUPS, COMMON = 4, 64
+#: Queries whose lists are added up together, queries of a slice, which are searched together, and the scores of a slice at most.
+TOGETHER, SLICE, SCORES = 8, 256, 1 << 21
+#: The sample's documents: so many at least, and the root of so many times all documents.
+SAMPLE_DOCS, SAMPLE_ROOT, SAMPLE_PARTS = 8192, 3000, 6
 MERGE_PARTS = 64
 
 
@@ -61,56 +71,95 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _groups(doc: np.ndarray, place: np.ndarray, n: int, common: int) -> np.ndarray:
+    """A group for each of n documents, from which of the shard's most common terms they have (pairs of doc and place of the term), so
+    that those of one language, say, are together. It only saves work."""
+    x = np.zeros((n, common))
+    x[doc, place] = 1
+    x /= np.maximum(1, np.sqrt(x.sum(axis=1)))[:, None]
+    middle = x[np.linspace(0, n - 1, GROUPS).astype(int)]
+    for _ in range(4):
+        group = np.argmax(x @ middle.T, axis=1)
+        middle = np.array([x[group == g].sum(axis=0) for g in range(GROUPS)])
+        middle /= np.maximum(1e-9, np.sqrt((middle**2).sum(axis=1)))[:, None]
+    return np.unique(group, return_inverse=True)[1].astype(np.int8)
+
+
 class Shard:
-    """The index of some documents."""
+    """The index of some documents, at most MOST_DOCS."""
 
     def __init__(self, ids: list, begin: np.ndarray, arrays: list[np.ndarray], mean: float):
         """begin: where each document's terms start, and the end; its terms ascend. arrays: the documents' lengths, and all terms'
         counts and terms; they are taken out, so that nobody holds them any longer."""
         term, tf, length = arrays.pop(), arrays.pop(), arrays.pop()
-        order, size = np.argsort(length, kind="stable"), np.diff(begin)
-        at = _ranges(begin[:-1][order], size[order])
-        term, tf, length, self.n = term[at], tf[at], length[order], len(ids)
-        del at
-        self.begin = np.concatenate([[0], np.cumsum(size[order])])
-        self.ids = [ids[i] for i in order.tolist()]
-        self.key = np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64)
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), size[order])
+        n, self.ids, self.begin = len(ids), ids, begin
+        self.key = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin))
         self.exact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[doc])  # in the order of the documents
-        order = np.argsort(term, kind="stable").astype(np.int32)
-        term, self.doc, self.impact = term[order], doc[order], self.exact[order].astype(np.float32)
+        del tf
+        order = np.argsort(term).astype(np.int32)
+        term, doc, impact = term[order], doc[order], self.exact.astype(np.float32)[order]
         first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-        self.terms, self.first, self.size = term[first], first, np.diff(np.append(first, len(term)))
-        self.slot = np.empty(len(term), np.int32)
-        self.slot[order] = np.repeat(np.arange(len(first), dtype=np.int32), self.size)
-        self.high = np.maximum.reduceat(self.impact, first).astype(np.float64)
-        crowded = np.sort(np.argsort(-self.size, kind="stable")[:CROWDED])
-        self.row = np.full(len(first), -1, np.int32)
-        self.row[crowded] = np.arange(len(crowded))
-        blocks = -(-self.n // BLOCK_DOCS)
-        self.rows = np.zeros((blocks * BLOCK_DOCS, len(crowded)), np.float32)
-        for i, c in enumerate(crowded.tolist()):
-            a, b = self.first[c], self.first[c] + self.size[c]
-            self.rows[self.doc[a:b], i] = self.impact[a:b]
-        self.block_high = self.rows.reshape(blocks, BLOCK_DOCS, len(crowded)).max(axis=1)
-        self.weight = np.zeros(len(first))
+        self.terms, size = term[first], np.diff(np.append(first, len(term)))
+        slot = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        self.slot = np.empty_like(slot)
+        self.slot[order] = slot
+        del term, order
+        self.high, self.weight = np.maximum.reduceat(impact, first).astype(np.float64), np.zeros(len(first))
+        # documents get their places: by groups, by length, each group filled up to whole blocks
+        common = np.argsort(-size, kind="stable")[:COMMON]
+        at = _ranges(first[common], size[common])
+        group = _groups(doc[at], np.repeat(np.arange(len(common)), size[common]), n, len(common))
+        order = np.lexsort((length, group))
+        blocks = -(-np.bincount(group) // BLOCK_DOCS)
+        lows = np.cumsum(blocks) - blocks
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n) + (lows * BLOCK_DOCS - np.cumsum(np.bincount(group)) + np.bincount(group))[group[order]]
+        self.at = np.zeros(blocks.sum() * BLOCK_DOCS, np.int32)
+        self.at[place] = np.arange(n)
+        # the crowded terms of each group as a matrix, the other postings in lists
+        rest, group = np.ones(len(doc), bool), group[doc]
+        self.parts = []
+        for g, (lo, many) in enumerate(zip(lows.tolist(), blocks.tolist())):
+            own = np.flatnonzero(group == g)
+            count = np.bincount(slot[own], minlength=len(first))
+            crowded = np.argpartition(-count, min(CROWDED, len(count) - 1))[:CROWDED]
+            row = np.full(len(first), -1, np.int32)
+            row[crowded] = np.arange(len(crowded))
+            own = own[row[slot[own]] >= 0]
+            rest[own] = False
+            rows = np.zeros((many * BLOCK_DOCS, len(crowded)), np.float32)
+            rows[place[doc[own]] - lo * BLOCK_DOCS, row[slot[own]]] = impact[own]
+            rows = rows.reshape(many, BLOCK_DOCS, len(crowded))
+            self.parts.append((row, lo, rows, rows.max(axis=1)))
+        self.size = np.bincount(slot[rest], minlength=len(first))
+        self.first = np.cumsum(self.size) - self.size
+        self.postings = np.ceil(impact[rest] / STEP).astype(np.uint32) << 16 | place[doc[rest]].astype(np.uint32)
 
     def slots(self, terms: np.ndarray) -> np.ndarray:
-        """The place of each term in the index, or -1."""
-        place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[place] == terms, place, -1)
-
-    def _sums(self, lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The sum of weight * impact of some slots in each document, a row a query."""
-        out = np.empty((len(lists), self.n))
-        for i, (slots, w) in enumerate(lists):
-            lo, n = self.first[slots], self.size[slots]
-            far = n > SLICE
-            ab = list(zip(lo[far].tolist(), (lo[far] + n[far]).tolist()))
-            at = _ranges(lo[~far], n[~far])
-            part = np.repeat(np.concatenate([w[~far], w[far]]), np.concatenate([n[~far], n[far]]))
-            part *= np.concatenate([self.impact[at], *[self.impact[a:b] for a, b in ab]])
-            out[i] = np.bincount(np.concatenate([self.doc[at], *[self.doc[a:b] for a, b in ab]]), weights=part, minlength=self.n)
+        """The place of each term (ascending) in the index, or -1."""
+        out = np.full(len(terms), -1, np.int32)
+        if not len(terms):
+            return out
+        place = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+        here = np.flatnonzero(terms[place] == self.terms)
+        out[place[here]] = here
+        return out
+
+    def _sums(self, begin: list[int], slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The sums of weight * impact over the lists, in each place, a row a query; impacts are rounded up."""
+        out = np.empty((len(begin) - 1, len(self.at)), np.float32)
+        for i in range(0, len(out), TOGETHER):
+            ends = begin[i : i + TOGETHER + 1]
+            some, w = slots[ends[0] : ends[-1]], weights[ends[0] : ends[-1]] * STEP
+            n = self.size[some]
+            found = self.postings[_ranges(self.first[some], n)]
+            part = np.repeat(w, n)
+            part *= found >> 16
+            found &= 0xFFFF
+            cut = np.append(0, np.cumsum(n))[np.array(ends) - ends[0]].tolist()
+            for q, (a, b) in enumerate(zip(cut, cut[1:]), i):
+                out[q] = np.bincount(found[a:b], part[a:b], len(self.at))
         return out
 
     def _exact(self, docs: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -121,42 +170,51 @@ class Shard:
         self.weight[slots] = 0
         return scores
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple]]:
-        """The k best (score, id) of each (slots, weights, least score that counts), best first."""
-        out: list[list[tuple]] = [[] for _ in queries]
-        rests, lists, open_ = [], [], []
-        for i, (slots, weights, least) in enumerate(queries):
-            top = weights * self.high[slots]
-            if not len(slots) or top.sum() < least * (1 - MARGIN):
-                continue
-            crowded = np.flatnonzero(self.row[slots] >= 0)
-            crowded = crowded[np.argsort(top[crowded] / self.size[slots[crowded]])]
-            rest = crowded[: np.searchsorted(np.cumsum(top[crowded]), least * PIVOT)]
-            use = np.ones(len(slots), bool)
-            use[rest] = False
-            open_.append(i)
-            rests.append((self.row[slots[rest]], weights[rest].astype(np.float32)))
-            lists.append((slots[use], weights[use]))
-        if not open_:
-            return out
-        sums = self._sums(lists)
-        wide = np.zeros((len(open_), self.rows.shape[1]), np.float32)
-        for at, (row, w) in enumerate(rests):
-            wide[at, row] = w
-        left = wide @ self.block_high.T
-        for at, i in enumerate(open_):
-            slots, weights, least = queries[i]
-            low = least * (1 - MARGIN)
-            found = np.flatnonzero((sums[at] > 0) & (sums[at] >= np.repeat(low - left[at], BLOCK_DOCS)[: self.n]))
-            if not len(found):
-                continue
-            scores = sums[at, found] + (self.rows[found] @ wide[at] if len(rests[at][0]) else 0.0)
-            if len(scores) > k:
-                low = max(low, np.partition(scores, -k)[-k] * (1 - MARGIN))
-            found = found[scores >= low]
-            scores = self._exact(found, slots, weights)
-            best = np.lexsort((self.key[found], -scores))[:k]
-            out[i] = [(float(scores[j]), self.ids[found[j]]) for j in best.tolist()]
+    def search(self, begin: np.ndarray, slots: np.ndarray, weights: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, list[tuple]]]:
+        """(query, its k best (score, id), best first) of queries whose lists of slots and weights begin there; least: the scores that count."""
+        query = np.repeat(np.arange(len(least)), np.diff(begin))
+        top = np.bincount(query, weights * self.high[slots], len(least))
+        asked = np.flatnonzero((top > 0) & (top >= least * (1 - MARGIN)))
+        if not len(asked):
+            return []
+        if len(asked) < len(least):
+            kept = np.isin(query, asked)
+            slots, weights, least = slots[kept], weights[kept], least[asked]
+            begin = np.append(0, np.cumsum(np.diff(begin)[asked]))
+            query = np.repeat(np.arange(len(asked)), np.diff(begin))
+        low, found = least * (1 - MARGIN), []
+        sums = self._sums(begin.tolist(), slots, weights)
+        over = np.bincount(query, weights, len(asked)) * STEP
+        if len(free := np.flatnonzero(low == 0)) and k <= len(self.key):  # k documents reach what their lists alone add up to
+            low[free] = np.maximum(0, np.partition(sums[free], -k, axis=1)[:, -k] * (1 - MARGIN) - over[free])
+        sums = sums.reshape(len(asked), -1, BLOCK_DOCS)
+        peak = sums.max(axis=2)
+        for row, lo, rows, high in self.parts:
+            row = row[slots]
+            crowded = np.flatnonzero(row >= 0)
+            wide = np.zeros((len(asked), rows.shape[2]), np.float32)
+            wide[query[crowded], row[crowded]] = weights[crowded]
+            reach = wide @ high.T
+            reach += peak[:, lo : lo + len(rows)]
+            reach = (reach > 0) & (reach >= low[:, None])
+            for block in np.flatnonzero(reach.any(axis=0)).tolist():
+                some = np.flatnonzero(reach[:, block])
+                scores = sums[some, lo + block] + wide[some] @ rows[block].T
+                q, d = np.nonzero((scores > 0) & (scores >= low[some, None]))
+                found.append((some[q], (lo + block) * BLOCK_DOCS + d, scores[q, d]))
+        if not found:
+            return []
+        who, place, score = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(who, kind="stable")
+        out = []
+        for q, mine in zip(who[order][np.flatnonzero(np.diff(who[order], prepend=-1))].tolist(), np.split(order, np.flatnonzero(np.diff(who[order])) + 1)):
+            own = slice(begin[q], begin[q + 1])
+            if len(mine) > k:
+                mine = mine[score[mine] >= np.partition(score[mine], -k)[-k] * (1 - 2 * MARGIN) - over[q]]
+            docs = self.at[place[mine]]
+            scores = self._exact(docs, slots[own], weights[own])
+            best = np.lexsort((self.key[docs], -scores))[:k]
+            out.append((int(asked[q]), [(float(scores[j]), self.ids[docs[j]]) for j in best.tolist()]))
         return out
 
 
@@ -198,7 +256,7 @@ def query_terms(queries: DataFrame, stats: DataFrame, documents: int) -> DataFra
 
 
 class Queries:
-    """A block of queries: the distinct lists of terms, as places in the sorted terms of all, and the ids that ask each."""
+    """A block of queries: the distinct lists of terms, as places in the sorted terms of all, one after another, and the ids that ask each."""
 
     def __init__(self, block: pa.Table):
         lists = block.column("terms").combine_chunks()
@@ -208,60 +266,68 @@ class Queries:
         term, weight = np.asarray(flat.field("term")).view(np.uint64), np.asarray(flat.field("weight"))
         self.terms, place = np.unique(term, return_inverse=True)
         own: dict[bytes, int] = {}
-        self.ids, self.lists = [], []
+        self.ids, places, weights = [], [], []
         for i, a, b in zip(block.column("query_id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
-            name = term[a:b].tobytes() + weight[a:b].tobytes()
+            name = hashlib.sha256(term[a:b].tobytes() + weight[a:b].tobytes()).digest()
             if name not in own:
-                own[name] = len(self.lists)
+                own[name] = len(places)
                 order = np.argsort(place[a:b])
-                self.lists.append((place[a:b][order].astype(np.int32), weight[a:b][order]))
+                places.append(place[a:b][order].astype(np.int32))
+                weights.append(weight[a:b][order])
                 self.ids.append([])
             self.ids[own[name]].append(i)
-        self.least = np.zeros(len(self.lists))
+        self.begin = np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int64)
+        self.places, self.weights = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((places, np.int32), (weights, float)))
+        self.least = np.zeros(len(places))
 
 
 def _search(terms: DataFrame, queries: Queries, mean: float, k: int) -> DataFrame:
     """(query: its place in the block, found): the k best of each task's documents."""
-    sent = terms.sparkSession.sparkContext.broadcast((queries.terms, queries.lists, queries.least))
+    sent = terms.sparkSession.sparkContext.broadcast((queries.terms, queries.begin, queries.places, queries.weights, queries.least))
 
     def run(batches):
-        names, lists, given = sent.value
+        names, begin, places, weights, given = sent.value
         least, best = given.copy(), {}
-        parts, held = [], 0
+        parts, waiting, held, docs = [], [], 0, 0
 
-        def flush():
-            if not held:
+        def flush(parts):
+            if not parts:
                 return
-            ids, begin = [i for p in parts for i in p[0]], np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))]).astype(np.int64)
+            ids, lengths = [i for p in parts for i in p[0]], np.concatenate([p[1] for p in parts])
             arrays = [np.concatenate([p[at] for p in parts]) for at in (4, 3, 2)]
             parts.clear()
-            shard = Shard(ids, begin, [arrays.pop(0).astype(np.float64), *(arrays.pop(0) for _ in range(2))], mean)
+            shard = Shard(ids, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), [arrays.pop(0).astype(np.float64), *(arrays.pop(0) for _ in range(2))], mean)
             slots = shard.slots(names)
-            for at in range(0, len(lists), TOGETHER):
-                some = []
-                for q in range(at, min(at + TOGETHER, len(lists))):
-                    place, weight = lists[q]
-                    own = slots[place]
-                    some.append((own[own >= 0], weight[own >= 0], least[q]))
-                for q, found in enumerate(shard.search(some, k), at):
-                    if found:
-                        best[q] = sorted(best.get(q, []) + found, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
-                        if len(best[q]) == k:
-                            least[q] = max(least[q], best[q][-1][0])
+            step = max(1, min(SLICE, SCORES // len(shard.at)))
+            for at in range(0, len(least), step):
+                ends = begin[at : at + step + 1]
+                own = slots[places[ends[0] : ends[-1]]]
+                here = own >= 0
+                ends_here = np.concatenate([[0], np.cumsum(here)])[ends - ends[0]]
+                for q, found in shard.search(ends_here, own[here], weights[ends[0] : ends[-1]][here], least[at : at + step], k):
+                    q += at
+                    best[q] = sorted(best.get(q, []) + found, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
+                    if len(best[q]) == k:
+                        least[q] = max(least[q], best[q][-1][0])
 
             del shard, slots
             give_back()
 
         for batch in batches:
             batch = batch.filter(pa.compute.greater(batch.column("length"), 0))
-            if batch.num_rows:
-                term = np.array(batch.column("terms").flatten()).view(np.uint64)
-                parts.append((batch.column("doc_id").to_pylist(), np.asarray(batch.column("terms").value_lengths()), term, np.array(batch.column("times").flatten()), np.asarray(batch.column("length"))))
+            for at in range(0, batch.num_rows, MOST_DOCS // 8):
+                some = batch.slice(at, MOST_DOCS // 8)
+                term = np.array(some.column("terms").flatten()).view(np.uint64)
+                parts.append((some.column("doc_id").to_pylist(), np.asarray(some.column("terms").value_lengths()), term, np.array(some.column("times").flatten()), np.asarray(some.column("length"))))
                 held += len(term)
-            if held >= 1.5 * SHARD_TERMS:  # else a task of one shard would leave a small second one
-                flush()
-                held = 0
-        flush()
+                docs += some.num_rows
+                if held >= 1.2 * SHARD_TERMS or docs >= MOST_DOCS * 3 // 4:
+                    flush(waiting)
+                    parts, waiting, held, docs = [], parts, 0, 0
+        if held < SHARD_TERMS / 2:  # a small rest makes no shard of its own
+            waiting, parts = waiting + parts, []
+        flush(waiting)
+        flush(parts)
         some = [(q, [{"score": -s, "none": x is None, "doc_id": x} for s, x in b]) for q, b in best.items()]
         for a in range(0, len(some), 1000):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some[a : a + 1000]], pa.int64()), pa.array([x[1] for x in some[a : a + 1000]], pa.list_(pa.struct([("score", pa.float64()), ("none", pa.bool_()), ("doc_id", pa.int64())])))], ["query", "found"])
@@ -286,8 +352,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     passes, lists = max(1, -(-size // QUERY_BYTES)), []
     # small files together make a shard
     shards = terms.coalesce(max(spark.sparkContext.defaultParallelism, -(-postings // SHARD_TERMS)))
-    share = int(2**32 * min(1.0, SAMPLE_DOCS / max(documents, 1)))
-    sample = terms.where(F.pmod(F.xxhash64("terms", "doc_id"), F.lit(2**32)) < share).repartition(SAMPLE_PARTS)
+    drawn = max(SAMPLE_DOCS, math.isqrt(SAMPLE_ROOT * documents))
+    share = int(2**32 * min(1.0, drawn / max(documents, 1)))
+    sample = terms.where(F.pmod(F.xxhash64("terms", "doc_id"), F.lit(2**32)) < share).repartition(max(SAMPLE_PARTS, drawn // 4096))
     for one in range(passes):
         block = Queries(asked.where(F.pmod(F.xxhash64("terms.term"), F.lit(passes)) == one).toArrow())
         reach = _best(_search(sample, block, mean, k), k, "query").where(F.size("found") == k).select("query", (-F.col("found")[k - 1]["score"]).alias("least")).toArrow()

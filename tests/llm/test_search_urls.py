@@ -163,3 +163,30 @@ def test_a_column_named_score_is_made_new(spark):
     rows = [("http://a.com/x", 7.0), ("http://a.net/es/x", 7.0), ("http://a.org/x", 7.0), ("", 7.0)]
     got = {r.url: r.score for r in url_filter.judge(spark.createDataFrame(rows, "url string, score double")).collect()}
     assert got["http://a.com/x"] is None and got["http://a.net/es/x"] is None and got["http://a.org/x"] not in (None, 7.0) and got[""] == 0
+
+
+def test_queries_meet_blocks_of_their_language_only(monkeypatch):
+    """Common terms are matrices of groups of like documents; other groups' blocks are not multiplied, and lists hold the rest alone."""
+    import numpy as np
+
+    monkeypatch.setattr(bm25, "CROWDED", 30)
+    r = np.random.default_rng(5)
+    texts = [np.unique(np.append(r.integers(0, 30, 25) + 1000 * (i % 2), 5000 + r.integers(0, 3000, 6))).astype(np.uint64) for i in range(2000)]
+    begin, flat = np.concatenate([[0], np.cumsum([len(t) for t in texts])]), np.concatenate(texts)
+    shard = bm25.Shard(list(range(2000)), begin, [np.array([float(len(t)) for t in texts]), np.ones(len(flat)), flat.copy()], 24.0)
+    assert len(shard.postings) < 0.4 * len(flat)
+    slots = [shard.slots(np.unique(flat))[np.searchsorted(np.unique(flat), t)] for t in texts[:40]]
+    ends, whole = np.concatenate([[0], np.cumsum([len(s) for s in slots])]), np.concatenate(slots)
+    weight = np.where(np.arange(8000) < 5000, 0.7, 6.0) + r.random(8000)  # without ties
+    weights = weight[np.concatenate(texts[:40])]
+    score = lambda q, d: sum(w * shard.exact[begin[d] + np.searchsorted(texts[d], t)] for t, w in zip(texts[q], weights[ends[q] :]) if t in texts[d])
+    want = [sorted((-round(float(score(q, d)), 9), d) for d in range(2000))[:10] for q in range(40)]
+    got = dict(shard.search(ends, whole, weights, np.zeros(40), 10))
+    assert [[(-round(s, 9), i) for s, i in got[q]] for q in range(40)] == want
+    least, used = np.array([-w[-1][0] for w in want]), 0
+    for row, _, rows, high in shard.parts:
+        wide = np.zeros((40, rows.shape[2]), np.float32)
+        place = np.repeat(np.arange(40), np.diff(ends))
+        wide[place[row[whole] >= 0], row[whole][row[whole] >= 0]] = weights[row[whole] >= 0]
+        used += (wide @ high.T > 0.3 * least[:, None]).sum()
+    assert used <= 0.6 * 40 * sum(len(p[2]) for p in shard.parts)
