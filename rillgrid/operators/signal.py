@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import exact_mean
 from ..sources.steps import stored
-from .pairs import TILE, dealt, meetings
+from .pairs import listed
 from .segments import frame, framed, numbered
 from .tomography import spread
 
@@ -62,12 +62,7 @@ def running_absolute_mean(df: DataFrame, channel: str, order: str, x: str, half:
 def pairs(stations: DataFrame, key: str, group: str) -> DataFrame:
     """Unordered pairs within a group, as (group, a, b): keys are dealt into tiles as in `pairs`, and each pair of tiles meets once under a
     key of its own, so that a few large groups spread over many tasks. Rows whose key or group is null drop out."""
-    rows = stations.select(F.col(group).alias("group"), F.col(key).alias("key"), F.array(F.lit(0.0)).alias("x")).dropna()
-    whole = dealt(rows, TILE).groupBy("group", "tile", "tiles", "length", "n").agg(F.array_sort(F.collect_list("key")).alias("members"))
-    met = meetings(whole).select("group", "i", "j", "a", "b")
-    both = met.select("group", "i", "j", F.explode("a").alias("a"), "b").select("group", "i", "j", "a", F.explode("b").alias("b"))
-    each = both.where((F.col("a") < F.col("b")) | (F.col("i") < F.col("j")) & (F.col("a") > F.col("b")))
-    return each.select(F.col("group").alias(group), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return listed(stations, key, group).withColumnRenamed("group", group)
 
 
 def correlate(a: Column, b: Column, lag: Column) -> Column:
